@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10_decontamination
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .sharding import op1_sharding
+from .simhash import op2_simhash
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE = {
     "op6_line_dedup": OP6_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_decontamination": OP10_SQL,
 }
