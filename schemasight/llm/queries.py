@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .langid import op3_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .sharding import op1_sharding
 from .simhash import op2_simhash
+from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
+    "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
