@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .embed_graph import op8_embedding_graph
 from .langid import op3_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op8_embedding_graph": op8_embedding_graph,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
