@@ -9,6 +9,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .sharding import op1_sharding
 from .simhash import op2_simhash
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op4_token_counts
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_embedding_graph": op8_embedding_graph,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
