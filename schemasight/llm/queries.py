@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontamination
 from .embed_graph import op8_embedding_graph
+from .katz import op5_katz
 from .langid import op3_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_katz": op5_katz,
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_embedding_graph": op8_embedding_graph,
