@@ -1,4 +1,535 @@
-"""Registry of the engine's own queries and their DuckDB oracles."""
+"""Registry of the engine's own queries on the driver's tables; their DuckDB counterparts are in ``oracle``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from schemasight.corpus import register
+from schemasight.functions import sqltext as S
+from schemasight.functions import text as T
+from schemasight.operators import compare as C
+from schemasight.operators import indexes as I
+from schemasight.operators import lines as L
+from schemasight.operators import rules as R
+from schemasight.operators import scripts as P
+from schemasight.operators import suggest as G
+from schemasight.operators import teams as M
+from schemasight.oracle import ORACLE  # noqa: F401
+from schemasight.registry import INDEX_LINES, MIGRATION
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+
+
+def query(f):
+    """Register ``f(view)``, where view gives a corpus or table by its name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(register(spark, sf_dir).table)
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def constants(view):
+    return L.constants_map(view("constants_kv"))
+
+
+def usages(view):
+    return L.field_usages(view("java_lines"), constants(view))
+
+
+def defs(view):
+    return view("index_defs").withColumn("cols", F.split("cols", ","))
+
+
+def documents_as_lines(view):
+    return view("documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line_no"), "text")
+
+
+# lines
+
+
+@query
+def line_scan(view):
+    return L.scan_lines(view("java_lines"), INDEX_LINES["java"]).select("file_id", "line_no", "type", "match")
+
+
+@query
+def context_window(view):
+    return L.with_context(documents_as_lines(view)).select("file_id", "line_no", F.md5("context").alias("context"))
+
+
+@query
+def line_offsets(view):
+    return L.with_offset(documents_as_lines(view)).select("file_id", "line_no", "start")
+
+
+@query
+def comment_skip(view):
+    return view("java_lines").where(~T.is_comment(F.col("text"), "//", "*")).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query
+def first_pattern_wins(view):
+    return view("java_lines").select("file_id", "line_no", T.first_match(F.col("text"), INDEX_LINES["java"], "(?i)").alias("type")).where("type is not null")
+
+
+@query
+def keyword_search(view):
+    c = view("conversations")
+    return c.where(F.contains(F.lower(F.concat_ws(" ", "role", "text")), F.lit("the"))).select("conv_id", "turn", "role")
+
+
+@query
+def count_by_type(view):
+    return L.scan_lines(view("java_lines"), INDEX_LINES["java"]).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def group_by_file(view):
+    found = L.scan_lines(view("java_lines"), INDEX_LINES["java"])
+    return found.groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query
+def constants_lookup(view):
+    return constants(view)
+
+
+@query
+def resolve_constants(view):
+    names = view("orders").select(F.concat(F.lit("F"), (F.col("o_orderkey") % 30).cast("string")).alias("name"))
+    return L.resolved(names, constants(view)).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def asof_operation(view):
+    return L.operation_of(view("java_lines")).select("file_id", "line_no", "operation")
+
+
+@query
+def asof_collection(view):
+    return L.collection_of(view("java_lines"), constants(view)).select("file_id", "line_no", "collection")
+
+
+# suggestions
+
+
+@query
+def field_usages(view):
+    return usages(view)
+
+
+@query
+def collection_filter(view):
+    return view("documents").select(F.col("doc_id"), F.split("text", r"\s+").alias("w")).select("doc_id", F.explode(F.slice("w", 1, 20)).alias("name")).where(~T.is_skipped_collection(F.col("name"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query
+def db_name_validity(view):
+    words = view("documents").select("doc_id", F.explode(F.split("text", " ")).alias("name"))
+    return words.where(words["name"].rlike("^[A-Za-z]+$")).groupBy("doc_id").agg(F.count_if(T.is_database_name(F.col("name"))).alias("valid"), F.count("*").alias("n"))
+
+
+@query
+def single_suggestions(view):
+    return G.single_fields(usages(view))
+
+
+@query
+def compound_esr(view):
+    return G.compound_fields(usages(view))
+
+
+@query
+def low_subset_prune(view):
+    u = usages(view)
+    return G.without_covered_singles(G.single_fields(u), G.compound_fields(u)).select("file_id", "collection", "fields", "priority")
+
+
+@query
+def suggestions_ranked(view):
+    return G.suggestions(usages(view))
+
+
+@query
+def suggestion_antijoin(view):
+    singles = G.single_fields(usages(view)).select("file_id", "collection", "fields", "priority")
+    declared = view("nation").select(F.lit("clicks").alias("collection"), F.concat(F.lit("f"), (F.col("n_nationkey") % 4).cast("string")).alias("fields"))
+    return G.without_indexed(singles, declared)
+
+
+@query
+def index_dedup(view):
+    d = view("index_defs").select(F.col("table_name").alias("collection"), F.col("cols").alias("fields"), (F.col("seq") % 2 == 0).alias("unique"), F.lit(False).alias("sparse"), F.lit(None).cast("int").alias("ttl"), "seq", "index_name")
+    return G.first_of_equals(d).select("collection", "index_name")
+
+
+@query
+def usage_stats(view):
+    return usages(view).agg(F.count("*").alias("n"), F.count_distinct("collection").alias("collections"), F.count_distinct("field").alias("fields"), F.count_distinct("file_id").alias("files"))
+
+
+@query
+def legacy_suggestions(view):
+    return G.legacy_suggestions(usages(view))
+
+
+# statements
+
+
+@query
+def stmt_classify(view):
+    return R.typed(view("sql_statements")).select("file_id", "stmt_no", "type")
+
+
+@query
+def stmt_target(view):
+    return R.typed(view("sql_statements")).select("file_id", "stmt_no", "target")
+
+
+@query
+def create_index_parse(view):
+    d = view("sql_statements").where(S.statement_type(F.col("raw_sql")) == "CREATE INDEX")
+    p = S.index_parts(F.col("raw_sql"))
+    return d.select("file_id", "stmt_no", *[(F.array_join(c, ",") if k == "columns" else c).alias(k) for k, c in p.items()])
+
+
+def column_query(name, f):
+    def run(view):
+        d = R.typed(view("sql_statements")).where(F.col("type").isin("SELECT", "UPDATE", "DELETE"))
+        return d.select("file_id", "stmt_no", F.array_join(f(F.col("raw_sql")), ",").alias("names"))
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _f in (("query_tables", S.tables), ("where_columns", S.where_columns), ("join_columns", S.join_columns), ("orderby_columns", S.order_columns)):
+    column_query(_name, _f)
+
+
+@query
+def query_flags(view):
+    d = R.typed(view("sql_statements")).where(F.col("type").isin("SELECT", "UPDATE", "DELETE"))
+    return d.select("file_id", "stmt_no", *[(F.coalesce(c, F.lit(-1)) if k == "offset" else c).alias(k) for k, c in S.query_flags(F.col("raw_sql")).items()])
+
+
+@query
+def data_type_class(view):
+    d = view("ddl_columns").withColumn("definition", F.concat(F.col("data_type"), F.when(F.col("nullable"), "").otherwise(" NOT NULL")))
+    return d.groupBy(S.data_type(F.col("definition")).alias("data_type")).agg(F.count("*").alias("n"))
+
+
+@query
+def stmt_split(view):
+    """Scripts are put together from statements with comments and quoted semicolons between, and split again."""
+    s = view("sql_statements").withColumn("text", F.concat(F.lit("/* ; */ "), "raw_sql", F.lit("\n-- ; 'x\n")))
+    files = s.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stmt_no", "text"))), lambda x: x["text"]), ";").alias("content"))
+    out = files.select("file_id", F.explode(S.split_sql(F.col("content"))).alias("s")).select("file_id", F.col("s.stmt_no").alias("stmt_no"), S.bare(F.col("s.raw_sql")).alias("raw_sql"))
+    return out.withColumn("raw_sql", F.regexp_replace("raw_sql", r"\s*-- ; 'x\s*$", ""))
+
+
+@query
+def create_table_parse(view):
+    """Tables are rendered as CREATE TABLE statements and parsed again."""
+    c = view("ddl_columns").withColumn("part", F.concat_ws(" ", "name", "data_type", F.when(~F.col("nullable"), "NOT NULL"), F.when(F.col("has_default"), "DEFAULT (1, 2)")))
+    t = c.groupBy("table_name").agg(F.concat(F.lit("CREATE TABLE x ("), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "part"))), lambda x: x["part"]), ", "), F.lit(") WITH (a=1)")).alias("sql"))
+    p = t.select("table_name", F.posexplode(S.table_parts(F.col("sql"))).alias("pos", "part"))
+    name = F.regexp_extract("part", r"^(\S+)", 1)
+    rest = F.regexp_extract("part", r"^\S+\s+(.*)$", 1)
+    return p.select("table_name", (F.col("pos") + 1).alias("ord"), name.alias("name"), S.data_type(rest).alias("data_type"), (~F.upper("part").contains("NOT NULL")).alias("nullable"), F.upper("part").contains("DEFAULT").alias("has_default"))
+
+
+# rules
+
+
+def violations(view):
+    s = view("sql_statements")
+    parts = [
+        R.migration_rules(s).select("file_id", "line_no", "rule_id"),
+        R.multiple_ddl(s).select("file_id", "line_no", F.lit("PG-MIG-006").alias("rule_id")),
+        R.query_rules(s).select("file_id", "line_no", "rule_id"),
+        R.code_rules(view("java_lines")).select("file_id", "line_no", "rule_id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def judged(view, **options):
+    found = violations(view)
+    return R.configured(found, R.catalog(found.sparkSession), **options)
+
+
+@query
+def mig_rules(view):
+    return R.migration_rules(view("sql_statements"))
+
+
+@query
+def mig_multi_ddl(view):
+    return R.multiple_ddl(view("sql_statements"))
+
+
+@query
+def mig_rollback(view):
+    return R.without_rollback(view("migration_files"))
+
+
+@query
+def mig_autofix(view):
+    d = R.migration_rules(view("sql_statements")).where("rule_id = 'PG-MIG-007'").join(view("sql_statements"), ["file_id", "line_no"])
+    return d.select("file_id", "stmt_no", S.with_concurrently(F.col("raw_sql")).alias("fixed"))
+
+
+@query
+def schema_columns(view):
+    return R.column_rules(view("ddl_columns"))
+
+
+@query
+def schema_keys(view):
+    return R.key_rules(view("ddl_columns"))
+
+
+@query
+def schema_missing_fk(view):
+    return R.missing_foreign_keys(view("ddl_columns"))
+
+
+@query
+def schema_fk_cycles(view):
+    return R.foreign_key_cycles(view("fk_edges"))
+
+
+@query
+def idx_fk_uncovered(view):
+    keys = view("fk_edges").select("src", "cols").distinct().select(F.col("src").alias("table_name"), F.array("cols").alias("fk_cols"))
+    return I.uncovered_keys(keys, defs(view)).select("table_name", F.array_join("fk_cols", ",").alias("fk_cols"))
+
+
+@query
+def idx_duplicates(view):
+    return I.duplicates(defs(view))
+
+
+@query
+def idx_prefix(view):
+    return I.prefixes(defs(view))
+
+
+@query
+def idx_wide(view):
+    return I.too_wide(defs(view))
+
+
+@query
+def idx_column_order(view):
+    d = defs(view).withColumn("cols", F.transform("cols", lambda c: F.when(c == "c0", "created_at").when(c == "c1", "vendor").otherwise(c)))
+    return I.misordered(d)
+
+
+@query
+def idx_naming(view):
+    return I.misnamed(view("index_defs"), "ix_[0-9]*[05]")
+
+
+@query
+def perf_all(view):
+    return R.query_rules(view("sql_statements"))
+
+
+@query
+def app_all(view):
+    return R.code_rules(view("java_lines"))
+
+
+@query
+def app_stmt_vars(view):
+    return R.statement_variables(view("java_lines"))
+
+
+@query
+def rule_overrides(view):
+    d = judged(view, disabled=["PERF003"], overrides={"PG-MIG-001": "High", "PG-BLK-006": "Critical", "APP001": "Medium", "PERF001": "Low"})
+    return d.groupBy("rule_id", "severity", "action").agg(F.count("*").alias("n"))
+
+
+@query
+def violations_union(view):
+    return violations(view).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+
+
+@query
+def gate(view):
+    return R.gate(judged(view))
+
+
+@query
+def gate_empty(view):
+    return R.gate(judged(view).where("rule_id = 'none'"))
+
+
+@query
+def gate_by_file(view):
+    return R.gate(judged(view), "file_id")
+
+
+@query
+def gate_with_total(view):
+    return R.gate_with_total(judged(view).withColumn("service", F.concat(F.lit("s"), (F.col("file_id") % 7).cast("string"))), "service")
+
+
+@query
+def by_category(view):
+    return judged(view).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Critical").alias("critical"))
+
+
+@query
+def first_violations(view):
+    return R.first_lines(judged(view).where(F.col("category") == MIGRATION).select("file_id", "line_no", "rule_id"), 2, "rule_id")
+
+
+# teams and catalogs
+
+
+@query
+def catalog_filter(view):
+    return M.of_team(view("service_catalog"), "team germany").select("service_name", "namespace")
+
+
+@query
+def catalog_kinds(view):
+    return M.with_kinds(view("service_catalog")).groupBy("team", "has_postgres", "has_mongodb", "has_path", "supported").agg(F.count("*").alias("n"))
+
+
+@query
+def distinct_teams(view):
+    return M.team_names(view("service_catalog"))
+
+
+@query
+def team_rollup(view):
+    return M.rollup(M.with_kinds(view("service_catalog")))
+
+
+@query
+def db_connections(view):
+    return M.connections(view("env_vars"))
+
+
+@query
+def uri_parse(view):
+    return view("env_vars").select("service", "key", *[(F.coalesce(c, F.lit(0)) if k == "port" else c).alias(k) for k, c in T.database_uri(F.col("value")).items()])
+
+
+@query
+def unused_indexes(view):
+    return M.unused(view("live_catalog"))
+
+
+@query
+def index_sizes(view):
+    return M.sizes(view("live_catalog"))
+
+
+@query
+def plan_metrics(view):
+    return view("plans").select("query_id", *[c.alias(k) for k, c in M.plan_metrics(F.col("plan_text")).items()])
+
+
+# comparisons
+
+
+def halves(view):
+    d = view("index_defs").select(F.col("table_name").alias("collection"), F.col("cols").alias("fields"), "index_name", "seq")
+    return d.where("seq % 3 < 2"), d.where("seq % 3 > 0")
+
+
+@query
+def script_compare(view):
+    script, code = halves(view)
+    return C.compared(script, code)
+
+
+@query
+def code_union(view):
+    code, suggested = halves(view)
+    return C.combined(code, suggested)
+
+
+@query
+def pg_coverage(view):
+    d = defs(view)
+    wanted = d.where("seq % 5 = 0").select(F.col("seq").alias("id"), "table_name", "cols")
+    return C.covered_sql(wanted, d.where("seq % 5 > 2")).select("id", "status")
+
+
+@query
+def doc_coverage(view):
+    d = defs(view).withColumnRenamed("table_name", "collection")
+    wanted = d.where("seq % 5 = 0").select(F.col("seq").alias("id"), "collection", "cols")
+    return C.covered_documents(wanted, d.where("seq % 5 > 2")).select("id", "status")
+
+
+@query
+def tenant_expansion(view):
+    names = view("nation").select(F.lower("n_name").alias("name"))
+    live = view("customer").join(view("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat((F.col("c_custkey") % 50).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "_").when(F.col("c_custkey") % 3 == 1, "-").otherwise(""), F.lower("n_name")).alias("live"))
+    return C.tenants(names, live.distinct())
+
+
+@query
+def compare_eligibility(view):
+    suggested = view("index_defs").groupBy(F.col("table_name").alias("collection")).agg(F.count("*").alias("n"))
+    sizes = view("part").groupBy(F.concat(F.lit("t"), (F.col("p_partkey") % 45).cast("string")).alias("collection")).agg(F.count_if(F.col("p_size") > 20).alias("docs"))
+    return C.eligibility(suggested, sizes)
+
+
+@query
+def esr_analysis(view):
+    d = defs(view).withColumnRenamed("table_name", "collection").where(F.size("cols") > 1)
+    u = view("index_defs").select(F.col("table_name").alias("collection"), F.concat(F.lit("c"), (F.col("seq") % 3).cast("string")).alias("field"), F.when(F.col("seq") % 7 == 0, "sort").when(F.col("seq") % 5 == 0, "range").otherwise("equality").alias("usage"))
+    return C.esr(d, u)
+
+
+@query
+def create_plan(view):
+    databases = view("region").select(F.lower("r_name").alias("database"))
+    return C.creation_plan(databases, view("index_defs").where("seq % 50 = 0").select("table_name", "index_name"))
+
+
+# scripts
+
+
+@query
+def mongo_shell_lines(view):
+    return P.mongo_shell(P.specs(view("index_defs")))
+
+
+@query
+def pymongo_lines(view):
+    return P.pymongo(P.specs(view("index_defs")))
+
+
+@query
+def pg_ddl_lines(view):
+    return P.postgres(P.specs(view("index_defs")))
+
+
+@query
+def verify_lines(view):
+    return P.verification(P.specs(view("index_defs")))
+
+
+@query
+def pg_indexdef_parse(view):
+    d = P.postgres(P.specs(view("index_defs")))
+    return d.select("index_name", P.indexdef_columns(F.col("line")).alias("columns"))
+
+
+@query
+def script_parse(view):
+    return P.parsed_shell(P.mongo_shell(P.specs(view("index_defs"))))
