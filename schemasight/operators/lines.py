@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from schemasight.functions.text import all_matches, first_match, is_comment, latest_match, lower_first
 from schemasight.registry import COLLECTIONS, NOT_COLLECTIONS, OPERATIONS, QUERY_FIELDS
 
-BY_FILE = Window.partitionBy("file_id").orderBy("line_no")
 #: How many lines back a query's operation may stand.
 TOLERANCE = 50
 
 
+def by_file() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("line_no")
+
+
 def with_context(lines: DataFrame, around: int = 2) -> DataFrame:
     """Add context: the line with ``around`` lines before and after, trimmed."""
-    frame = BY_FILE.rowsBetween(-around, around)
+    frame = by_file().rowsBetween(-around, around)
     return lines.withColumn("context", F.btrim(F.array_join(F.collect_list("text").over(frame), "\n"), F.lit(" \n\t\r")))
 
 
 def with_offset(lines: DataFrame) -> DataFrame:
     """Add start: the number of characters before the line in its file, line ends included."""
-    return lines.withColumn("start", F.coalesce(F.sum(F.char_length("text") + 1).over(BY_FILE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return lines.withColumn("start", F.coalesce(F.sum(F.char_length("text") + 1).over(by_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
 def scan_lines(lines: DataFrame, patterns, marks=("//", "#")) -> DataFrame:
@@ -33,7 +36,7 @@ def scan_lines(lines: DataFrame, patterns, marks=("//", "#")) -> DataFrame:
 def operation_of(lines: DataFrame) -> DataFrame:
     """Add operation: that of the latest line up to this one with a call, at most TOLERANCE lines back; else 'unknown'. One window, no join."""
     own = first_match(F.col("text"), OPERATIONS)
-    seen = F.last(F.when(own.isNotNull(), F.struct(own.alias("op"), F.col("line_no").alias("at"))), ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.last(F.when(own.isNotNull(), F.struct(own.alias("op"), F.col("line_no").alias("at"))), ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("operation", F.coalesce(F.when(F.col("line_no") - seen["at"] < TOLERANCE, seen["op"]), F.lit("unknown")))
 
 
@@ -50,7 +53,7 @@ def collection_of(lines: DataFrame, constants: DataFrame) -> DataFrame:
     value = F.when(F.col("_ref.kind") == "entity", lower_first(F.col("_ref.value"))).otherwise(F.coalesce("_value", "_ref.value"))
     own = F.when(F.col("_ref").isNotNull() & ~value.isin(NOT_COLLECTIONS), value)
     lines = lines.withColumn("_own", own)
-    before = F.last("_own", ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("_own", ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))
     here = F.when(F.col("_ref.pos") == 1, F.col("_own"))
     return lines.withColumn("collection", F.coalesce(here, before, F.lit("unknown"))).drop("_ref", "_name", "_value", "_own")
 

@@ -203,7 +203,7 @@ add("gate_with_total", f"WITH {judged({})}, s AS (SELECT *, 's' || (file_id % 7)
 add("by_category", f"WITH {judged({})} SELECT category, count(*) AS n, count(*) FILTER (WHERE severity = 'Critical') AS critical FROM judged GROUP BY category")
 add("first_violations", f"WITH {judged({})} SELECT file_id, line_no, rule_id, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY file_id, line_no) AS INTEGER) AS nth FROM judged WHERE category = 'Migration Safety' QUALIFY nth <= 2")
 
-add("catalog_filter", "SELECT service_name, namespace FROM service_catalog WHERE lower(trim(team)) = 'team germany'")
+add("catalog_filter", "SELECT service_name, namespace FROM service_catalog WHERE lower(trim(team)) = 'team nation_3'")
 KINDS = "kinds AS (SELECT * REPLACE (trim(team) AS team), contains(db_service, 'PostgreSQL') AS has_postgres, contains(db_service, 'MongoDB') AS has_mongodb, uri_location <> 'Service not found' AS has_path, db_service NOT IN ('', 'none') AS supported FROM service_catalog)"
 add("catalog_kinds", f"WITH {KINDS} SELECT team, has_postgres, has_mongodb, has_path, supported, count(*) AS n FROM kinds GROUP BY ALL")
 add("distinct_teams", "SELECT DISTINCT trim(team) AS team FROM service_catalog WHERE trim(team) <> ''")

@@ -397,7 +397,7 @@ def first_violations(view):
 
 @query
 def catalog_filter(view):
-    return M.of_team(view("service_catalog"), "team germany").select("service_name", "namespace")
+    return M.of_team(view("service_catalog"), "team nation_3").select("service_name", "namespace")
 
 
 @query
