@@ -8,7 +8,7 @@ from .katz import op5_katz
 from .langid import op3_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
-from .sharding import op1_sharding
+from .sharding import OP1_SQL, op1_sharding
 from .simhash import op2_simhash
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op4_token_counts
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLE = {
+    "op1_sharding": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_decontamination": OP10_SQL,

@@ -47,8 +47,9 @@ def shard_documents(df: DataFrame, key: str, shards: int, order: list[str], grow
     """Add shard and slot to every row, and grown_shard (with one shard more) if asked.
 
     The key and the number of shards alone decide the shard; of ``shards`` + 1 shards only the last
-    takes rows from others. ``df`` is read several times, so give a table or a settled one. Slots number the rows of a shard from 0 without gaps, in an order
-    given by a hash of ``order`` (columns that tell rows apart), so that no shard passes through one task.
+    takes rows from others. ``df`` is read several times, so give a table or a settled one. Slots number the
+    rows of a shard from 0 without gaps, in the order of a digest of ``key`` and ``order`` (columns
+    that tell rows apart), by ranges of the digest, so that no shard passes through one task.
     Columns shard, slot and grown_shard of the input are replaced. A null key has the shard
     of its hash; rows with equal keys share a shard; equal rows get different slots; an empty
     table gives an empty one.
@@ -58,7 +59,9 @@ def shard_documents(df: DataFrame, key: str, shards: int, order: list[str], grow
     out = df.withColumn("shard", shard_of(at, shards))
     if grown:
         out = out.withColumn("grown_shard", shard_of(at, shards + 1))
-    return running_before(out, "shard", [key, *order], F.lit(1).cast("long"), "slot")
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *order)]))
+    out = out.withColumn("_digest", digest)
+    return running_before(out, "shard", ["_digest"], F.lit(1).cast("long"), "slot", F.conv(F.substring("_digest", 1, 6), 16, 10).cast("long")).drop("_digest")
 
 
 def op1_sharding(spark, sf_dir):
@@ -71,3 +74,27 @@ def op1_sharding(spark, sf_dir):
     )
     out = shard_documents(settle(docs), "doc_id", 16, ["text_crc32", "size"], grown=True)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE polynomial AS (
+  SELECT b AS byte, CAST(b AS UBIGINT) AS v, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM polynomial WHERE k < 8
+), crc AS (SELECT list(v ORDER BY byte) AS t FROM polynomial WHERE k = 8
+), docs AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
+), summed AS (
+  SELECT doc_id, size, CAST(xor(list_reduce(list_transform(bytes, lambda h: CAST(('0x' || h) AS UBIGINT)), lambda a, b: xor(a >> 8, crc.t[CAST(xor(a, b) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT) AS text_crc32
+  FROM docs, crc
+), jumps AS (
+  SELECT doc_id, n, CAST(doc_id AS HUGEINT) AS k, 0::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES (16), (17)) s(n)
+  UNION ALL
+  SELECT doc_id, n, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(k // 8589934592 AS DOUBLE) + 1.0::DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, n, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jumps WHERE j < n)
+), placed AS (
+  SELECT doc_id, CAST(max(b) FILTER (WHERE n = 16) AS INTEGER) AS shard, CAST(max(b) FILTER (WHERE n = 17) AS INTEGER) AS grown_shard FROM jumps WHERE j >= n GROUP BY doc_id
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || '|' || text_crc32 || '|' || size)) - 1 AS BIGINT) AS slot
+FROM summed JOIN placed USING (doc_id)
+"""
