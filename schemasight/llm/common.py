@@ -49,7 +49,7 @@ def lower_az(col):
     )
 
 
-def running_before(df: DataFrame, group: str, order: list[str], weight, name: str, spread=None, per_bucket: int = 1 << 15) -> DataFrame:
+def running_before(df: DataFrame, group: str, order: list[str], weight, name: str, spread=None, per_bucket: int = 1 << 13) -> DataFrame:
     """Add ``name``: the sum of ``weight`` (a long) over the rows of the same ``group`` that come earlier.
 
     Rows are ordered by ``spread`` (evenly spread longs of 24 bits; by default a hash of ``order``),
@@ -57,7 +57,7 @@ def running_before(df: DataFrame, group: str, order: list[str], weight, name: st
     holds most rows is spread like the others. ``group`` must not be null. Rows equal in all of
     ``order`` come in any order, next to each other.
     """
-    bits = max(3, (df.count() // per_bucket).bit_length())
+    bits = max(6, (df.count() // per_bucket).bit_length())
     df = df.withColumn("_spread", F.shiftrightunsigned(F.xxhash64(*order), 40) if spread is None else spread)
     df = df.withColumn("_bucket", F.shiftright("_spread", 24 - bits)).withColumn("_weight", weight)
     keys = [group, "_bucket"]
