@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, table
+from .common import lower_az, settle, table
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -34,6 +34,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     key = F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("n"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
     hashes = df.select(key.alias("_key"), line_hashes(text).alias("lines"))
     common = hashes.select(F.explode(F.array_distinct("lines")).alias("l")).where("l is not null").groupBy("l.h", "l.g").count().where(F.col("count") >= min_docs).select("h", "g")
+    common = settle(common)  # else its grouping would be reused for the join, and a line of all documents meet in one task
     lines = hashes.select("_key", F.posexplode("lines").alias("pos", "l")).where("l is not null").select("_key", "pos", "l.h", "l.g")
     lost = lines.join(common, ["h", "g"], "left_semi").groupBy("_key").agg(F.collect_set("pos").alias("_lost"))
     out = df.withColumn("_key", key).join(lost, "_key", "left").withColumn("_lines", F.split(text, "\n", -1))
