@@ -26,7 +26,7 @@ from .common import settle, table
 
 WIDTH, GRAM = 200, 64
 #: Bytes aimed at in a shard; beyond the second bound, the windows of one anchor are counted by their digests instead.
-SHARD, MOST = 4 << 20, 32 << 20
+SHARD, MOST = 1 << 20, 32 << 20
 #: Symbols that the queues of one shard hold in memory.
 HELD = 16 << 20
 #: Texts are scanned in stretches of at most this many bytes, so that a place fits into 24 bits.
@@ -167,33 +167,34 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def doubled(names: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes of a reduced text by ``depth`` symbols of the text at least, from the names of its symbols and their places.
 
-    Each round ranks twice as many names, of those suffixes that share their rank with others.
+    Each round ranks twice as many names, of those suffixes that share their rank with others and reach less far than
+    ``depth``. Suffixes that share a rank reach equally far, since equal names stand for equal strings.
     """
+
+    def changes(x: np.ndarray) -> np.ndarray:
+        return np.append(True, x[1:] != x[:-1])
+
+    def first_places(new: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
     n, step = len(names), 1
+    open_ = np.argsort(names, kind="stable")
+    new = changes(names[open_])
+    rank = np.empty(n, "int64")  # a rank is the place of its first member, so ranks of others stay as they are
+    rank[open_] = first_places(new)
     while True:
-        order = np.argsort(names, kind="stable")
-        same = np.diff(names[order]) == 0
-        shared = np.append(same, False) | np.append(False, same)
-        open_ = np.sort(order[shared])
-        if step < n and len(open_):
-            reach = np.full(len(open_), depth)
-            inside = open_ + step < n
-            reach[inside] = places[open_[inside] + step] - places[open_[inside]]
-            if reach.min() >= depth and inside.all():
-                return names
-        if step >= n or not len(open_):
-            return names
-        # a rank is the place of its first member in order, so ranks of others need no change
-        next_ = np.zeros(len(open_), "int64")
-        next_[inside] = names[open_[inside] + step] + 1
-        names = names.copy()
-        first = np.searchsorted(names[order], names[open_])
-        by = np.lexsort((next_, first))
-        new = (np.diff(first[by], prepend=-1) != 0) | (np.diff(next_[by], prepend=-1) != 0)
-        rank, base = np.zeros(len(by), "int64"), first[by]
-        rank[by] = base + np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) - np.searchsorted(base, base)
-        names[order] = np.searchsorted(names[order], names[order])
-        names[open_] = rank
+        open_ = open_[~(new & np.append(new[1:], True))]
+        ahead = np.minimum(open_ + step, n - 1)
+        open_ = open_[(open_ + step >= n) | (places[ahead] - places[open_] < depth)]
+        if not len(open_) or step >= n:
+            return rank
+        base, inside = rank[open_], open_ + step < n
+        next_ = np.where(inside, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        by = np.argsort(base * (n + 1) + next_)
+        open_, base, next_ = open_[by], base[by], next_[by]
+        group = changes(base)
+        new = group | changes(next_)
+        rank[open_] = base + first_places(new) - first_places(group)
         step *= 2
 
 
