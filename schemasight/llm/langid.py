@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -28,35 +29,38 @@ LANGUAGES = 500
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Each character multiplies a word's probability by this, so that products of small numbers stay in range; it is taken out again at the end.
 LIFT = 1e4
-LONG = 64
+LONG = 64  # below 128, and batches of words below 8192: see how matches packs them
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> dict[str, int]:
-    """Piece to number; 0 stands for any character that no piece covers."""
+    """Piece to number, and -1 for what is only the beginning of pieces; 0 stands for any character that no piece covers."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(k) for k in range(len(model)) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
-    return {"": 0} | {p: k for k, p in enumerate(found, 1)}
+    found = {p: k for k, p in enumerate(found, 1)}
+    return {p[:n]: -1 for p in found for n in range(1, len(p))} | {"": 0} | found
 
 
 def matches(words: list[str], known: dict[str, int]) -> np.ndarray:
     """Rows (end, word, start, piece) of all pieces in all words."""
-    longest, out = max(map(len, known)), []
+    out, get = [], known.get
     for w, word in enumerate(words):
         n = len(word)
         for start in range(n):
-            alone = True
-            for end in range(start + 1, min(n, start + longest) + 1):
-                piece = known.get(word[start:end])
-                if piece is not None:
-                    out.append((end, w, start, piece))
+            here, alone = w << 23 | start << 16, True
+            for end in range(start + 1, n + 1):
+                piece = get(word[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    out.append(end << 36 | here | piece)
                     alone = alone and end > start + 1
             if alone:
-                out.append((start + 1, w, start, 0))
-    found = np.array(out, "int64").reshape(-1, 4)
-    return found[np.lexsort((found[:, 1], found[:, 0]))]
+                out.append(start + 1 << 36 | here)
+    found = np.sort(np.array(out, "int64"))
+    return np.stack([found >> 36, found >> 23 & 0x1FFF, found >> 16 & 0x7F, found & 0xFFFF], 1)
 
 
 def forward(words: list[str], found: np.ndarray, lifted: np.ndarray) -> np.ndarray:
@@ -93,8 +97,9 @@ def long_word(word: str, known: dict[str, int], lifted: np.ndarray) -> np.ndarra
     for end in range(1, len(word) + 1):
         total = np.zeros(lifted.shape[1])
         for back in range(1, min(longest, end) + 1):
-            piece = known.get(word[end - back : end], 0 if back == 1 else None)
-            if piece is not None:
+            piece = known.get(word[end - back : end])
+            piece = 0 if back == 1 and (piece is None or piece < 0) else piece
+            if piece is not None and piece >= 0:
                 total += window[-back] * lifted[piece]
         window = [x / total for x in [*window[1 - longest :], total]]
         scale += np.log(total)
@@ -120,9 +125,10 @@ def words_of(text: str) -> list[str]:
 
 
 def lift(probabilities: np.ndarray, known: dict[str, int]) -> np.ndarray:
-    width = np.zeros(len(known))
+    width = np.ones(len(probabilities))
     for piece, k in known.items():
-        width[k] = max(1, len(piece))
+        if k > 0:
+            width[k] = len(piece)
     return probabilities * (LIFT**width)[:, None]
 
 
@@ -141,7 +147,7 @@ _scored: dict = {"mark": None}
 def score_texts(texts, model: Model) -> list[tuple[str, float]]:
     """(language, its share among all languages) of each text; ('und', 0.0) for null and without a letter."""
     known = pieces(model.vocabulary)
-    if _scored["mark"] != model.mark or len(_scored["rows"]) > 300_000:
+    if _scored["mark"] != model.mark or len(_scored["rows"]) > 200_000:
         _scored.update(mark=model.mark, rows={}, table=np.zeros((0, len(model.languages))), lifted=lift(model.probabilities, known))
     rows, split = _scored["rows"], [words_of(t) if t else [] for t in texts]
     new = list({w for ws in split for w in ws if w not in rows})
@@ -174,7 +180,7 @@ def expected(counts: pd.DataFrame, model: Model) -> np.ndarray:
             ahead, behind = forward(words, found, own)[:, :, 0], backward(words, found, own)[:, :, 0]
             end, word, start, piece = found.T
             share = ahead[start, word] * own[piece, 0] * behind[end, word] / behind[0, word]
-            out[:, column] += np.bincount(piece, share * n[word], len(known))
+            out[:, column] += np.bincount(piece, share * n[word], len(out))
     return out
 
 
@@ -191,14 +197,18 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     known, languages = pieces(vocabulary), sorted(r["lang"] for r in sizes)
-    model = Model(languages, np.full((len(known), len(languages)), 1 / len(known)), vocabulary)
+    size = max(known.values()) + 1
+    model = Model(languages, np.full((size, len(languages)), 1 / size), vocabulary)
     if not languages:
         return model
     rates = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
 
     def count(batches):
         for batch in batches:
-            yield pd.DataFrame([(lang, w) for lang, t in zip(batch["lang"], batch["text"], strict=True) for w in words_of(t)], columns=["lang", "word"]).value_counts().reset_index(name="n")
+            words = defaultdict(Counter)
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                words[lang].update(words_of(text))
+            yield pd.DataFrame([(lang, w, n) for lang, c in words.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     chosen = df.where(F.pmod("hash", F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000).select("lang", "text")
     counts = settle(chosen.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -228,7 +238,15 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(score_texts(texts, sent.value), columns=["lang_pred", "score"])
+        rows, part, held = [], [], 0
+        for text in texts:  # a bounded number of words at a time
+            part.append(text)
+            held += len(text or "")
+            if held > 1 << 20:
+                rows += score_texts(part, sent.value)
+                part, held = [], 0
+        rows += score_texts(part, sent.value)
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     df = df.drop("lang_pred", "score")
     return df.withColumn("_found", of(F.col(text_col))).select(*df.columns, "_found.*")
