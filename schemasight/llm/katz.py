@@ -1,14 +1,21 @@
-"""Language-model scores by Katz back-off (Katz, 1987) over words.
-
-The n-grams of each order are counted in a table (context, word, count), those of each context in
-another (context, total, back-off weight). Counts up to ``RELIABLE`` are discounted by Good-Turing
-estimates, larger ones by ``HALF``, so every context leaves something for words it was not seen with;
-the back-off weight hands that on to the shorter context so that all probabilities of a context add up to
-one exactly. Words never seen share what the single words leave, as one further word.
+"""Language-model scores by Katz back-off (Katz, 1987) over pairs of words.
+
+Counts up to ``RELIABLE`` are discounted by Good-Turing estimates, larger ones by ``HALF``, so every history leaves
+something for words it was not seen with; its back-off weight hands that on to the single words so that
+all probabilities after it add up to one exactly. Words never seen share what the single words leave,
+as one further word.
+
+A corpus has about as many different pairs as tokens, so tokens are exchanged once, packed. Each task sorts a
+million tokens by word at a time and sends each bucket of words (word, history, document) as columns of bytes. A bucket
+counts its words and pairs, scores what it knows of each document, and hands on by history: counts for the
+back-off weights, and the tokens whose pair was not seen. Buckets of histories then finish the
+weights and the scores. Words frequent enough to fill a bucket are counted first and dealt by pair.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,66 +24,60 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-ORDER, RELIABLE, HALF = 2, 5, 0.5
+RELIABLE, HALF = 5, 0.5
 START, END = 1, 2
+#: Tokens packed at a time by a task, and aimed at in a bucket.
+CHUNK, BUCKET = 1_000_000, 4_000_000
+#: Tokens that a bucket sorts at a time.
+SLICE = 300_000
+#: Histories are known by 48 bits of their hash.
+SHORT = np.uint64((1 << 48) - 1)
 
 
 class Words(dict):
-    """Word to 64-bit hash; emptied when it has grown large. Collisions are as rare as 1 in 4 billion words squared."""
+    """Word to 64-bit hash; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word, 5)
         return found
 
 
-def grams_of(text: bytes | None, order: int, words: Words) -> np.ndarray:
-    """Rows (context of order - 1 tokens, ..., of 1 token, token) of a text: its words in lower case, then the end."""
-    found = (text or b"").lower().split()
-    tokens = np.array([START] + [words[w] for w in found] + [END], "uint64")
-    out = [tokens[1:]]
-    context = np.full(len(tokens) - 1, 7, "uint64")
-    for back in range(order - 1):
-        before = np.concatenate([np.full(back, START, "uint64"), tokens[: len(tokens) - 1 - back]])[: len(tokens) - 1]
-        context = (context * np.uint64(0x9E3779B97F4A7C15)) ^ before
-        context ^= context >> np.uint64(31)
-        context = context * np.uint64(0xBF58476D1CE4E5B9)
-        out.insert(0, context.copy())
-    return np.stack(out, 1)
-
-
-def contexts(order: int) -> list[str]:
-    """Names of the contexts' columns, the longest first."""
-    return [f"c{k}" for k in range(order - 1, 0, -1)]
-
-
-def count_grams(df: DataFrame, order: int) -> DataFrame:
-    """The different n-grams of each row of (key, train, text), with their number n in it."""
-    names = [*contexts(order), "w"]
-
-    def of(batches):
-        words = Words()
-        for batch in batches:
-            held, keys, trains, parts = 0, [], [], []
-            for key, train, text in zip(batch["key"], batch["train"], batch["text"], strict=True):
-                found = grams_of(text, order, words)
-                keys.append(np.full(len(found), key))
-                trains.append(np.full(len(found), train))
-                parts.append(found)
-                held += len(found)
-                if held > 200_000:
-                    yield packed(keys, trains, parts)
-                    held, keys, trains, parts = 0, [], [], []
-            if parts:
-                yield packed(keys, trains, parts)
-
-    def packed(keys, trains, parts):
-        rows = pd.DataFrame(np.concatenate(parts).view("int64"), columns=names).assign(key=np.concatenate(keys), train=np.concatenate(trains))
-        return rows.groupby(["key", "train", *names], sort=False).size().reset_index(name="n").astype({"n": "int32"})
-
-    kinds = ", ".join(f"{x} long" for x in names)
-    return df.mapInPandas(of, f"key long, train boolean, {kinds}, n int")
+class Chunk(NamedTuple):
+    """Documents (keys, train) and their tokens (doc, word, history)."""
+
+    keys: np.ndarray
+    train: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    history: np.ndarray
+
+
+def chunks(batches):
+    """The texts (key, train, text) of a task, a million tokens at a time: words in lower case, then the end."""
+    words, keys, train, parts, held = Words(), [], [], [], 0
+
+    def done() -> Chunk:
+        sizes = [len(p) for p in parts]
+        word = np.concatenate(parts)
+        history = np.empty_like(word)
+        history[1:] = word[:-1]
+        history[np.cumsum(sizes) - sizes] = START
+        return Chunk(np.array(keys, "int64"), np.array(train, bool), np.repeat(np.arange(len(parts)), sizes), word, history & SHORT)
+
+    for batch in batches:
+        for key, learn, text in zip(batch["key"], batch["train"], batch["text"], strict=True):
+            found = (text or b"").lower().split()
+            keys.append(key)
+            train.append(learn)
+            parts.append(np.array([*map(words.__getitem__, found), END], "uint64"))
+            held += len(found) + 1
+            if held >= CHUNK:
+                yield done()
+                keys, train, parts, held = [], [], [], 0
+    if parts:
+        yield done()
 
 
 def good_turing(times: dict[int, int]) -> list[float]:
@@ -93,71 +94,270 @@ def good_turing(times: dict[int, int]) -> list[float]:
     return out
 
 
-def worth(count: Column, discounts: list[float]) -> Column:
-    """The discounted count."""
-    return F.when(count <= RELIABLE, F.get(F.array(*[F.lit(x) for x in discounts]), (count - 1).cast("int"))).otherwise(count - HALF)
-
-
-def census(counts: DataFrame) -> list[float]:
-    return good_turing({r["c"]: r["n"] for r in counts.where(F.col("c") <= RELIABLE + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
-
-
-class Katz:
-    """A fitted model: per order the tables of counts and contexts, and what describes the single words."""
-
-    def __init__(self, grams: DataFrame, order: int = ORDER):
-        """``grams``: (c<k>, w, n) of the training texts, n times each."""
-        self.order, self.counts, self.contexts, self.discounts = order, {}, {}, {}
-        self.counts[1] = settle(grams.groupBy("w").agg(F.sum("n").cast("long").alias("c")))
-        total = self.counts[1].agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-        self.tokens, self.types = total["n"] or 0, total["v"]
-        self.discounts[1] = census(self.counts[1])
-        kept = self.counts[1].agg(F.sum(worth(F.col("c"), self.discounts[1]))).first()[0] or 0.0
-        self.unseen = 1 - kept / self.tokens if self.tokens else 1.0
-        for k in range(2, order + 1):
-            names = contexts(k)
-            counts = settle(grams.groupBy(*names, "w").agg(F.sum("n").cast("long").alias("c")))
-            self.counts[k], self.discounts[k] = counts, census(counts)
-            lower = self.probability(counts, k - 1).withColumn("worth", worth(F.col("c"), self.discounts[k]))
-            sums = lower.groupBy(names[0]).agg(F.sum("c").alias("total"), F.sum("worth").alias("worth"), F.sum("p").alias("p"))
-            self.contexts[k] = settle(sums.select(names[0], "total", ((1 - F.col("worth") / F.col("total")) / (1 - F.col("p"))).alias("weight")))
-
-    def probability(self, df: DataFrame, order: int | None = None) -> DataFrame:
-        """Add p: the probability of w after the context, by recursion over the orders; and known: the count of the word."""
-        order = order or self.order
-        df = df.drop("p", "known") if order == self.order else df
-        if order == 1:
-            words = self.counts[1].select("w", F.col("c").alias("known"))
-            seen = worth(F.col("known"), self.discounts[1]) / max(1, self.tokens)
-            return df.join(words, "w", "left").withColumn("p", F.coalesce(seen, F.lit(self.unseen)))
-        lower = self.probability(df, order - 1).withColumnRenamed("p", "lower")
-        names = contexts(order)
-        counts = self.counts[order].select(names[0], "w", F.col("c").alias("seen"))
-        out = lower.join(self.contexts[order], names[0], "left").join(counts, [names[0], "w"], "left")
-        p = F.coalesce(worth(F.col("seen"), self.discounts[order]) / F.col("total"), F.col("weight") * F.col("lower"), F.col("lower"))
-        return out.withColumn("p", p).drop("lower", "seen", "total", "weight")
-
-
-def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of ``width`` bytes as columns of bytes, so that equal high bytes stand together and are compressed on their way."""
+    return values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(data: bytes, width: int = 8) -> np.ndarray:
+    found = np.frombuffer(data, "u1").reshape(width, -1)
+    out = np.zeros((found.shape[1], 8), "u1")
+    out[:, :width] = found.T
+    return out.view("<u8").ravel()
+
+
+def deltas(values: np.ndarray) -> bytes:
+    return planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def sums(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(data), dtype="uint64")
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of some sorted columns changes."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return change
+
+
+def pack(chunk: Chunk, buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    """A row for each bucket that words of the chunk fall into; hot words are dealt by their history too."""
+    bucket = chunk.word % np.uint64(buckets)
+    is_hot = np.isin(chunk.word, hot)
+    bucket[is_hot] = (chunk.word[is_hot] + chunk.history[is_hot] * np.uint64(0x9E3779B1)) % np.uint64(buckets)
+    order = np.lexsort((chunk.word, bucket))
+    bucket, word, history, doc = bucket[order], chunk.word[order], chunk.history[order], chunk.doc[order]
+    at, rows = np.append(np.flatnonzero(starts(bucket)), len(bucket)), []
+    for a, b in zip(at, at[1:], strict=False):
+        who, local = np.unique(doc[a:b], return_inverse=True)  # a bucket hears of no other documents
+        rows.append((int(bucket[a]), chunk.keys[who].tobytes(), chunk.train[who].tobytes(), planes(local, 4), deltas(word[a:b]), planes(history[a:b], 6)))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "train", "doc", "word", "history"])
+
+
+#: What a bucket says of a document: words seen in training; seen pairs by count 1 to 5; unseen pairs by the word's count 0 to 5, and above.
+COUNTS = ["tokens", "known", *(f"m{r}" for r in range(1, RELIABLE + 1)), *(f"u{r}" for r in range(RELIABLE + 1)), "many"]
+#: What a bucket says of a history: its count, pairs with larger counts, pairs by count, the words after it by count, and twice the worth of larger ones.
+OF_HISTORY = ["total", "half", *(f"n{r}" for r in range(1, RELIABLE + 1)), *(f"q{r}" for r in range(1, RELIABLE + 1)), "big"]
+COUNTED = "kind string, bucket int, key long, base double, part double, " + ", ".join(f"{c} int" for c in COUNTS) + ", data array<binary>"
+
+
+def count_bucket(rows: pd.DataFrame, buckets: int, hot: dict[int, int]) -> pd.DataFrame:
+    """Rows of kind doc, history, event, frequent and stat of one bucket of words: documents once, the rest by slices."""
+    sizes = [len(k) // 8 for k in rows["keys"]]
+    keys = np.concatenate([np.frombuffer(k, "int64") for k in rows["keys"]])
+    train = np.concatenate([np.frombuffer(t, bool) for t in rows["train"]])
+    # words are dealt to slices by other bits of their hash, and the slices taken in turn
+    slices = [[] for _ in range(max(1, sum(len(d) // 4 for d in rows["doc"]) // SLICE))]
+    for base, d, w, h in zip(np.cumsum(sizes) - sizes, rows["doc"], rows["word"], rows["history"], strict=True):
+        doc, word, history = (numbers(d, 4) + np.uint64(base)).astype("int32"), sums(w), numbers(h, 6)
+        of = (word >> np.uint64(40)) % np.uint64(len(slices))
+        for k, part in enumerate(slices):
+            mine = of == k
+            part.append((doc[mine], word[mine], history[mine]))
+    total = {"base": np.zeros(len(keys)), "part": np.zeros(len(keys))} | {c: np.zeros(len(keys), "int64") for c in COUNTS}
+    out = []
+    while slices:
+        out += count_slice(*(np.concatenate(x) for x in zip(*slices.pop(), strict=True)), keys, train, total, buckets, hot)
+    docs = pd.DataFrame({"kind": "doc", "bucket": 0, "key": keys, **total})
+    found = pd.concat([docs, *out], ignore_index=True)  # bucket and key are whole in all parts, since longs must not become doubles
+    found = found.fillna({"base": 0.0, "part": 0.0, **dict.fromkeys(COUNTS, 0)})
+    found["data"] = [d if isinstance(d, list) else [] for d in found["data"]]
+    return found[["kind", "bucket", "key", "base", "part", *COUNTS, "data"]].astype({"bucket": "int32", "key": "int64", **dict.fromkeys(COUNTS, "int32")})
+
+
+def count_slice(doc, word, history, keys, train, total, buckets: int, hot: dict[int, int]) -> list[pd.DataFrame]:
+    """Adds what some words say of the documents to ``total``; returns rows of kind history, event, frequent and stat."""
+    order = np.lexsort((history, word))
+    doc, word, history = doc[order], word[order], history[order]
+    new = starts(word)
+    of_word, first_word = np.cumsum(new) - 1, word[new]
+    of_pair = np.cumsum(new2 := starts(word, history)) - 1
+    learnt = train[doc]
+    words = np.bincount(of_word, learnt).astype("int64")
+    pairs = np.bincount(of_pair, learnt).astype("int64")
+    own = np.array([int(w) not in hot for w in first_word], bool)
+    stat = [int(words[own].sum()), int((words[own] > 0).sum()), *np.bincount(words[own], minlength=RELIABLE + 2)[1 : RELIABLE + 2].tolist(), *np.bincount(pairs, minlength=RELIABLE + 2)[1 : RELIABLE + 2].tolist()]
+    words[~own] = [hot[int(w)] for w in first_word[~own]]
+    cw, cp = words[of_word], pairs[of_pair]
+    log = lambda x: np.log10(np.maximum(x, HALF))
+    part = np.where(cp > RELIABLE, log(cp - HALF), 0) + np.where((cp == 0) & (cw > RELIABLE), log(cw - HALF), 0) - np.where((word != END) & (cw > 0), log(cw), 0)
+    n = len(keys)
+    of_doc = lambda where: np.bincount(doc[where], minlength=n)
+    total["base"] += np.bincount(doc, np.log10(cw + 1), n)
+    total["part"] += np.bincount(doc, part, n)
+    total["tokens"] += np.bincount(doc, minlength=n)
+    total["known"] += of_doc(cw > 0)
+    for r in range(RELIABLE + 1):
+        if r:
+            total[f"m{r}"] += of_doc(cp == r)
+        total[f"u{r}"] += of_doc((cp == 0) & (cw == r))
+    total["many"] += of_doc((cp == 0) & (cw > RELIABLE))
+
+    seen = new2.copy()
+    seen[new2] = pairs > 0
+    h, c, w = history[seen], cp[seen], cw[seen]
+    names, of = np.unique(h, return_inverse=True)
+    add = lambda where, x=None: np.bincount(of[where], None if x is None else x[where], len(names)).astype("uint64")
+    columns = [add(slice(None), c), add(c > RELIABLE), *(add(c == r) for r in range(1, RELIABLE + 1)), *(add(w == r) for r in range(1, RELIABLE + 1)), add(w > RELIABLE, 2 * w - 1)]
+    out = [pd.DataFrame({"kind": ["stat"], "bucket": [0], "key": [0], "data": [[planes(np.array(stat))]]})]
+    unseen = cp == 0
+    eh, ed = history[unseen], doc[unseen]
+    eo = np.argsort(eh, kind="stable")
+    eh, ed = eh[eo], ed[eo]
+    # tokens after frequent words stay where they are: the few weights come to them
+    of_events = np.where(np.isin(eh, shortened(hot)), buckets, (eh % np.uint64(buckets)).astype("int64"))
+    for b in range(buckets + 1):
+        mine, events = names % np.uint64(buckets) == b, of_events == b
+        if mine.any():
+            out.append(pd.DataFrame({"kind": ["history"], "bucket": [b], "key": [0], "data": [[deltas(names[mine]), *(planes(x[mine]) for x in columns)]]}))
+        if events.any():
+            who, local = np.unique(ed[events], return_inverse=True)
+            out.append(pd.DataFrame({"kind": ["event" if b < buckets else "frequent"], "bucket": [b], "key": [0], "data": [[deltas(eh[events]), planes(local), keys[who].tobytes()]]}))
+    return out
+
+
+class Constants(NamedTuple):
+    """What describes the whole training corpus: tokens, types, the worth of small counts of words and pairs, the share of unseen words."""
+
+    tokens: int
+    types: int
+    words: list[float]
+    pairs: list[float]
+    unseen: float
+
+
+def weights(found: list, k: Constants) -> tuple[np.ndarray, np.ndarray]:
+    """Histories (sorted) and log10 of their back-off weights, times the history's count, by which buckets of words have divided already."""
+    if not found:
+        return np.zeros(0, "uint64"), np.zeros(0)
+    names, of = np.unique(np.concatenate([sums(d[0]) for d in found]), return_inverse=True)
+    c = {name: np.bincount(of, np.concatenate([numbers(d[j]) for d in found]).astype("float64"), len(names)) for j, name in enumerate(OF_HISTORY, 1)}
+    worth, after = c["total"] - HALF * c["half"], c["big"] / 2
+    for r in range(1, RELIABLE + 1):
+        worth += c[f"n{r}"] * (k.pairs[r - 1] - r)
+        after += c[f"q{r}"] * k.words[r - 1]
+    return names, np.log10((c["total"] - worth) / (1 - after / k.tokens))
+
+
+def weigh(events: list, names: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    """(key, part): for each document the weights of the histories of its tokens with unseen pairs; a history not seen in training has none."""
+    out = [pd.DataFrame({"key": np.zeros(0, "int64"), "part": np.zeros(0)})]
+    for history, doc, keys in events:
+        h, doc, keys = sums(history), numbers(doc).astype("int64"), np.frombuffer(keys, "int64")
+        at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+        value = np.where(names[at] == h, values[at], 0) if len(names) else np.zeros(len(h))
+        out.append(pd.DataFrame({"key": keys, "part": np.bincount(doc, value, len(keys))}))
+    return pd.concat(out)
+
+
+def weigh_bucket(rows: pd.DataFrame, k: Constants) -> pd.DataFrame:
+    """The weights of one bucket of histories, for its own events."""
+    return weigh(rows[rows["kind"] == "event"]["data"].tolist(), *weights(rows[rows["kind"] == "history"]["data"].tolist(), k))
+
+
+def frequent_weights(counted: DataFrame, hot: dict[int, int], k: Constants) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the frequent histories alone, a few dozen a bucket."""
+    wanted = shortened(hot)
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        names, values = weights(rows["data"].tolist(), k)
+        keep = np.isin(names, wanted)
+        return pd.DataFrame({"name": names[keep].view("int64"), "value": values[keep]})
+
+    found = counted.where("kind = 'history'").select("bucket", "data").groupBy("bucket").applyInPandas(of, "name long, value double").toPandas().sort_values("name")
+    return found["name"].to_numpy("int64").view("uint64"), found["value"].to_numpy("float64")
+
+
+def shortened(hot) -> np.ndarray:
+    return np.unique(np.array(sorted(hot), "uint64") & SHORT)
+
+
+def frequent(texts: DataFrame, size: int, buckets: int) -> dict[int, int]:
+    """Training counts of the words that hold more than a quarter of a bucket, of a corpus of ``size`` bytes.
+
+    A word is counted in the chunks where it has a sixteenth of a bucket's share; what it misses elsewhere can't
+    add up to a quarter. A few dozen words a bucket can be so frequent at most.
+    """
+
+    def count(batches, only=None):
+        for chunk in chunks(batches):
+            word, of = np.unique(chunk.word, return_inverse=True)
+            n = np.bincount(of)
+            keep = n >= len(chunk.word) / (16 * buckets) if only is None else np.isin(word, only)
+            yield pd.DataFrame({"word": word[keep].view("int64"), "n": n[keep], "learnt": np.bincount(of, chunk.train[chunk.doc]).astype("int64")[keep]})
+
+    kind = "word long, n long, learnt long"
+    hot = texts.mapInPandas(count, kind).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > size / 16 / (8 * buckets)).select("word").toPandas()["word"].to_numpy("int64").view("uint64")
+    hot = np.sort(hot)
+    exact = texts.mapInPandas(lambda b: count(b, hot), kind).groupBy("word").agg(F.sum("learnt").alias("n")).collect() if len(hot) else []
+    return {r["word"] % (1 << 64): r["n"] for r in exact}
+
+
+def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``df``.
 
     Learns from the rows where ``train`` holds (null counts as not). Scores are log10 probabilities of the whole text; base_score
     adds one to the counts of single words. A null text counts as empty: the end alone. Rows are told apart by a hash of
     id and text; equal rows teach once each and get equal scores. With nothing to learn from, every token
-    has the probability of an unseen word.
+    has the probability of an unseen word. Other columns do not matter.
     """
-    key = F.xxhash64(id_col, text_col)
-    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    grams = count_grams(rows.select("key", "train", "text"), order)
-    model = Katz(grams.where("train").drop("key", "train"), order)
-    copies = settle(rows.groupBy("id", "key", "train").agg(F.count("*").alias("copies")))
-    tokens = model.probability(grams)
-    base = F.log10((F.coalesce("known", F.lit(0)) + 1) / F.lit(float(model.tokens + model.types + 1)))
-    sums = tokens.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * base).alias("b"), F.sum(F.col("n") * F.log10("p")).alias("s"))
-    # equal rows share a key, and their sums
-    out = copies.join(sums, "key").withColumn("all", F.sum("copies").over(Window.partitionBy("key")))
-    out = out.select("id", (~F.col("train")).alias("held_out"), *[(F.col(a) / F.col("all")).alias(b) for a, b in (("n", "n_tokens"), ("k", "n_known"), ("b", "base_score"), ("s", "score"))], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_"))
-    return out.select(F.col("id").alias(id_col), "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
+    texts = rows.select("key", "train", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = size // (6 * BUCKET) + 1
+    hot = frequent(texts, size, buckets) if buckets > 1 else {}
+    known = np.array(sorted(hot), "uint64")
+
+    def packed(batches):
+        for chunk in chunks(batches):
+            yield pack(chunk, buckets, known)
+
+    sent = texts.mapInPandas(packed, "bucket int, keys binary, train binary, doc binary, word binary, history binary")
+    counted = settle(sent.groupBy("bucket").applyInPandas(lambda g: count_bucket(g, buckets, hot), COUNTED))
+    k, learners = constants_of(counted, hot), rows.where("train").count()
+    weights_ = counted.where(F.col("kind").isin("history", "event")).select("kind", "bucket", "data").groupBy("bucket").applyInPandas(lambda g: weigh_bucket(g, k), "key long, part double")
+    if hot:
+        names, values = frequent_weights(counted, hot, k)
+
+        def apply(batches):
+            for batch in batches:
+                yield weigh(batch["data"].tolist(), names, values)
+
+        weights_ = weights_.unionByName(counted.where("kind = 'frequent'").select("data").mapInPandas(apply, "key long, part double"))
+    zeros = [F.lit(0).alias(c) for c in COUNTS]
+    parts = counted.where("kind = 'doc'").select("key", "base", "part", *COUNTS).unionByName(weights_.select("key", F.lit(0.0).alias("base"), "part", *zeros))
+    total = parts.groupBy("key").agg(F.sum("base").alias("base"), F.sum("part").alias("part"), *[F.sum(c).alias(c) for c in COUNTS])
+    copies = rows.groupBy("id", "key", "train").agg(F.count("*").alias("copies"))
+    # equal rows share a key, and its sums
+    out = copies.join(total, "key").withColumn("all", F.sum("copies").over(Window.partitionBy("key")))
+    n = float(max(1, k.tokens))
+    score = F.col("part") - F.col("many") * float(np.log10(n)) + F.col("u0") * float(np.log10(k.unseen))
+    for r in range(1, RELIABLE + 1):
+        score = score + F.col(f"m{r}") * float(np.log10(k.pairs[r - 1])) + F.col(f"u{r}") * float(np.log10(k.words[r - 1] / n))
+    score = score / F.col("all") - (float(np.log10(learners)) if learners else 0.0)
+    base = (F.col("base") - F.col("tokens") * float(np.log10(k.tokens + k.types + 1))) / F.col("all")
+    each = lambda c: (F.col(c) / F.col("all")).cast("long").alias(f"n_{c}")
+    out = out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), each("tokens"), each("known"), F.lit(k.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_"))
+    return out.drop("_")
+
+
+def constants_of(counted: DataFrame, hot: dict[int, int]) -> Constants:
+    """From the sums of all buckets (a row each) and the frequent words."""
+    found = [numbers(bytes(r["data"][0])).astype("int64") for r in counted.where("kind = 'stat'").select("data").toLocalIterator()]
+    stat = np.sum(found, 0) if found else np.zeros(2 * RELIABLE + 4, "int64")
+    times = stat[2 : RELIABLE + 3].copy()
+    for n in hot.values():
+        if 0 < n <= RELIABLE + 1:
+            times[n - 1] += 1
+    tokens, types = int(stat[0]) + sum(hot.values()), int(stat[1]) + sum(n > 0 for n in hot.values())
+    words = good_turing(dict(enumerate(times.tolist(), 1)))
+    small = sum(int(t) * (r - w) for r, (t, w) in enumerate(zip(times, words, strict=False), 1))
+    reliable = types - int(times[:RELIABLE].sum())
+    unseen = (small + HALF * reliable) / tokens if tokens else 1.0
+    return Constants(tokens, types, words, good_turing(dict(enumerate(stat[RELIABLE + 3 :].tolist(), 1))), unseen)
 
 
 def op5_katz(spark, sf_dir):
