@@ -123,7 +123,7 @@ def field_usages(view):
 
 @query
 def collection_filter(view):
-    return view("documents").select(F.col("doc_id"), F.split("text", r"\s+").alias("w")).select("doc_id", F.explode(F.slice("w", 1, 20)).alias("name")).where(~T.is_skipped_collection(F.col("name"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return view("documents").select(F.col("doc_id"), F.split("text", r"\s+").alias("w")).select("doc_id", F.explode("w").alias("name")).where(~T.is_skipped_collection(F.col("name"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query
