@@ -118,12 +118,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A word is hit inside any occurrence of a window (``WINDOW`` consecutive words of an item, or a whole
     shorter item). A document is contaminated if some word is hit and 1 in ``share`` words or more.
     Null and empty texts have no words and are never hit; items without words match nothing; repeated
-    items count once by id, and null item ids are left out of the list. Documents are told apart by id and hash of the text, so equal rows get
+    items count once by id; all with a null id count as one in n_items and are left out of the list alone. Documents are told apart by id and hash of the text, so equal rows get
     equal results. Columns of these names are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
-    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null").distinct()
+    # a null id as an empty array, so that joins and groups hold it
+    items = items.select(F.when(F.col(item_col).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(item_col).cast("string"))).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").distinct()
     known = items.withColumn("p", prints(F.col("item_text"), list(range(1, WINDOW)), True))
     known = settle(known.select("item", "item_text", "p.n_words", F.explode(F.arrays_zip("p.hashes", "p.places")).alias("x")).select("item", "item_text", "n_words", F.col("x.hashes").alias("h"), F.col("x.places").alias("at")))
     short = sorted(r[0] for r in known.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())  # 12 values at most
@@ -138,10 +139,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     pairs = pairs.join(known.select("item", "item_text").distinct(), "item").join(docs.select(key.alias("key"), F.col(text_col).alias("doc")).join(pairs.select("key").distinct(), "key", "left_semi").distinct(), "key")
     runs = settle(pairs.select("key", "item", F.explode(extended(F.col("doc"), F.col("item_text"), F.col("diagonals"))).alias("r")))
     hit = runs.select("key", F.explode(F.sequence(F.col("r.first"), F.col("r.past") - 1)).alias("w")).groupBy("key").agg(F.countDistinct("w").alias("n_hit"))
-    items_of = runs.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items_of = runs.groupBy("key").agg(F.collect_set("item").alias("found")).select("key", F.size("found").alias("n_items"), F.array_sort(F.flatten("found")).alias("items"))
     found = scanned.select("key", "n_words").distinct().join(hit, "key", "left").join(items_of, "key", "left")
     out = docs.withColumn("key", key).join(found, "key").drop("key")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -213,6 +213,21 @@ def test_decontamination_edges(spark, monkeypatch, sieve):
     assert D.decontaminate(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_counts_items_without_id(spark, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(20))
+    docs = [(1, "x y " + long), (2, "short one here"), (3, "clean"), (4, long)]
+    bench = [(None, long), (None, "short one"), (None, None), (7, "short one here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, list(r.items), r.contaminated) for r in D.decontaminate(df, items).collect())
+    assert got == [(1, 22, 20, 1, [], True), (2, 3, 3, 2, ["7"], True), (3, 1, 0, 0, [], False), (4, 20, 20, 1, [], True)]
+    monkeypatch.setattr(D, "table", lambda spark, sf_dir, name: {"documents": df, "benchmark": items}[name])
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in bench], "Int64"), "text": [t for _, t in bench]}))
+    assert sorted(tuple(r) for r in D.op10_decontamination(spark, "").collect()) == sorted(con.sql(D.OP10_SQL).fetchall())
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (600, 2))] + [(k, k + 1) for k in range(2000, 2400)]
