@@ -1,83 +1,77 @@
-"""Language-model scores by Katz back-off (Katz, 1987) over pairs of words.
+"""Language-model scores by Katz back-off (Katz, 1987) over n-grams of words.
 
-Counts up to ``RELIABLE`` are discounted by Good-Turing estimates, larger ones by ``HALF``, so every history leaves
-something for words it was not seen with; its back-off weight hands that on to the single words so that
-all probabilities after it add up to one exactly. Words never seen share what the single words leave,
+Counts up to ``RELIABLE`` are discounted by Good-Turing estimates, larger ones by ``HALF``, so every context leaves
+something for words it was not seen with; its back-off weight hands that on to the next shorter context so
+that all probabilities after it add up to one exactly. Words never seen share what the single words leave,
 as one further word.
 
-A corpus has about as many different pairs as tokens, so tokens are exchanged once, packed. Each task sorts a
-million tokens by word at a time and sends each bucket of words (word, history, document) as columns of bytes. A bucket
-counts its words and pairs, scores what it knows of each document, and hands on by history: counts for the
-back-off weights, and the tokens whose pair was not seen. Buckets of histories then finish the
-weights and the scores. Words frequent enough to fill a bucket are counted first and dealt by pair.
+Counting and scoring ask the same question, how often an n-gram occurs in training, so the n-grams travel once:
+
+1. Texts are encoded in chunks of about ``CHUNK`` tokens, a row each, in a settled table.
+2. A chunk sends each n-gram that it holds once, with its own training count, to the bucket of the
+   n-gram's hash. So no n-gram is heavier than the number of chunks, however frequent it is.
+3. A bucket adds up the counts: the table of n-gram counts, partitioned by order and n-gram, in the form of answers to the
+   chunks. One chunk of those that sent an n-gram is told that it owns it.
+4. A chunk evaluates each token: the longest n-gram that was seen gives the probability, and each longer one that was not
+   asks for the weight of its context. Of the n-grams that it owns it sends, summed by
+   context, what they take from the context's mass and from that of the shorter one.
+5. These sums make the table of back-off weights, a row for each context that is asked for; a join brings them
+   to the tokens that ask.
 """
 
 from __future__ import annotations
 
+import struct
+from array import array
+from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import discard, settle, table
 
+ORDER = 2
 RELIABLE, HALF = 5, 0.5
-START, END = 1, 2
-#: Tokens packed at a time by a task, and aimed at in a bucket.
-CHUNK, BUCKET = 1_000_000, 4_000_000
-#: Tokens that a bucket sorts at a time.
-SLICE = 300_000
-#: Histories are known by 48 bits of their hash.
-SHORT = np.uint64((1 << 48) - 1)
+#: Tokens in a row of the encoded corpus, and n-grams aimed at in a bucket.
+CHUNK, BUCKET = 1 << 19, 1 << 21
+#: Buckets of single words, as a share of those of n-grams: there are so many fewer.
+FEWER = 8
+END, START = 2, 3
+CODEC = pa.Codec("zstd", 1)
 
 
-class Words(dict):
-    """Word to 64-bit hash; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 5)
-        return found
-
-
-class Chunk(NamedTuple):
-    """Documents (keys, train) and their tokens (doc, word, history)."""
-
-    keys: np.ndarray
-    train: np.ndarray
-    doc: np.ndarray
-    word: np.ndarray
-    history: np.ndarray
-
-
-def chunks(batches):
-    """The texts (key, train, text) of a task, a million tokens at a time: words in lower case, then the end."""
-    words, keys, train, parts, held = Words(), [], [], [], 0
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned longs as columns of bytes, without high bytes that are zero throughout, compressed."""
+    n, widths, parts = len(columns[0]), [], []
+    for c in columns:
+        width = (int(c.max()).bit_length() + 7) // 8 if n else 0
+        widths.append(width)
+        parts.append(np.ascontiguousarray(c.astype("<u8").view("u1").reshape(n, 8)[:, :width].T).tobytes())
+    return struct.pack(f"<q{len(columns)}B", n, *widths) + CODEC.compress(b"".join(parts), asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = struct.unpack_from(f"<q{columns}B", data)
+    size = n * sum(widths)
+    flat = np.frombuffer(CODEC.decompress(data[8 + columns :], size, asbytes=True), "u1") if size else np.zeros(0, "u1")
+    out, at = [], 0
+    for width in widths:
+        column = np.zeros((n, 8), "u1")
+        column[:, :width] = flat[at : at + n * width].reshape(width, n).T
+        out.append(column.view("<u8").ravel())
+        at += n * width
+    return out
 
-    def done() -> Chunk:
-        sizes = [len(p) for p in parts]
-        word = np.concatenate(parts)
-        history = np.empty_like(word)
-        history[1:] = word[:-1]
-        history[np.cumsum(sizes) - sizes] = START
-        return Chunk(np.array(keys, "int64"), np.array(train, bool), np.repeat(np.arange(len(parts)), sizes), word, history & SHORT)
 
-    for batch in batches:
-        for key, learn, text in zip(batch["key"], batch["train"], batch["text"], strict=True):
-            found = (text or b"").lower().split()
-            keys.append(key)
-            train.append(learn)
-            parts.append(np.array([*map(words.__getitem__, found), END], "uint64"))
-            held += len(found) + 1
-            if held >= CHUNK:
-                yield done()
-                keys, train, parts, held = [], [], [], 0
-    if parts:
-        yield done()
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences; a running sum undoes it."""
+    return np.diff(keys, prepend=np.uint64(0))
 
 
 def good_turing(times: dict[int, int]) -> list[float]:
@@ -94,270 +88,283 @@ def good_turing(times: dict[int, int]) -> list[float]:
     return out
 
 
-def planes(values: np.ndarray, width: int = 8) -> bytes:
-    """Numbers of ``width`` bytes as columns of bytes, so that equal high bytes stand together and are compressed on their way."""
-    return values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+class Chunk:
+    """Texts being encoded: words are numbered as they come, the end of a text is number 0."""
+
+    def __init__(self):
+        self.numbers = defaultdict(None, {None: 0})
+        self.numbers.default_factory = self.numbers.__len__
+        self.tokens, self.ends, self.ids, self.train = array("i"), [], [], []
+
+    def add(self, text: bytes | None) -> None:
+        self.tokens.extend(map(self.numbers.__getitem__, (text or b"").lower().split()))
+        self.tokens.append(0)
+        self.ends.append(len(self.tokens))
+
+    def row(self, number: int) -> dict:
+        """The chunk as a table row; its words stand in order of frequency, so that most tokens are small numbers."""
+        tokens = np.frombuffer(self.tokens, "i4")
+        order = np.argsort(-np.bincount(tokens, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), "uint64")
+        rank[order] = np.arange(len(order), dtype="uint64")
+        words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w, 5) for w in self.numbers), "uint64", len(order))
+        ids, train = pa.concat_arrays(self.ids), pa.concat_arrays(self.train)
+        return {
+            "chunk": TaskContext.get().partitionId() << 32 | number,
+            "ids": pa.ListArray.from_arrays([0, len(ids)], ids),
+            "train": pa.ListArray.from_arrays([0, len(train)], train),
+            "n_tokens": len(tokens),
+            "ends": packed(gaps(np.array(self.ends, "uint64"))),
+            "words": words[order].tobytes(),
+            "tokens": packed(rank[tokens]),
+        }
+
+
+def encoded(batches, size: int):
+    """Rows of texts (id, train, text) as rows of chunks of about ``size`` tokens."""
+    chunk, made = Chunk(), 0
+
+    def done():
+        row = chunk.row(made)
+        arrays = {name: x if isinstance(x, pa.Array) else pa.array([x]) for name, x in row.items()}
+        return pa.RecordBatch.from_pydict(arrays)
 
-
-def numbers(data: bytes, width: int = 8) -> np.ndarray:
-    found = np.frombuffer(data, "u1").reshape(width, -1)
-    out = np.zeros((found.shape[1], 8), "u1")
-    out[:, :width] = found.T
-    return out.view("<u8").ravel()
-
-
-def deltas(values: np.ndarray) -> bytes:
-    return planes(np.diff(values, prepend=np.uint64(0)))
-
-
-def sums(data: bytes) -> np.ndarray:
-    return np.cumsum(numbers(data), dtype="uint64")
+    for batch in batches:
+        texts, first = batch.column("text"), 0
+        for k in range(batch.num_rows):
+            chunk.add(texts[k].as_py())
+            full = len(chunk.tokens) >= size
+            if full or k == batch.num_rows - 1:
+                chunk.ids.append(batch.column("id").slice(first, k + 1 - first))
+                chunk.train.append(batch.column("train").slice(first, k + 1 - first))
+                first = k + 1
+            if full:
+                yield done()
+                chunk, made = Chunk(), made + 1
+    if chunk.ends:
+        yield done()
 
 
-def starts(*columns: np.ndarray) -> np.ndarray:
-    """Where any of some sorted columns changes."""
-    change = np.zeros(len(columns[0]), bool)
-    change[:1] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return change
-
-
-def pack(chunk: Chunk, buckets: int, hot: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket that words of the chunk fall into; hot words are dealt by their history too."""
-    bucket = chunk.word % np.uint64(buckets)
-    is_hot = np.isin(chunk.word, hot)
-    bucket[is_hot] = (chunk.word[is_hot] + chunk.history[is_hot] * np.uint64(0x9E3779B1)) % np.uint64(buckets)
-    order = np.lexsort((chunk.word, bucket))
-    bucket, word, history, doc = bucket[order], chunk.word[order], chunk.history[order], chunk.doc[order]
-    at, rows = np.append(np.flatnonzero(starts(bucket)), len(bucket)), []
-    for a, b in zip(at, at[1:], strict=False):
-        who, local = np.unique(doc[a:b], return_inverse=True)  # a bucket hears of no other documents
-        rows.append((int(bucket[a]), chunk.keys[who].tobytes(), chunk.train[who].tobytes(), planes(local, 4), deltas(word[a:b]), planes(history[a:b], 6)))
-    return pd.DataFrame(rows, columns=["bucket", "keys", "train", "doc", "word", "history"])
-
-
-#: What a bucket says of a document: words seen in training; seen pairs by count 1 to 5; unseen pairs by the word's count 0 to 5, and above.
-COUNTS = ["tokens", "known", *(f"m{r}" for r in range(1, RELIABLE + 1)), *(f"u{r}" for r in range(RELIABLE + 1)), "many"]
-#: What a bucket says of a history: its count, pairs with larger counts, pairs by count, the words after it by count, and twice the worth of larger ones.
-OF_HISTORY = ["total", "half", *(f"n{r}" for r in range(1, RELIABLE + 1)), *(f"q{r}" for r in range(1, RELIABLE + 1)), "big"]
-COUNTED = "kind string, bucket int, key long, base double, part double, " + ", ".join(f"{c} int" for c in COUNTS) + ", data array<binary>"
-
-
-def count_bucket(rows: pd.DataFrame, buckets: int, hot: dict[int, int]) -> pd.DataFrame:
-    """Rows of kind doc, history, event, frequent and stat of one bucket of words: documents once, the rest by slices."""
-    sizes = [len(k) // 8 for k in rows["keys"]]
-    keys = np.concatenate([np.frombuffer(k, "int64") for k in rows["keys"]])
-    train = np.concatenate([np.frombuffer(t, bool) for t in rows["train"]])
-    # words are dealt to slices by other bits of their hash, and the slices taken in turn
-    slices = [[] for _ in range(max(1, sum(len(d) // 4 for d in rows["doc"]) // SLICE))]
-    for base, d, w, h in zip(np.cumsum(sizes) - sizes, rows["doc"], rows["word"], rows["history"], strict=True):
-        doc, word, history = (numbers(d, 4) + np.uint64(base)).astype("int32"), sums(w), numbers(h, 6)
-        of = (word >> np.uint64(40)) % np.uint64(len(slices))
-        for k, part in enumerate(slices):
-            mine = of == k
-            part.append((doc[mine], word[mine], history[mine]))
-    total = {"base": np.zeros(len(keys)), "part": np.zeros(len(keys))} | {c: np.zeros(len(keys), "int64") for c in COUNTS}
-    out = []
-    while slices:
-        out += count_slice(*(np.concatenate(x) for x in zip(*slices.pop(), strict=True)), keys, train, total, buckets, hot)
-    docs = pd.DataFrame({"kind": "doc", "bucket": 0, "key": keys, **total})
-    found = pd.concat([docs, *out], ignore_index=True)  # bucket and key are whole in all parts, since longs must not become doubles
-    found = found.fillna({"base": 0.0, "part": 0.0, **dict.fromkeys(COUNTS, 0)})
-    found["data"] = [d if isinstance(d, list) else [] for d in found["data"]]
-    return found[["kind", "bucket", "key", "base", "part", *COUNTS, "data"]].astype({"bucket": "int32", "key": "int64", **dict.fromkeys(COUNTS, "int32")})
-
-
-def count_slice(doc, word, history, keys, train, total, buckets: int, hot: dict[int, int]) -> list[pd.DataFrame]:
-    """Adds what some words say of the documents to ``total``; returns rows of kind history, event, frequent and stat."""
-    order = np.lexsort((history, word))
-    doc, word, history = doc[order], word[order], history[order]
-    new = starts(word)
-    of_word, first_word = np.cumsum(new) - 1, word[new]
-    of_pair = np.cumsum(new2 := starts(word, history)) - 1
-    learnt = train[doc]
-    words = np.bincount(of_word, learnt).astype("int64")
-    pairs = np.bincount(of_pair, learnt).astype("int64")
-    own = np.array([int(w) not in hot for w in first_word], bool)
-    stat = [int(words[own].sum()), int((words[own] > 0).sum()), *np.bincount(words[own], minlength=RELIABLE + 2)[1 : RELIABLE + 2].tolist(), *np.bincount(pairs, minlength=RELIABLE + 2)[1 : RELIABLE + 2].tolist()]
-    words[~own] = [hot[int(w)] for w in first_word[~own]]
-    cw, cp = words[of_word], pairs[of_pair]
-    log = lambda x: np.log10(np.maximum(x, HALF))
-    part = np.where(cp > RELIABLE, log(cp - HALF), 0) + np.where((cp == 0) & (cw > RELIABLE), log(cw - HALF), 0) - np.where((word != END) & (cw > 0), log(cw), 0)
-    n = len(keys)
-    of_doc = lambda where: np.bincount(doc[where], minlength=n)
-    total["base"] += np.bincount(doc, np.log10(cw + 1), n)
-    total["part"] += np.bincount(doc, part, n)
-    total["tokens"] += np.bincount(doc, minlength=n)
-    total["known"] += of_doc(cw > 0)
-    for r in range(RELIABLE + 1):
-        if r:
-            total[f"m{r}"] += of_doc(cp == r)
-        total[f"u{r}"] += of_doc((cp == 0) & (cw == r))
-    total["many"] += of_doc((cp == 0) & (cw > RELIABLE))
-
-    seen = new2.copy()
-    seen[new2] = pairs > 0
-    h, c, w = history[seen], cp[seen], cw[seen]
-    names, of = np.unique(h, return_inverse=True)
-    add = lambda where, x=None: np.bincount(of[where], None if x is None else x[where], len(names)).astype("uint64")
-    columns = [add(slice(None), c), add(c > RELIABLE), *(add(c == r) for r in range(1, RELIABLE + 1)), *(add(w == r) for r in range(1, RELIABLE + 1)), add(w > RELIABLE, 2 * w - 1)]
-    out = [pd.DataFrame({"kind": ["stat"], "bucket": [0], "key": [0], "data": [[planes(np.array(stat))]]})]
-    unseen = cp == 0
-    eh, ed = history[unseen], doc[unseen]
-    eo = np.argsort(eh, kind="stable")
-    eh, ed = eh[eo], ed[eo]
-    # tokens after frequent words stay where they are: the few weights come to them
-    of_events = np.where(np.isin(eh, shortened(hot)), buckets, (eh % np.uint64(buckets)).astype("int64"))
-    for b in range(buckets + 1):
-        mine, events = names % np.uint64(buckets) == b, of_events == b
-        if mine.any():
-            out.append(pd.DataFrame({"kind": ["history"], "bucket": [b], "key": [0], "data": [[deltas(names[mine]), *(planes(x[mine]) for x in columns)]]}))
-        if events.any():
-            who, local = np.unique(ed[events], return_inverse=True)
-            out.append(pd.DataFrame({"kind": ["event" if b < buckets else "frequent"], "bucket": [b], "key": [0], "data": [[deltas(eh[events]), planes(local), keys[who].tobytes()]]}))
-    return out
+class Tokens(NamedTuple):
+    """A chunk opened: where its texts begin and end, which tokens teach, and of each order the
+    n-grams' sorted hashes (keys) and which of them ends at each token (at)."""
+
+    ends: np.ndarray
+    first: np.ndarray
+    teaches: np.ndarray
+    keys: list[np.ndarray]
+    at: list[np.ndarray]
+
+
+def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of its context and its last word."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def opened(row, order: int) -> Tokens:
+    ends = np.cumsum(unpacked(row["ends"], 1)[0]).astype("int64")
+    tokens, words = unpacked(row["tokens"], 1)[0].astype("int64"), np.frombuffer(row["words"], "uint64")
+    sizes = np.diff(ends, prepend=0)
+    first, keys, at = ends - sizes, [], []
+    word = gram = words[tokens]
+    for n in range(1, order + 1):
+        if n > 1:
+            context = np.empty_like(gram)
+            context[1:] = gram[:-1]
+            context[first] = START + n - 1  # as many starts as the context is long
+            gram = mixed(context, word)
+        found, which = np.unique(gram, return_inverse=True)
+        keys.append(found)
+        at.append(which)
+    return Tokens(ends, first, np.repeat(np.asarray(row["train"], bool), sizes), keys, at)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so sorted keys stand in order of buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("int64")
+
+
+def cut(keys: np.ndarray, buckets: int):
+    """(bucket, from, to) of the ranges of sorted keys that go to each bucket."""
+    of = bucket_of(keys, buckets)
+    at = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+    return [(int(of[i]), i, j) for i, j in zip(at, at[1:], strict=False)]
+
+
+def requests(chunks, order: int, buckets: int):
+    """The n-grams of each chunk, with their training counts in it, dealt to their buckets."""
+    for batch in chunks:
+        for _, row in batch.iterrows():
+            t, rows = opened(row, order), []
+            for n, (keys, at) in enumerate(zip(t.keys, t.at, strict=True), 1):
+                times = np.bincount(at[t.teaches], minlength=len(keys)).astype("uint64")
+                for b, i, j in cut(keys, few(buckets, n)):
+                    rows.append((n, b, row["chunk"], packed(gaps(keys[i:j]), times[i:j])))
+            yield pd.DataFrame(rows, columns=["order", "bucket", "chunk", "data"])
+
+
+def few(buckets: int, order: int) -> int:
+    return buckets if order > 1 else buckets // FEWER + 1
+
+
+def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    """The total counts of one bucket's n-grams, as an answer to each chunk: twice the count, and 1 more for the owner.
+    stat, in the first row: tokens, types, and the types with counts 1 to RELIABLE + 1."""
+    keys, times = zip(*(unpacked(d, 2) for d in rows["data"]), strict=True)
+    sizes = np.cumsum([len(k) for k in keys])
+    keys, times = np.concatenate([np.cumsum(k, dtype="uint64") for k in keys]), np.concatenate(times).astype("int64")
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    sums = np.add.reduceat(times[order], np.flatnonzero(new))
+    answer = np.empty(len(keys), "uint64")
+    answer[order] = 2 * sums[np.cumsum(new) - 1] + new
+    stat = [int(sums.sum()), int((sums > 0).sum()), *np.bincount(sums[sums <= RELIABLE + 1], minlength=RELIABLE + 2)[1:].tolist()]
+    return pd.DataFrame({"order": rows["order"], "bucket": rows["bucket"], "chunk": rows["chunk"], "data": [packed(x) for x in np.split(answer, sizes[:-1])], "stat": [stat, *[[]] * (len(rows) - 1)]})
 
 
 class Constants(NamedTuple):
-    """What describes the whole training corpus: tokens, types, the worth of small counts of words and pairs, the share of unseen words."""
+    """What describes the whole training corpus: texts, tokens, types, the share of unseen words, and of each order what small counts are worth."""
 
+    texts: int
     tokens: int
     types: int
-    words: list[float]
-    pairs: list[float]
     unseen: float
-
-
-def weights(found: list, k: Constants) -> tuple[np.ndarray, np.ndarray]:
-    """Histories (sorted) and log10 of their back-off weights, times the history's count, by which buckets of words have divided already."""
-    if not found:
-        return np.zeros(0, "uint64"), np.zeros(0)
-    names, of = np.unique(np.concatenate([sums(d[0]) for d in found]), return_inverse=True)
-    c = {name: np.bincount(of, np.concatenate([numbers(d[j]) for d in found]).astype("float64"), len(names)) for j, name in enumerate(OF_HISTORY, 1)}
-    worth, after = c["total"] - HALF * c["half"], c["big"] / 2
-    for r in range(1, RELIABLE + 1):
-        worth += c[f"n{r}"] * (k.pairs[r - 1] - r)
-        after += c[f"q{r}"] * k.words[r - 1]
-    return names, np.log10((c["total"] - worth) / (1 - after / k.tokens))
-
-
-def weigh(events: list, names: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    """(key, part): for each document the weights of the histories of its tokens with unseen pairs; a history not seen in training has none."""
-    out = [pd.DataFrame({"key": np.zeros(0, "int64"), "part": np.zeros(0)})]
-    for history, doc, keys in events:
-        h, doc, keys = sums(history), numbers(doc).astype("int64"), np.frombuffer(keys, "int64")
-        at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-        value = np.where(names[at] == h, values[at], 0) if len(names) else np.zeros(len(h))
-        out.append(pd.DataFrame({"key": keys, "part": np.bincount(doc, value, len(keys))}))
-    return pd.concat(out)
-
-
-def weigh_bucket(rows: pd.DataFrame, k: Constants) -> pd.DataFrame:
-    """The weights of one bucket of histories, for its own events."""
-    return weigh(rows[rows["kind"] == "event"]["data"].tolist(), *weights(rows[rows["kind"] == "history"]["data"].tolist(), k))
-
-
-def frequent_weights(counted: DataFrame, hot: dict[int, int], k: Constants) -> tuple[np.ndarray, np.ndarray]:
-    """The weights of the frequent histories alone, a few dozen a bucket."""
-    wanted = shortened(hot)
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        names, values = weights(rows["data"].tolist(), k)
-        keep = np.isin(names, wanted)
-        return pd.DataFrame({"name": names[keep].view("int64"), "value": values[keep]})
-
-    found = counted.where("kind = 'history'").select("bucket", "data").groupBy("bucket").applyInPandas(of, "name long, value double").toPandas().sort_values("name")
-    return found["name"].to_numpy("int64").view("uint64"), found["value"].to_numpy("float64")
-
-
-def shortened(hot) -> np.ndarray:
-    return np.unique(np.array(sorted(hot), "uint64") & SHORT)
-
-
-def frequent(texts: DataFrame, size: int, buckets: int) -> dict[int, int]:
-    """Training counts of the words that hold more than a quarter of a bucket, of a corpus of ``size`` bytes.
-
-    A word is counted in the chunks where it has a sixteenth of a bucket's share; what it misses elsewhere can't
-    add up to a quarter. A few dozen words a bucket can be so frequent at most.
-    """
-
-    def count(batches, only=None):
-        for chunk in chunks(batches):
-            word, of = np.unique(chunk.word, return_inverse=True)
-            n = np.bincount(of)
-            keep = n >= len(chunk.word) / (16 * buckets) if only is None else np.isin(word, only)
-            yield pd.DataFrame({"word": word[keep].view("int64"), "n": n[keep], "learnt": np.bincount(of, chunk.train[chunk.doc]).astype("int64")[keep]})
-
-    kind = "word long, n long, learnt long"
-    hot = texts.mapInPandas(count, kind).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > size / 16 / (8 * buckets)).select("word").toPandas()["word"].to_numpy("int64").view("uint64")
-    hot = np.sort(hot)
-    exact = texts.mapInPandas(lambda b: count(b, hot), kind).groupBy("word").agg(F.sum("learnt").alias("n")).collect() if len(hot) else []
-    return {r["word"] % (1 << 64): r["n"] for r in exact}
-
-
-def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    worth: list[list[float]]
+
+
+def constants_of(counted: DataFrame, texts: int, order: int) -> Constants:
+    """From the sums of all buckets, a row for each order."""
+    places = range(RELIABLE + 3)
+    found = counted.where(F.size("stat") > 0).groupBy("order").agg(*[F.sum(F.get("stat", F.lit(k))).alias(f"s{k}") for k in places]).collect()
+    stat = {r["order"]: [r[f"s{k}"] for k in places] for r in found}
+    tokens, types, *times = stat.get(1, [0] * (RELIABLE + 3))
+    worth = [good_turing(dict(enumerate(stat.get(n, [0] * (RELIABLE + 3))[2:], 1))) for n in range(1, order + 1)]
+    small = sum(n * (r - w) for r, (n, w) in enumerate(zip(times, worth[0], strict=False), 1))
+    unseen = (small + HALF * (types - sum(times[:RELIABLE]))) / tokens if tokens else 1.0
+    return Constants(texts, tokens, types, unseen, worth)
+
+
+def worth_of(counts: np.ndarray, small: list[float]) -> np.ndarray:
+    """What counts are worth after the discount; 0 for 0."""
+    known = np.array([0.0, *small])
+    return np.where(counts > RELIABLE, counts - HALF, known[np.minimum(counts, RELIABLE)])
+
+
+EVALUATED = "kind string, order int, bucket int, chunk long, data binary, keys array<long>, pos array<int>, times array<int>, n_tokens array<long>, n_known array<long>, base array<double>, part array<double>"
+
+
+def evaluate(row, answers: pd.DataFrame, k: Constants, order: int, buckets: int) -> pd.DataFrame:
+    """A chunk's rows of kind doc (what is known of each text's score), ask (contexts whose weights its tokens need)
+    and mass (what the n-grams that it owns take from each context)."""
+    t = opened(row, order)
+    n_docs, size = len(t.ends), int(t.ends[-1])
+    of_doc = np.repeat(np.arange(n_docs), np.diff(t.ends, prepend=0))
+    out, before, last = [], None, None
+    for n in range(1, order + 1):
+        mine = answers[answers["order"] == n].sort_values("bucket")
+        answer = np.concatenate([unpacked(d, 1)[0] for d in mine["data"]]).astype("int64")
+        total, owned = answer >> 1, (answer & 1 == 1) & (answer > 1)
+        at, counts = t.at[n - 1], total[t.at[n - 1]]
+        if n == 1:
+            probability = np.where(counts > 0, worth_of(counts, k.worth[0]) / max(1, k.tokens), k.unseen)
+            base = np.bincount(of_doc, np.log10(counts + 1) - np.log10(k.tokens + k.types + 1), n_docs)
+            known = np.bincount(of_doc[counts > 0], minlength=n_docs)
+            before = counts
+            continue
+        # the context: the n-gram, one shorter, that ends at the token before
+        context_count, context = np.empty(size, "int64"), np.empty(size, "uint64")
+        context_count[1:], context[1:] = before[:-1], t.keys[n - 2][t.at[n - 2][:-1]]
+        context_count[t.first], context[t.first] = k.texts, START + n - 1
+        seen = counts > 0
+        ask = ~seen & (context_count > 0)
+        # of each n-gram owned, one token that it ends at
+        token = np.empty(len(total), "int64")
+        token[at] = np.arange(size)
+        token = token[owned]
+        worth = worth_of(total[owned], k.worth[n - 1])
+        names, of = np.unique(np.concatenate([context[token], context[ask]]), return_inverse=True)
+        mine, n_own = of[: len(token)], len(token)
+        held = np.zeros(len(names), "uint64")
+        held[mine] = context_count[token]
+        asked = np.zeros(len(names), "uint64")
+        asked[of[n_own:]] = 1
+        sums = [np.bincount(mine, x, len(names)).view("uint64") for x in (worth, probability[token])]
+        for b, i, j in cut(names, buckets):
+            out.append({"kind": "mass", "order": n, "bucket": b, "data": packed(gaps(names[i:j]), held[i:j], asked[i:j], *(s[i:j] for s in sums))})
+        # the same context asked for again by the same text
+        pair, times = np.unique(of[n_own:] * n_docs + of_doc[ask], return_counts=True)
+        if len(pair):
+            out.append({"kind": "ask", "order": n, "bucket": 0, "data": b"", "keys": names[pair // n_docs].view("int64"), "pos": (pair % n_docs).astype("int32"), "times": times.astype("int32")})
+        probability = np.where(seen, worth_of(counts, k.worth[n - 1]) / np.maximum(1, context_count), probability)
+        before = counts
+    docs = {"n_tokens": np.diff(t.ends, prepend=0), "n_known": known, "base": base, "part": np.bincount(of_doc, np.log10(probability), n_docs)}
+    out.append({"kind": "doc", "order": 0, "bucket": 0, "data": b"", **docs})
+    found = pd.DataFrame(out, columns=[c.split()[0] for c in EVALUATED.split(", ")])
+    found["chunk"] = row["chunk"]
+    for c in found.columns[5:]:
+        found[c] = [x if isinstance(x, np.ndarray) else None for x in found[c]]
+    return found
+
+
+def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+    """log10 of the back-off weights of one bucket's contexts that some chunk asks for."""
+    columns = [np.concatenate(x) for x in zip(*((np.cumsum(key, dtype="uint64"), *rest) for key, *rest in (unpacked(d, 5) for d in rows["data"])), strict=True)]
+    names, of = np.unique(columns[0], return_inverse=True)
+    held, asked = (np.zeros(len(names), "int64") for _ in range(2))
+    np.maximum.at(held, of, columns[1].astype("int64"))
+    np.maximum.at(asked, of, columns[2].astype("int64"))
+    worth, shorter = (np.bincount(of, c.view("float64"), len(names)) for c in columns[3:])
+    keep = (asked > 0) & (held > 0)
+    weight = np.log10((1 - worth[keep] / held[keep]) / (1 - shorter[keep]))
+    return pd.DataFrame({"order": rows["order"].iat[0], "key": names[keep].view("int64"), "weight": weight})
+
+
+def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``df``.
 
-    Learns from the rows where ``train`` holds (null counts as not). Scores are log10 probabilities of the whole text; base_score
-    adds one to the counts of single words. A null text counts as empty: the end alone. Rows are told apart by a hash of
-    id and text; equal rows teach once each and get equal scores. With nothing to learn from, every token
-    has the probability of an unseen word. Other columns do not matter.
+    Learns n-grams up to ``order`` words from the rows where ``train`` holds (null counts as not). Scores are log10 probabilities of
+    the whole text; base_score adds one to the counts of single words. A null text counts as empty: the end
+    alone. Every row is scored for itself, so equal rows teach once each and get equal scores, and ids may be null or repeat. With nothing to
+    learn from, every token has the probability of an unseen word. Other columns do not matter; an empty table gives an empty one.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    texts = rows.select("key", "train", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = size // (6 * BUCKET) + 1
-    hot = frequent(texts, size, buckets) if buckets > 1 else {}
-    known = np.array(sorted(hot), "uint64")
-
-    def packed(batches):
-        for chunk in chunks(batches):
-            yield pack(chunk, buckets, known)
-
-    sent = texts.mapInPandas(packed, "bucket int, keys binary, train binary, doc binary, word binary, history binary")
-    counted = settle(sent.groupBy("bucket").applyInPandas(lambda g: count_bucket(g, buckets, hot), COUNTED))
-    k, learners = constants_of(counted, hot), rows.where("train").count()
-    weights_ = counted.where(F.col("kind").isin("history", "event")).select("kind", "bucket", "data").groupBy("bucket").applyInPandas(lambda g: weigh_bucket(g, k), "key long, part double")
-    if hot:
-        names, values = frequent_weights(counted, hot, k)
-
-        def apply(batches):
-            for batch in batches:
-                yield weigh(batch["data"].tolist(), names, values)
-
-        weights_ = weights_.unionByName(counted.where("kind = 'frequent'").select("data").mapInPandas(apply, "key long, part double"))
-    zeros = [F.lit(0).alias(c) for c in COUNTS]
-    parts = counted.where("kind = 'doc'").select("key", "base", "part", *COUNTS).unionByName(weights_.select("key", F.lit(0.0).alias("base"), "part", *zeros))
-    total = parts.groupBy("key").agg(F.sum("base").alias("base"), F.sum("part").alias("part"), *[F.sum(c).alias(c) for c in COUNTS])
-    copies = rows.groupBy("id", "key", "train").agg(F.count("*").alias("copies"))
-    # equal rows share a key, and its sums
-    out = copies.join(total, "key").withColumn("all", F.sum("copies").over(Window.partitionBy("key")))
-    n = float(max(1, k.tokens))
-    score = F.col("part") - F.col("many") * float(np.log10(n)) + F.col("u0") * float(np.log10(k.unseen))
-    for r in range(1, RELIABLE + 1):
-        score = score + F.col(f"m{r}") * float(np.log10(k.pairs[r - 1])) + F.col(f"u{r}") * float(np.log10(k.words[r - 1] / n))
-    score = score / F.col("all") - (float(np.log10(learners)) if learners else 0.0)
-    base = (F.col("base") - F.col("tokens") * float(np.log10(k.tokens + k.types + 1))) / F.col("all")
-    each = lambda c: (F.col(c) / F.col("all")).cast("long").alias(f"n_{c}")
-    out = out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), each("tokens"), each("known"), F.lit(k.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_"))
-    return out.drop("_")
-
-
-def constants_of(counted: DataFrame, hot: dict[int, int]) -> Constants:
-    """From the sums of all buckets (a row each) and the frequent words."""
-    found = [numbers(bytes(r["data"][0])).astype("int64") for r in counted.where("kind = 'stat'").select("data").toLocalIterator()]
-    stat = np.sum(found, 0) if found else np.zeros(2 * RELIABLE + 4, "int64")
-    times = stat[2 : RELIABLE + 3].copy()
-    for n in hot.values():
-        if 0 < n <= RELIABLE + 1:
-            times[n - 1] += 1
-    tokens, types = int(stat[0]) + sum(hot.values()), int(stat[1]) + sum(n > 0 for n in hot.values())
-    words = good_turing(dict(enumerate(times.tolist(), 1)))
-    small = sum(int(t) * (r - w) for r, (t, w) in enumerate(zip(times, words, strict=False), 1))
-    reliable = types - int(times[:RELIABLE].sum())
-    unseen = (small + HALF * reliable) / tokens if tokens else 1.0
-    return Constants(tokens, types, words, good_turing(dict(enumerate(stat[RELIABLE + 3 :].tolist(), 1))), unseen)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = settle(rows.mapInArrow(lambda b: encoded(b, chunk), f"chunk long, ids array<{kind}>, train array<boolean>, n_tokens long, ends binary, words binary, tokens binary"))
+    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)).alias("texts")).first()
+    buckets = size["n"] // bucket + 1
+    body = chunks.select("chunk", "train", "ends", "words", "tokens")
+    sent = body.mapInPandas(lambda b: requests(b, order, buckets), "order int, bucket int, chunk long, data binary")
+    counted = settle(sent.groupBy("order", "bucket").applyInPandas(count_bucket, "order int, bucket int, chunk long, data binary, stat array<long>"))
+    k = constants_of(counted, size["texts"], order)
+
+    def answered(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return evaluate(rows.iloc[0], answers, k, order, buckets)
+
+    found = settle(body.groupBy("chunk").cogroup(counted.select("order", "bucket", "chunk", "data").groupBy("chunk")).applyInPandas(answered, EVALUATED))
+    docs = found.where("kind = 'doc'").select("chunk", F.arrays_zip("n_tokens", "n_known", "base", "part").alias("d"))
+    docs = docs.join(chunks.select("chunk", F.arrays_zip("ids", "train").alias("i")), "chunk").select("chunk", F.posexplode(F.arrays_zip("i", "d")).alias("pos", "x"))
+    docs = settle(docs.select("chunk", "pos", "x.i.ids", "x.i.train", "x.d.*"))
+    discard(chunks)
+    discard(counted)
+
+    weights = found.where("kind = 'mass'").select("order", "bucket", "data").groupBy("order", "bucket").applyInPandas(weigh, "order int, key long, weight double")
+    asks = found.where("kind = 'ask'").select("order", "chunk", F.explode(F.arrays_zip("keys", "pos", "times")).alias("x")).select("order", F.col("x.keys").alias("key"), "chunk", "x.pos", "x.times")
+    backed = asks.join(weights, ["order", "key"]).groupBy("chunk", "pos").agg(F.sum(F.col("times") * F.col("weight")).alias("weight"))
+    out = docs.join(backed, ["chunk", "pos"], "left")
+    return out.select(
+        F.col("ids").alias(id_col),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(k.tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        (F.col("part") + F.coalesce("weight", F.lit(0.0))).alias("score"),
+    )
 
 
 def op5_katz(spark, sf_dir):
