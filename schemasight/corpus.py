@@ -54,19 +54,19 @@ SELECT file_id, stmt_no, stmt_no * 2 - 1 AS line_no, raw_sql FROM (SELECT file_i
   WHEN 19 THEN 'SELECT a FROM t JOIN u ON t.id = u.tid JOIN v ON u.id = v.uid WHERE t.a > 1 OFFSET 20000'
   WHEN 20 THEN 'SELECT a FROM t CROSS JOIN u'
   WHEN 21 THEN 'SELECT a FROM t ORDER BY RANDOM()'
-  WHEN 22 THEN 'INSERT INTO t (a) VALUES (1)'
+  WHEN 22 THEN CASE WHEN j < 4 THEN 'INSERT INTO t (a) VALUES (1)' ELSE 'SELECT a FROM t WHERE a NOT IN (1) AND b NOT LIKE ''x'' AND c = 2' END
   ELSE '-- note' || chr(10) || 'DROP DATABASE d' || CAST(j AS STRING) END AS raw_sql
 FROM (SELECT o_custkey, o_orderkey, o_orderkey % 24 AS k, o_orderkey % 9 AS j FROM orders)))""",
     "ddl_columns": """
 SELECT 't' || CAST(t AS STRING) AS table_name, ord,
-  CASE ord % 6 WHEN 1 THEN 'id' WHEN 2 THEN 'status' WHEN 3 THEN 't' || CAST((t + 1) % 100 AS STRING) || '_id' ELSE 'c' || CAST(ord AS STRING) END AS name,
+  CASE ord % 6 WHEN 1 THEN 'id' WHEN 2 THEN 'status' WHEN 3 THEN 't' || CAST((t + 1) % 20 AS STRING) || '_id' ELSE 'c' || CAST(ord AS STRING) END AS name,
   CASE p_size % 12 WHEN 0 THEN 'JSON' WHEN 1 THEN 'TIMESTAMP WITHOUT TIME ZONE' WHEN 2 THEN 'SERIAL' WHEN 3 THEN 'NUMERIC' WHEN 4 THEN 'VARCHAR(5000)'
     WHEN 5 THEN 'VARCHAR(20)' WHEN 6 THEN 'NUMERIC(10,2)' WHEN 7 THEN 'BIGINT' WHEN 8 THEN 'TEXT' WHEN 9 THEN 'JSONB' WHEN 10 THEN 'CHARACTER VARYING(4001)' ELSE 'INT' END AS data_type,
   p_size % 2 = 0 AS nullable, p_size % 5 = 0 AS has_default, t % 3 > 0 AND ord <= t % 6 AS is_pk
-FROM (SELECT p_partkey % 100 AS t, p_size, CAST(row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_partkey) AS INT) AS ord FROM part)""",
+FROM (SELECT p_partkey % 20 AS t, p_size, CAST(row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS INT) AS ord FROM part)""",
     "fk_edges": """
 SELECT s_suppkey / 8 AS f, CAST(floor(s_suppkey / 8.0) AS INT) AS file_id, 't' || CAST(s_nationkey % 6 AS STRING) AS src, 't' || CAST(s_suppkey % 6 AS STRING) AS dst,
-  'c' || CAST(s_suppkey % 4 AS STRING) AS cols FROM supplier""",
+  CASE WHEN s_suppkey % 3 = 0 THEN 'k' ELSE 'c' END || CAST(s_suppkey % 4 AS STRING) AS cols FROM supplier""",
     "migration_files": """
 SELECT 'd' || CAST(o_custkey % 10 AS STRING) AS dir, 'V' || CAST(o_orderkey AS STRING) || '__x.sql' AS name FROM orders
 UNION ALL SELECT 'd' || CAST(o_custkey % 10 AS STRING), CASE o_orderkey % 2 WHEN 0 THEN 'undo_V' || CAST(o_orderkey AS STRING) || '__x.sql' ELSE 'V' || CAST(o_orderkey AS STRING) || '__x.rollback.sql' END

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from schemasight.functions import sqltext as S
 from schemasight.registry import BLOCK, BUSINESS_COLUMNS, DDL_TYPES, ROLLBACK_NAMES, RULES, SQL_WORDS, WARN
+from schemasight.shared import settle
 
 
 def hits(df: DataFrame, rules: list[tuple[str, Column]], *keep: str) -> DataFrame:
@@ -77,20 +78,37 @@ def missing_foreign_keys(columns: DataFrame, foreign: DataFrame | None = None) -
     return out.select("table_name", "name", "target").distinct()
 
 
-def foreign_key_cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """Cycles of (file_id, src, dst): (file_id, tables), tables the sorted names of a simple cycle of at most ``longest`` tables.
+def on_cycles(steps: DataFrame) -> DataFrame:
+    """The edges (file_id, src, dst) left when tables that lead nowhere or that nothing leads to are taken away, again and again."""
+    n = steps.count()
+    while n:
+        ahead = steps.select("file_id", F.col("src").alias("dst")).distinct()
+        behind = steps.select("file_id", F.col("dst").alias("src")).distinct()
+        steps = settle(steps.join(ahead, ["file_id", "dst"], "left_semi").join(behind, ["file_id", "src"], "left_semi").select("file_id", "src", "dst"))
+        last, n = n, steps.count()
+        if n == last:
+            break
+    return steps
 
-    Paths grow by a join a step and start at their least name, so each cycle is found from one start only.
+
+def foreign_key_cycles(edges: DataFrame) -> DataFrame:
+    """Cycles of (file_id, src, dst): (file_id, tables), tables the sorted names of a simple cycle of any length.
+
+    Edges on no cycle are dropped first. Paths grow by a join a step and start at their least name, so each cycle
+    is found from one start only; a simple path ends at the latest when it holds all tables of its file, so the steps end by
+    themselves. Each step is settled in the shared folder.
     """
-    steps = edges.select("file_id", "src", "dst").distinct()
+    steps = on_cycles(edges.select("file_id", "src", "dst").distinct())
     paths = steps.where("dst >= src").select("file_id", F.array("src").alias("path"), F.col("dst").alias("at"))
     out = None
-    for _ in range(longest):
+    while True:
         closed = paths.where(F.col("at") == F.col("path")[0]).select("file_id", F.array_join(F.array_sort("path"), ",").alias("tables"))
         out = closed if out is None else out.unionByName(closed)
         open_ = paths.where(~F.array_contains("path", F.col("at")))
-        paths = open_.join(steps, (open_.file_id == steps.file_id) & (open_["at"] == steps.src)).where(F.col("dst") >= F.col("path")[0]).select(open_.file_id, F.concat("path", F.array("at")).alias("path"), F.col("dst").alias("at"))
-    return out.distinct()
+        longer = open_.join(steps, (open_.file_id == steps.file_id) & (open_["at"] == steps.src)).where(F.col("dst") >= F.col("path")[0])
+        paths = settle(longer.select(open_.file_id, F.concat("path", F.array("at")).alias("path"), F.col("dst").alias("at")))
+        if paths.isEmpty():
+            return out.distinct()
 
 
 def query_rules(statements: DataFrame, farthest: int = 10_000) -> DataFrame:

@@ -87,7 +87,7 @@ def skipped(name: str) -> str:
     return f"(coalesce({name}, '') IN ('', 'unknown') OR {has(f'lower({name})', '|'.join(SKIP_COLLECTION_WORDS))}" + "".join(f" OR ends_with(lower({name}), {q(s)})" for s in SKIP_COLLECTION_SUFFIXES) + ")"
 
 
-add("collection_filter", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')[1:20]) AS name FROM documents) WHERE NOT {skipped('name')} GROUP BY doc_id")
+add("collection_filter", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS name FROM documents) WHERE NOT {skipped('name')} GROUP BY doc_id")
 add("db_name_validity", f"""SELECT doc_id, count(*) FILTER (WHERE length(name) BETWEEN 2 AND 64 AND name NOT IN {among(NOT_DATABASES)} AND NOT (upper(name) = name AND length(name) > 3)
   AND NOT ({has('name', '^[A-Z].*[A-Z]')} AND upper(name) <> name) AND NOT ({has('name', '^[a-z].*[A-Z]')} AND NOT {has('lower(name)', 'db|mongo')})) AS valid, count(*) AS n
   FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS name FROM documents) WHERE regexp_full_match(name, '[A-Za-z]+') GROUP BY doc_id""")
@@ -133,7 +133,7 @@ SELECT file_id, stmt_no, regexp_extract(raw_sql, '(\S+) ON ', 1) AS name, regexp
 DML = f"{TYPED}, dml AS (SELECT * FROM typed WHERE type IN ('SELECT', 'UPDATE', 'DELETE'))"
 CLAUSES = f"""{DML}, clauses AS (SELECT file_id, stmt_no, raw_sql, {part('raw_sql', r'(?i)FROM (.+?)( WHERE| ORDER| LIMIT|$)')} AS f, {part('raw_sql', r'(?i)WHERE (.+?)( ORDER| LIMIT|$)')} AS w, {part('raw_sql', r'(?i)ORDER BY (.+?)( LIMIT|$)')} AS o FROM dml)"""
 add("query_tables", f"WITH {CLAUSES} SELECT file_id, stmt_no, array_to_string(list_filter(list_transform(regexp_split_to_array(f, ' CROSS JOIN | JOIN |,'), lambda p: regexp_extract(trim(p), '^(\\w+)', 1)), lambda t: t <> ''), ',') AS names FROM clauses")
-add("where_columns", f"WITH {CLAUSES} SELECT file_id, stmt_no, array_to_string({every('w', r'([a-z]\w*) (?:=|>|LIKE)')}, ',') AS names FROM (SELECT file_id, stmt_no, replace(w, ') =', '#=') AS w FROM clauses)")
+add("where_columns", f"WITH {CLAUSES} SELECT file_id, stmt_no, array_to_string({every('w', r'([a-z]\w*) (?:=|>|LIKE|NOT IN|NOT LIKE)')}, ',') AS names FROM (SELECT file_id, stmt_no, replace(w, ') =', '#=') AS w FROM clauses)")
 add("join_columns", "SELECT file_id, stmt_no, CASE WHEN contains(raw_sql, ' ON t.id = u.tid') THEN 'id,tid' ELSE '' END AS names FROM (SELECT * FROM sql_statements WHERE regexp_matches(raw_sql, '^(SELECT|UPDATE|DELETE)'))")
 add("orderby_columns", "WITH " + CLAUSES + r" SELECT file_id, stmt_no, array_to_string(list_filter(list_transform(string_split(regexp_replace(o, ' DESC', '', 'g'), ','), lambda p: regexp_replace(trim(p), '^.*\.', '')), lambda t: regexp_full_match(t, '\w+')), ',') AS names FROM clauses")
 add("query_flags", f"WITH {DML} SELECT file_id, stmt_no, contains(up, 'WHERE') AS has_where, contains(up, 'LIMIT') AS has_limit, coalesce(TRY_CAST({part('up', 'OFFSET ([0-9]+)')} AS BIGINT), -1) AS \"offset\" FROM dml")
@@ -158,9 +158,9 @@ add("schema_columns", f"""SELECT table_name, ord, name, unnest(list_filter([CASE
 add("schema_keys", "SELECT * FROM (SELECT table_name, count(*) FILTER (WHERE is_pk) AS n_pk, CASE WHEN count(*) FILTER (WHERE is_pk) = 0 THEN 'schema.no_primary_key' WHEN count(*) FILTER (WHERE is_pk) > 3 THEN 'schema.composite_pk_too_wide' END AS rule_id FROM ddl_columns GROUP BY table_name) WHERE rule_id IS NOT NULL")
 add("schema_missing_fk", "SELECT DISTINCT table_name, name, name[:-4] AS target FROM ddl_columns WHERE NOT is_pk AND name LIKE '%\\_id' ESCAPE '\\' AND name[:-4] <> table_name AND name[:-4] IN (SELECT table_name FROM ddl_columns)")
 ORACLE["schema_fk_cycles"] = duckdb_sql(
-    "SELECT DISTINCT file_id, array_to_string(list_sort(path), ',') AS tables FROM paths /* fk_edges */ WHERE node = path[1] AND len(path) <= 8",
+    "SELECT DISTINCT file_id, array_to_string(list_sort(path), ',') AS tables FROM paths /* fk_edges */ WHERE node = path[1]",
     "steps AS (SELECT DISTINCT file_id, src, dst FROM fk_edges)",
-    "paths AS (SELECT file_id, [src] AS path, dst AS node FROM steps UNION ALL SELECT p.file_id, list_append(p.path, p.node), s.dst FROM paths p JOIN steps s ON p.file_id = s.file_id AND p.node = s.src WHERE NOT list_contains(p.path, p.node) AND len(p.path) < 8)",
+    "paths AS (SELECT file_id, [src] AS path, dst AS node FROM steps UNION ALL SELECT p.file_id, list_append(p.path, p.node), s.dst FROM paths p JOIN steps s ON p.file_id = s.file_id AND p.node = s.src WHERE NOT list_contains(p.path, p.node))",
 )
 add("idx_fk_uncovered", "SELECT DISTINCT src AS table_name, cols AS fk_cols FROM fk_edges f WHERE NOT EXISTS (SELECT 1 FROM index_defs i WHERE i.table_name = f.src AND (i.cols = f.cols OR starts_with(i.cols, f.cols || ',')))")
 add("idx_duplicates", "SELECT table_name, index_name, first_name FROM (SELECT table_name, index_name, first_value(index_name) OVER w AS first_name, row_number() OVER w AS nth FROM index_defs WINDOW w AS (PARTITION BY table_name, cols ORDER BY seq)) WHERE nth > 1")
@@ -221,7 +221,8 @@ add("plan_metrics", f"SELECT query_id, CAST(len({every('plan_text', 'Seq Scan',
 KEYED = "keyed AS (SELECT table_name AS collection, cols AS fields, index_name, seq, array_to_string(list_sort(list_distinct(string_split(cols, ','))), ',') AS key FROM index_defs)"
 add("script_compare", f"WITH {KEYED} SELECT collection, key, CASE WHEN bool_or(seq % 3 < 2) AND bool_or(seq % 3 > 0) THEN 'both' WHEN bool_or(seq % 3 < 2) THEN 'script_only' ELSE 'code_only' END AS status FROM keyed GROUP BY collection, key")
 add("code_union", f"WITH {KEYED}, r AS (SELECT *, 0 AS p FROM keyed WHERE seq % 3 < 2 UNION ALL SELECT *, 1 FROM keyed WHERE seq % 3 > 0) SELECT collection, key, arg_max(fields, struct_pack(p := p, f := fields)) AS fields, max(p) AS suggested FROM r GROUP BY collection, key")
-LIVE = "live AS (SELECT DISTINCT table_name, list_sort(list_distinct(string_split(cols, ','))) AS have FROM index_defs WHERE seq % 5 > 2), wanted AS (SELECT seq AS id, table_name, list_distinct(string_split(cols, ',')) AS want FROM index_defs WHERE seq % 5 = 0)"
+LIVE = """live AS (SELECT DISTINCT 't' || (p_partkey % 50) AS table_name, list_sort(list_distinct(list_transform([p_size, length(p_name), p_partkey, length(p_type)], lambda n: 'c' || (n % 4)))) AS have FROM part),
+wanted AS (SELECT seq AS id, table_name, list_distinct(string_split(cols, ',')) AS want FROM index_defs)"""
 add("pg_coverage", f"WITH {LIVE} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM live l WHERE l.table_name = w.table_name AND list_has_all(l.have, w.want)) THEN 'exists' ELSE 'missing' END AS status FROM wanted w")
 add("doc_coverage", f"WITH {LIVE} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM live l WHERE l.table_name = w.table_name AND list_has_all(l.have[1:len(w.want) + 2], w.want)) THEN 'exists' ELSE 'missing' END AS status FROM wanted w")
 add("tenant_expansion", "WITH l AS (SELECT DISTINCT (c_custkey % 50) || CASE c_custkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END || lower(n_name) AS live FROM customer JOIN nation ON c_nationkey = n_nationkey), n AS (SELECT DISTINCT lower(n_name) AS name FROM nation) SELECT DISTINCT name, live FROM n, l WHERE live = name OR ends_with(live, '_' || name) OR ends_with(live, '-' || name)")
@@ -230,7 +231,7 @@ add("esr_analysis", """WITH u AS (SELECT table_name AS collection, 'c' || (seq %
 f AS (SELECT table_name AS collection, index_name, generate_subscripts(l, 1) AS pos, unnest(l) AS field FROM (SELECT *, string_split(cols, ',') AS l FROM index_defs) WHERE len(l) > 1),
 c AS (SELECT f.*, CASE WHEN s THEN 'S' WHEN r THEN 'R' WHEN s IS NULL THEN '?' ELSE 'E' END AS c FROM f LEFT JOIN u USING (collection, field))
 SELECT collection, index_name, string_agg(c, '' ORDER BY pos) AS classes, regexp_full_match(replace(string_agg(c, '' ORDER BY pos), '?', ''), 'E*S*R*') AS compliant, string_agg(field, ',' ORDER BY strpos('ESR?', c), pos) AS better FROM c GROUP BY collection, index_name""")
-add("create_plan", "SELECT lower(r_name) AS database, table_name, index_name FROM region, index_defs WHERE seq % 50 = 0")
+add("create_plan", "SELECT lower(r_name) AS database, table_name, index_name FROM region, index_defs")
 
 SPECS = "specs AS (SELECT table_name AS collection, index_name, seq % 4 = 0 AS uniq, list_distinct(string_split(cols, ',')) AS l0, string_split(cols, ',') AS raw FROM index_defs), ordered AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS l FROM specs)"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,23 @@ def html_rows(violations: DataFrame) -> DataFrame:
     return violations.select("category", order.alias("ord"), F.concat(F.lit("<tr>"), *[cell(c) for c in ("file_id", "line_no", "rule_id", "severity", "action")], F.lit("</tr>")).alias("html"))
 
 
-def html_report(violations: DataFrame, gate: DataFrame, most: int = 10_000) -> str:
-    """A page for people: the gate, and at most ``most`` violations by category."""
+def html_parts(violations: DataFrame, gate: DataFrame) -> Iterator[str]:
+    """A page for people, line by line: the gate, and all violations by category. The rows come in order, a partition at a time,
+    so the driver holds no more than one."""
     g = gate.first().asDict()
-    rows = html_rows(violations).orderBy("ord", "html").limit(most).collect()
-    out = ["<!doctype html><title>Violations</title>", f"<h1>{'Passed' if g['passed'] else 'Blocked'}</h1>", "<p>" + ", ".join(f"{k}: {v}" for k, v in g.items() if k != "passed") + "</p>"]
+    yield "<!doctype html><title>Violations</title>"
+    yield f"<h1>{'Passed' if g['passed'] else 'Blocked'}</h1>"
+    yield "<p>" + ", ".join(f"{k}: {v}" for k, v in g.items() if k != "passed") + "</p>"
     last = None
-    for r in rows:
+    for r in html_rows(violations).orderBy("ord", "html").toLocalIterator():
         if r["category"] != last:
-            out += ["</table>"] * (last is not None) + [f"<h2>{r['category']}</h2><table>"]
+            yield "</table>" * (last is not None) + f"<h2>{r['category']}</h2><table>"
             last = r["category"]
-        out.append(r["html"])
-    return "\n".join(out + ["</table>"] * (last is not None))
+        yield r["html"]
+    if last is not None:
+        yield "</table>"
+
+
+def html_report(violations: DataFrame, gate: DataFrame) -> str:
+    """The page as one text; ``html_parts`` serves larger ones."""
+    return "\n".join(html_parts(violations, gate))

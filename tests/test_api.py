@@ -7,11 +7,12 @@ from tests.test_files import project  # noqa: F401
 
 
 def test_index_lines(spark, project):  # noqa: F811
-    found = {(r.file_id, r.type) for r in api.index_lines(spark, project).collect()}
+    rows = api.index_lines(spark, project).collect()
+    found = {(r.file_id, r.type) for r in rows}
     assert ("app/User.java", "MongoDB @Indexed") in found and ("db/V1__a.sql", "SQL CREATE INDEX") in found
     assert not any("build" in f for f, _ in found)
     total = {(r.project, r.type): r.n for r in api.projects(spark, [project, project]).collect()}
-    assert total[None, None] == total[project, None] == 2 * len(found)
+    assert total[None, None] == total[project, None] == 2 * len(rows)
 
 
 def test_search_and_export(spark, project):  # noqa: F811
