@@ -3,49 +3,43 @@ running totals without one task per group, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from schemasight.shared import discard, settle, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of sessions that name no shared one.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return _own[app]
+def text_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python a thousand rows at a time, unless the session says otherwise: ten thousand, the
+    default, are made for short rows, and a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs neither
-    recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(taken: list[str], name: str = "_own") -> str:
+    """A column name that is not taken, for columns of our own beside those of a user's table."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``settle`` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def numbered(df: DataFrame) -> DataFrame:
+    """Add _row: what tells every row from all others, also from equal ones: its place in the Parquet files that ``df`` reads,
+    struct(file, row). Other tables are settled first. The place stays the same however often the files are read."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.withColumn("_row", place)
+    except AnalysisException:
+        return settle(df).withColumn("_row", place)
 
 
 def lower_az(col):

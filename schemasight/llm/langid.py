@@ -19,17 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import fresh, settle, table, text_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: The model is fitted on about so many documents of each language at most, chosen by a hash of the id.
+#: The model is fitted on about so many documents of each language at most, chosen by a hash of id and text.
 SAMPLE = 4_000
-#: More languages than this are refused: the model (vocabulary x languages) is sent to all tasks.
-LANGUAGES = 500
+#: Languages in one model (vocabulary x languages), which is sent to all tasks; more of them make several models.
+LANGUAGES = 64
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Each character multiplies a word's probability by this, so that products of small numbers stay in range; it is taken out again at the end.
 LIFT = 1e4
-LONG = 64  # below 128, and batches of words below 8192: see how matches packs them
+#: Words up to this length are taken side by side, longer ones one by one. Below 128, and batches of words below 8192: see how matches packs them.
+LONG = 64
+#: Numbers that a worker keeps of words already scored.
+KEPT = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -120,6 +123,30 @@ def log_probabilities(words: list[str], known: dict[str, int], lifted: np.ndarra
     return out
 
 
+def long_counts(word: str, known: dict[str, int], own: np.ndarray) -> tuple[list[int], list[float]]:
+    """The expected counts of the pieces of a word of any length in one language, by logarithms: (pieces, counts)."""
+    longest, n = max(map(len, known)), len(word)
+    logs = np.log(own).tolist()
+    edges = []
+    for end in range(1, n + 1):
+        for start in range(max(0, end - longest), end):
+            piece = known.get(word[start:end])
+            piece = 0 if end - start == 1 and (piece is None or piece < 0) else piece
+            if piece is not None and piece >= 0:
+                edges.append((start, end, piece))
+
+    def add(x: float, y: float) -> float:
+        big, small = max(x, y), min(x, y)
+        return big if small == -math.inf else big + math.log1p(math.exp(small - big))
+
+    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for start, end, piece in edges:
+        ahead[end] = add(ahead[end], ahead[start] + logs[piece])
+    for start, end, piece in sorted(edges, reverse=True):
+        behind[start] = add(behind[start], logs[piece] + behind[end])
+    return [p for _, _, p in edges], [math.exp(ahead[s] + logs[p] + behind[e] - ahead[n]) for s, e, p in edges]
+
+
 def words_of(text: str) -> list[str]:
     return ["▁" + w for w in LETTERS.findall(text.lower())]
 
@@ -144,10 +171,11 @@ class Model:
 _scored: dict = {"mark": None}
 
 
-def score_texts(texts, model: Model) -> list[tuple[str, float]]:
-    """(language, its share among all languages) of each text; ('und', 0.0) for null and without a letter."""
+def score_texts(texts, model: Model) -> list[tuple[str | None, float, float]]:
+    """(language, log of the text's probability in it, log of the sum over all languages of the model) of each text; no language for
+    null and without a letter."""
     known = pieces(model.vocabulary)
-    if _scored["mark"] != model.mark or len(_scored["rows"]) > 200_000:
+    if _scored["mark"] != model.mark or len(_scored["rows"]) * len(model.languages) > KEPT:
         _scored.update(mark=model.mark, rows={}, table=np.zeros((0, len(model.languages))), lifted=lift(model.probabilities, known))
     rows, split = _scored["rows"], [words_of(t) if t else [] for t in texts]
     new = list({w for ws in split for w in ws if w not in rows})
@@ -156,13 +184,12 @@ def score_texts(texts, model: Model) -> list[tuple[str, float]]:
         _scored["table"] = np.concatenate([_scored["table"], log_probabilities(new, known, _scored["lifted"])])
     out = []
     for text, ws in zip(texts, split, strict=True):
-        if not ws or not model.languages or not any(map(str.isalpha, text)):
-            out.append(("und", 0.0))
+        if not ws or not any(map(str.isalpha, text)):
+            out.append((None, 0.0, 0.0))
             continue
         logs = _scored["table"][np.fromiter(map(rows.__getitem__, ws), "int64", len(ws))].sum(0)
-        share = np.exp(logs - logs.max())
-        best = int(share.argmax())
-        out.append((model.languages[best], float(share[best] / share.sum())))
+        best = int(logs.argmax())
+        out.append((model.languages[best], float(logs[best]), float(logs[best] + np.log(np.exp(logs - logs[best]).sum()))))
     return out
 
 
@@ -170,10 +197,10 @@ def expected(counts: pd.DataFrame, model: Model) -> np.ndarray:
     """Expected counts of the pieces in words (lang, word, n) under the model: an array (piece, language)."""
     known = pieces(model.vocabulary)
     lifted, out = lift(model.probabilities, known), np.zeros(model.probabilities.shape)
-    counts = counts[counts["word"].str.len() <= LONG]  # longer ones are scored, but teach nothing
-    for lang, part in counts.groupby("lang"):
+    for lang, all_ in counts.groupby("lang"):
         column = model.languages.index(lang)
-        own = lifted[:, [column]]
+        own, long = lifted[:, [column]], all_["word"].str.len() > LONG
+        part = all_[~long]
         for at in range(0, len(part), 4096):
             words, n = part["word"].iloc[at : at + 4096].tolist(), part["n"].iloc[at : at + 4096].to_numpy("float64")
             found = matches(words, known)
@@ -181,27 +208,25 @@ def expected(counts: pd.DataFrame, model: Model) -> np.ndarray:
             end, word, start, piece = found.T
             share = ahead[start, word] * own[piece, 0] * behind[end, word] / behind[0, word]
             out[:, column] += np.bincount(piece, share * n[word], len(out))
+        for word, n in zip(all_["word"][long], all_["n"][long], strict=True):
+            piece, share = long_counts(word, known, model.probabilities[:, column])
+            out[:, column] += n * np.bincount(piece, share, len(out))
     return out
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, rounds: int = 2, sample: int = SAMPLE) -> Model:
-    """Fit piece probabilities to the labelled texts of ``df`` by expectation maximisation.
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, rounds: int = 2, sample: int = SAMPLE) -> list[Model]:
+    """Fit piece probabilities to the labelled texts of ``df`` by expectation maximisation: models of up to ``LANGUAGES`` languages.
 
     Rows with a null text or language teach nothing. About ``sample`` documents of each language are used, chosen
-    by a hash of the id. The words are counted once; each round is a pass over the counts, of which the driver gets
-    a sum for each piece and language.
+    by a hash of id and text (equal rows are chosen or not together). The words of these are counted once, long ones too; each round is a pass over the counts, of which the driver gets
+    a sum for each piece and language of one model. Languages are fitted independently of each other.
     """
-    spark = df.sparkSession
-    df = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("hash"))
-    sizes = df.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    known, languages = pieces(vocabulary), sorted(r["lang"] for r in sizes)
-    size = max(known.values()) + 1
-    model = Model(languages, np.full((size, len(languages)), 1 / size), vocabulary)
+    text_batches(df.sparkSession)
+    df = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    sizes = df.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # their names alone
     if not languages:
-        return model
-    rates = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
+        return []
 
     def count(batches):
         for batch in batches:
@@ -210,10 +235,18 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 words[lang].update(words_of(text))
             yield pd.DataFrame([(lang, w, n) for lang, c in words.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
-    chosen = df.where(F.pmod("hash", F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000).select("lang", "text")
+    chosen = df.join(F.broadcast(sizes.select("lang", "rate")), "lang").where(F.pmod("hash", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("lang", "text")  # a row a language
     counts = settle(chosen.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return [fitted(counts, languages[at : at + LANGUAGES], vocabulary, rounds) for at in range(0, len(languages), LANGUAGES)]
+
+
+def fitted(counts: DataFrame, languages: list[str], vocabulary: str, rounds: int) -> Model:
+    """The model of some languages from the counts (lang, word, n) of their words."""
+    size = max(pieces(vocabulary).values()) + 1
+    model = Model(languages, np.full((size, len(languages)), 1 / size), vocabulary)
+    counts = counts.where(F.col("lang").isin(languages))
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
+        sent = counts.sparkSession.sparkContext.broadcast(model)
 
         def step(batches, sent=sent):
             total = np.zeros(sent.value.probabilities.shape)
@@ -223,33 +256,46 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
         sums = counts.mapInPandas(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        fitted = np.full(model.probabilities.shape, 0.01)
-        fitted[sums["piece"], sums["lang"]] += sums["n"]
-        model = Model(languages, fitted / fitted.sum(0), vocabulary)
+        new = np.full(model.probabilities.shape, 0.01)
+        new[sums["piece"], sums["lang"]] += sums["n"]
+        model = Model(languages, new / new.sum(0), vocabulary)
     return model
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, models: list[Model], text_col: str = "text") -> DataFrame:
     """Add lang_pred and score: the most probable language of each whole text, and its share (0 to 1) among all.
 
-    A null text, one without a letter, or a model without languages gives 'und' and 0. Columns of these names are replaced.
+    A null text, one without a letter, or no model gives 'und' and 0. Of equally probable languages the first by name
+    is taken; equal texts get equal results. Columns of these names are replaced; an empty table gives an empty one.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows, part, held = [], [], 0
-        for text in texts:  # a bounded number of words at a time
-            part.append(text)
-            held += len(text or "")
-            if held > 1 << 20:
-                rows += score_texts(part, sent.value)
-                part, held = [], 0
-        rows += score_texts(part, sent.value)
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    df = df.drop("lang_pred", "score")
-    return df.withColumn("_found", of(F.col(text_col))).select(*df.columns, "_found.*")
+    text_batches(df.sparkSession)
+    names = [c for c in df.columns if c not in ("lang_pred", "score")]
+    if not models:
+        return df.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    def of(model: Model):
+        sent = df.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("struct<lang: string, log: double, total: double>")
+        def scores(texts: pd.Series) -> pd.DataFrame:
+            rows, part, held = [], [], 0
+            for text in texts:  # a bounded number of words at a time
+                part.append(text)
+                held += len(text or "")
+                if held > 1 << 20:
+                    rows += score_texts(part, sent.value)
+                    part, held = [], 0
+            rows += score_texts(part, sent.value)
+            return pd.DataFrame(rows, columns=["lang", "log", "total"])
+
+        return scores(F.col(text_col))
+
+    own = fresh(df.columns)
+    found = df.withColumn(own, F.array(*[of(m) for m in models]))
+    top = F.array_max(F.transform(own, lambda x: x["log"]))
+    best = F.filter(own, lambda x: x["log"] == top)[0]["lang"]
+    share = 1 / F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + F.exp(x["total"] - top))
+    return found.select(*names, F.coalesce(best, F.lit("und")).alias("lang_pred"), F.when(best.isNull(), 0.0).otherwise(share).alias("score"))
 
 
 def fold(id_col: str = "doc_id", of: int = 3):
@@ -257,7 +303,7 @@ def fold(id_col: str = "doc_id", of: int = 3):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % of
 
 
-def model_of(spark: SparkSession, docs: DataFrame) -> Model:
+def model_of(spark: SparkSession, docs: DataFrame) -> list[Model]:
     """Learned from the documents that are not held out."""
     return train(docs.where(fold() != 1))
 

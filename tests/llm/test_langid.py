@@ -53,6 +53,60 @@ def test_expected_counts_add_up(monkeypatch):
     assert got[:, [0, 2]].sum() == 0
 
 
+def test_long_words_teach_like_short_ones():
+    for word in ("▁abab", "▁xabbay", "▁" + "ab" * 6):
+        found = list(segmentations(word))
+        weight = np.array([math.prod(P[s, 1]) for s in found])
+        want = sum(w / weight.sum() * np.bincount(s, minlength=8) for w, s in zip(weight, found, strict=True))
+        piece, share = G.long_counts(word, KNOWN, P[:, 1])
+        assert np.bincount(piece, share, 8) == pytest.approx(want)
+    piece, share = G.long_counts("▁" + "abxbb" * 400, KNOWN, P[:, 1])
+    assert np.isfinite(share).all() and sum(share) > 400
+
+
+def scored_by_force(text, models):
+    """(language, share) of a text by the sum over all segmentations of each word, in plain loops and logarithms."""
+    words, logs = G.words_of(text or ""), {}
+    if not words:
+        return "und", 0.0
+    for m in models:
+        known = G.pieces(m.vocabulary)
+        for lang, p in zip(m.languages, np.log(m.probabilities.T), strict=True):
+            logs[lang] = 0.0
+            for w in words:
+                sums = [0.0] + [-math.inf] * len(w)
+                for end in range(1, len(w) + 1):
+                    for start in range(end):
+                        k = known.get(w[start:end], -1)
+                        k = 0 if end - start == 1 and k < 0 else k
+                        if k >= 0:
+                            sums[end] = np.logaddexp(sums[end], sums[start] + p[k])
+                logs[lang] += sums[-1]
+    top = max(logs.values())
+    best = min(k for k, v in logs.items() if v == top)
+    return best, 1 / sum(math.exp(v - top) for v in logs.values())
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_scores_against_brute_force(spark, sf, monkeypatch, most):
+    """The query's predictions and scores, with all languages in one model and with one in each."""
+    monkeypatch.setattr(G, "LANGUAGES", most)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = G.model_of(spark, docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in G.op3_language_id(spark, sf).collect()}
+    for r in docs.where("n_chars < 400").limit(40).collect():
+        lang, share = scored_by_force(r.text, models)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(share, rel=1e-6)
+
+
+def test_clashing_columns_ties_and_copies(spark):
+    rows = [(k, "aa bb", lang, 1, "x") for k, lang in enumerate("qp")] + [(9, "aa bb", None, 2, "y"), (9, "aa bb", None, 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _own int, lang_pred string")
+    got = G.identify(df, G.train(df))
+    assert got.columns == ["doc_id", "text", "lang", "_own", "lang_pred", "score"]
+    assert {(r.lang_pred, round(r.score, 6)) for r in got.collect()} == {("p", 0.5)} and got.count() == 4
+
+
 def test_held_out_accuracy(spark, sf):
     found = {r.doc_id: r for r in G.op3_language_id(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()
