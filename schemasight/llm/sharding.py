@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_before, settle, table
+from .common import numbered, running_before, settle, table
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -64,6 +64,24 @@ def shard_documents(df: DataFrame, key: str, shards: int, order: list[str], grow
     return running_before(out, "shard", ["_digest"], F.lit(1).cast("long"), "slot", F.conv(F.substring("_digest", 1, 6), 16, 10).cast("long")).drop("_digest")
 
 
+def shard_in_order(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """Add shard and slot to every row of a table in Parquet files; slots follow the order in which the rows stand there.
+
+    Files count in the order of their names, as Spark writes a sorted table. Each (shard, file) is numbered by itself and starts
+    after the shard's earlier files, whose counts (a row for each shard and file) are all that a window over a shard sees. Columns
+    shard and slot are replaced; equal rows get different slots; a table that is read from no Parquet files is settled
+    first, in its own order.
+    """
+    df = numbered(df.drop("shard", "slot"))
+    out = df.withColumn("shard", shard_of(shard_key(df, key), shards))
+    counts = out.groupBy("shard", F.col("_row.file").alias("_file")).count()
+    earlier = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "_file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("shard", "_file").orderBy("_row.row")) - 1
+    out = out.withColumn("_file", F.col("_row.file")).withColumn("_within", within).join(starts, ["shard", "_file"])
+    return out.select(*[c for c in df.columns if c != "_row"], "shard", (F.col("_start") + F.col("_within")).cast("long").alias("slot"))
+
+
 def op1_sharding(spark, sf_dir):
     """All documents in 16 shards by doc_id; size: UTF-8 bytes plus 1."""
     docs = table(spark, sf_dir, "documents").select(

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, table
+from .common import components, settle, table, text_batches
 
 SEGMENTS, BITS, DIFFER = 8, 8, 3
 #: Groups beyond this size are filed under longer keys; after two steps, no group of different fingerprints can be larger.
@@ -135,7 +135,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are one class throughout, so copies are never compared with each other. Texts without words
     (null, empty, blank) have fingerprint 0 and are near-duplicates of each other. Null ids keep a row and count
     only where a component has no other. An empty table gives an empty one.
+
+    For links by the similarity of shingles instead of by bits see ``shingles.near_copies``: of two texts that share
+    four fifths of their shingles, fingerprints of 64 bits differ in 10 or more, which no filter on segments can tell from chance.
     """
+    text_batches(df.sparkSession)
     rows = settle(df.select(F.col(id_col).alias("id"), simhash(F.col(text_col), words).alias("fp")))
     classes = settle(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp")))
