@@ -228,6 +228,20 @@ def test_decontamination_counts_items_without_id(spark, monkeypatch):
     assert sorted(tuple(r) for r in D.op10_decontamination(spark, "").collect()) == sorted(con.sql(D.OP10_SQL).fetchall())
 
 
+def test_decontamination_keeps_columns_and_common_grams(spark):
+    """A k-gram that all documents and items share, and input columns with names like those used inside."""
+    rng = np.random.default_rng(9)
+    pick = lambda n: " ".join(rng.choice(list("pqrstuvw"), n))
+    items = [(k, "a a a a a a a " + pick(12)) for k in range(30)]
+    docs = [(k, "a a a a a a a " + pick(k) + " " + items[k % 30][1] * (k % 3 == 0)) for k in range(60)]
+    df = spark.createDataFrame([(i, t, "own", 1, 2, 3) for i, t in docs], "doc_id long, text string, key string, h int, hits int, _key int")
+    got = D.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == [*df.columns, "n_words", "n_hit", "n_items", "items", "contaminated"]
+    rows = got.collect()
+    assert {r.key for r in rows} == {"own"}
+    assert sorted((r.n_words, r.n_hit, list(r.items), r.contaminated) for r in rows) == sorted(decontaminated_by_force(docs, items))
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (600, 2))] + [(k, k + 1) for k in range(2000, 2400)]
