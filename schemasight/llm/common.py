@@ -32,14 +32,14 @@ def fresh(taken: list[str], name: str = "_own") -> str:
     return name
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Add _row: what tells every row from all others, also from equal ones: its place in the Parquet files that ``df`` reads,
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Add column ``name``: what tells every row from all others, also from equal ones: its place in the Parquet files that ``df`` reads,
     struct(file, row). Other tables are settled first. The place stays the same however often the files are read."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
-        return df.withColumn("_row", place)
+        return df.withColumn(name, place)
     except AnalysisException:
-        return settle(df).withColumn("_row", place)
+        return settle(df).withColumn(name, place)
 
 
 def lower_az(col):
@@ -55,18 +55,20 @@ def running_before(df: DataFrame, group: str, order: list[str], weight, name: st
     Rows are ordered by ``spread`` (evenly spread longs of 24 bits; by default a hash of ``order``),
     then by ``order``; each (group, range of ``spread``) is one window, and the totals of earlier buckets are added from a small table. So a group that
     holds most rows is spread like the others. ``group`` must not be null. Rows equal in all of
-    ``order`` come in any order, next to each other.
+    ``order`` come in any order, next to each other. Other columns may have any names.
     """
     bits = max(6, (df.count() // per_bucket).bit_length())
-    df = df.withColumn("_spread", F.shiftrightunsigned(F.xxhash64(*order), 40) if spread is None else spread)
-    df = df.withColumn("_bucket", F.shiftright("_spread", 24 - bits)).withColumn("_weight", weight)
-    keys = [group, "_bucket"]
-    rows = Window.partitionBy(*keys).orderBy("_spread", *order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys).agg(F.sum("_weight").alias("_sum"))
-    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    df = df.withColumn("_within", F.coalesce(F.sum("_weight").over(rows), F.lit(0)))
-    return df.join(sums, keys).withColumn(name, F.col("_start") + F.col("_within")).drop("_spread", "_bucket", "_weight", "_start", "_within")
+    names = list(df.columns)
+    at, bucket, heavy, start, within = (fresh(names, f"_{x}") for x in ("spread", "bucket", "weight", "start", "within"))
+    df = df.withColumn(at, F.shiftrightunsigned(F.xxhash64(*order), 40) if spread is None else spread)
+    df = df.withColumn(bucket, F.shiftright(at, 24 - bits)).withColumn(heavy, weight)
+    keys = [group, bucket]
+    rows = Window.partitionBy(*keys).orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.sum(heavy).alias("sum"))
+    earlier = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias(start))
+    df = df.withColumn(within, F.coalesce(F.sum(heavy).over(rows), F.lit(0)))
+    return df.join(sums, keys).select(*names, (F.col(start) + F.col(within)).alias(name))
 
 
 def _forest(batches):

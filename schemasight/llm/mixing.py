@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_before, settle, table
+from .common import fresh, running_before, settle, table
 
 #: Weights and curriculum ramps (the schedule's factor at the start and at the end) of the sources in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -49,6 +49,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+PLANNED = ("source_size", "target", "copies", "taken", "positions")
+
+
 def plan_mix(df: DataFrame, key: str = "key", size: str = "size", **options) -> DataFrame:
     """Add source_size, target, copies, taken and positions (of the copies, ascending) to rows with source and a size.
 
@@ -58,26 +61,35 @@ def plan_mix(df: DataFrame, key: str = "key", size: str = "size", **options) ->
     is below the target, so the words taken differ from it by half a document at most, and no document is
     taken more often than ``most``. The position inverts the source's cumulative demand at that middle.
     A null source is a source of its own (last). Nothing is taken of a source with target 0. Equal
-    rows are told apart by place only. Columns of these names are replaced; an empty table gives
+    rows are told apart by place only. Columns of these five names are replaced, others may have any names; an empty table gives
     an empty one. ``df`` is read several times, so give a table or a settled one.
     """
-    df = df.drop("source_size", "target", "copies", "taken", "positions")
-    sizes = df.groupBy("source").agg(F.sum(size).alias("source_size"))
-    s = targets(sizes, **options).withColumnRenamed("source", "_source")
-    rows = df.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = running_before(rows, "rank", [key], F.col(size), "_before", F.conv(F.substring(key, 1, 6), 16, 10).cast("long"))
+    df = df.drop(*PLANNED)
+    names = list(df.columns)
+    rank, source, begin, end, before = (fresh(names, f"_{x}") for x in ("rank", "source", "from", "to", "before"))
+    s = targets(df.groupBy("source").agg(F.sum(size).alias("source_size")), **options)
+    s = s.select(F.col("source").alias(source), F.col("rank").alias(rank), "source_size", "target", F.col("from").alias(begin), F.col("to").alias(end))
+    rows = df.join(s, F.col("source").eqNullSafe(F.col(source))).drop(source)
+    rows = running_before(rows, rank, [key], F.col(size), before, F.conv(F.substring(key, 1, 6), 16, 10).cast("long"))
     most = int(options.get("most", 2.0))
-    middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: k * F.col("source_size") + F.col("_before") + F.col(size) / 2)
+    middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: k * F.col("source_size") + F.col(before) + F.col(size) / 2)
     middles = F.filter(middles, lambda m: m < F.col("target"))
-    places = F.transform(middles, lambda m: position(m / F.col("target"), F.col("from"), F.col("to")))
+    places = F.transform(middles, lambda m: position(m / F.col("target"), F.col(begin), F.col(end)))
     rows = rows.withColumn("positions", places).withColumn("copies", F.size("positions").cast("long"))
-    return rows.withColumn("taken", F.col("copies") * F.col(size)).drop("rank", "from", "to", "_before")
+    return rows.withColumn("taken", F.col("copies") * F.col(size)).select(*names, *PLANNED)
 
 
 def mix(df: DataFrame, key: str = "key", size: str = "size", **options) -> DataFrame:
-    """The mixed corpus: a row for each copy taken, sorted by its position in training (column position)."""
-    rows = plan_mix(df, key, size, **options).withColumn("position", F.explode("positions"))
-    return rows.drop("source_size", "target", "copies", "taken", "positions").repartitionByRange("position").sortWithinPartitions("position")
+    """The mixed corpus: a row for each copy taken, sorted by its position in training (column position, replaced if there is one).
+    Positions are spread over ranges, so no task holds more than a part of the corpus; the columns of the plan are left out."""
+    rows = plan_mix(df.drop("position"), key, size, **options).withColumn("position", F.explode("positions"))
+    return in_training_order(rows.drop(*PLANNED), "position")
+
+
+def in_training_order(df: DataFrame, position: str) -> DataFrame:
+    """Rows sorted by position over ranges; those without one come last."""
+    order = F.col(position).asc_nulls_last()
+    return df.repartitionByRange(order).sortWithinPartitions(order)
 
 
 def mixing_key(doc_id: Column, text: Column) -> Column:
@@ -86,11 +98,11 @@ def mixing_key(doc_id: Column, text: Column) -> Column:
 
 
 def op9_mixing(spark, sf_dir):
-    """All documents, mixed to weights 3, 1, 2 over 150 % of their words."""
+    """All documents, mixed to weights 3, 1, 2 over 150 % of their words, sorted by their first position in training."""
     docs = table(spark, sf_dir, "documents")
     docs = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing_key(F.col("doc_id"), F.col("text")).alias("key")))
-    out = plan_mix(docs)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
+    out = in_training_order(settle(plan_mix(docs).withColumn("first_position", F.get("positions", F.lit(0)))), "first_position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
 
 
 OP9_SQL = r"""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, running_before, settle, table
+from .common import fresh, numbered, running_before, settle, table
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -60,8 +60,8 @@ def shard_documents(df: DataFrame, key: str, shards: int, order: list[str], grow
     if grown:
         out = out.withColumn("grown_shard", shard_of(at, shards + 1))
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *order)]))
-    out = out.withColumn("_digest", digest)
-    return running_before(out, "shard", ["_digest"], F.lit(1).cast("long"), "slot", F.conv(F.substring("_digest", 1, 6), 16, 10).cast("long")).drop("_digest")
+    own = fresh(out.columns, "_digest")
+    return running_before(out.withColumn(own, digest), "shard", [own], F.lit(1).cast("long"), "slot", F.conv(F.substring(own, 1, 6), 16, 10).cast("long")).drop(own)
 
 
 def shard_in_order(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -72,14 +72,16 @@ def shard_in_order(df: DataFrame, key: str, shards: int) -> DataFrame:
     shard and slot are replaced; equal rows get different slots; a table that is read from no Parquet files is settled
     first, in its own order.
     """
-    df = numbered(df.drop("shard", "slot"))
-    out = df.withColumn("shard", shard_of(shard_key(df, key), shards))
-    counts = out.groupBy("shard", F.col("_row.file").alias("_file")).count()
-    earlier = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("shard", "_file").orderBy("_row.row")) - 1
-    out = out.withColumn("_file", F.col("_row.file")).withColumn("_within", within).join(starts, ["shard", "_file"])
-    return out.select(*[c for c in df.columns if c != "_row"], "shard", (F.col("_start") + F.col("_within")).cast("long").alias("slot"))
+    df = df.drop("shard", "slot")
+    names = list(df.columns)
+    row, file, start, within = (fresh(names, f"_{x}") for x in ("row", "file", "start", "within"))
+    out = numbered(df.withColumn("shard", shard_of(shard_key(df, key), shards)), row).withColumn(file, F.col(f"{row}.file"))
+    counts = out.groupBy("shard", file).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
+    place = F.row_number().over(Window.partitionBy("shard", file).orderBy(f"{row}.row")) - 1
+    out = out.withColumn(within, place).join(starts, ["shard", file])
+    return out.select(*names, "shard", (F.col(start) + F.col(within)).cast("long").alias("slot"))
 
 
 def op1_sharding(spark, sf_dir):

@@ -82,6 +82,49 @@ def test_line_edges(spark):
     assert L.dedup_lines(df.where("false")).count() == 0
 
 
+def test_a_document_is_a_row(spark):
+    """Three rows with one id are three documents, in the operator and in its SQL."""
+    rows = [(1, "same\nown a"), (1, "same\nown b"), (1, "same\nown a"), (2, "other")]
+    df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id long, text string, _key int, _lines int, _lost int")
+    got = L.dedup_lines(df, min_docs=3)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped", "kept_text"]
+    assert sorted(r.kept_text for r in got.collect()) == ["other", "own a", "own a", "own b"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    sql = L.OP6_SQL.replace(">= 10", ">= 3")
+    assert sorted(con.sql(f"SELECT doc_id, n_lines, n_dropped FROM ({sql})").fetchall()) == sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["rank", "from", "to", "_source", "_rank", "_before", "_start", "_bucket", "_digest", "position", "weight"])
+def test_columns_of_any_name_stay(spark, name):
+    rows = [(k, "ab"[k % 2], "w " * k, "own") for k in range(20)]
+    df = spark.createDataFrame(rows, f"doc_id long, source string, text string, `{name}` string").withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text")))
+    for got in (M.plan_mix(df), S.shard_documents(df, "doc_id", 3, ["text"]), S.shard_in_order(df, "doc_id", 3)):
+        assert got.columns[: len(df.columns)] == df.columns
+        assert {r[name] for r in got.collect()} == {"own"}
+    assert {r[name] for r in M.mix(df).collect()} == {"own"} or name == "position"
+
+
+def test_order_of_the_curriculum_survives_sharding(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], "w " * (k % 9)) for k in range(300)] + [(None, "b", "w w"), (None, "b", "w w")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text")))
+    M.mix(df).write.parquet(str(tmp_path / "mixed"))
+    got = S.shard_in_order(spark.read.parquet(str(tmp_path / "mixed")), "doc_id", 4).collect()
+    for shard in range(4):
+        own = sorted((r.slot, r.position) for r in got if r.shard == shard)
+        assert [s for s, _ in own] == list(range(len(own)))
+        assert [p for _, p in own] == sorted(p for _, p in own)
+    empty = spark.createDataFrame([], "doc_id long, slot int")
+    assert S.shard_in_order(empty, "doc_id", 4).count() == 0
+
+
+def test_long_texts_are_sized_and_sharded(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, None, None)], "doc_id long, text string, source string")
+    sized = df.withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text")))
+    assert {r.doc_id: r.size for r in M.plan_mix(sized).collect()} == {1: 400_000, 2: 0}
+    assert S.shard_documents(df, "doc_id", 2, ["text"]).count() == 2
+
+
 def test_mix_edges(spark):
     rows = [(k, "a" if k % 3 else None, "w " * (k % 7)) for k in range(60)] + [(99, "b", None), (5, "c", "x y"), (5, "c", "x y")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text"))).withColumn("target", F.lit("x"))
