@@ -218,6 +218,21 @@ def test_embeddings_with_dense_groups(spark, monkeypatch):
     assert E.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_across_shards(spark, monkeypatch):
+    """Links between vectors that share no cluster are found along united lists, and none is counted twice."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(30, 8))
+    vectors = np.concatenate([base + rng.normal(scale=0.12, size=base.shape) for _ in range(12)])
+    rows = [(int(k), v.tolist()) for k, v in enumerate(vectors)]
+    monkeypatch.setattr(E, "SHARD", 40)
+    df = spark.createDataFrame([(k if k % 5 else None, v) for k, v in rows] + [(7, rows[7][1])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links) for r in E.near_duplicates(df).where("vec_id is not null").collect())
+    force = embeddings_by_force([*rows, (10_000, rows[7][1])])
+    want = sorted([(k, force[k][0]) for k, _ in rows if k % 5] + [(7, force[10_000][0])])
+    right = sum(g == w for g, w in zip(got, want, strict=True))
+    assert right >= 0.97 * len(want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
 def test_embeddings_recall(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.op8_embedding_graph(spark, sf).collect()}
