@@ -4,8 +4,11 @@ A string of ``width`` bytes that starts at two places of the corpus is removed a
 covered in three steps. (1) Every window of ``width`` bytes has an anchor: the k-gram in it with the
 least hash. Windows in a row that share an anchor are one run, and equal windows have equal anchors at
 equal offsets, so only runs with a repeated anchor can matter. (2) Runs whose bytes are equal
-throughout are repeated as a whole; one of each kind stands for all. (3) The different runs of an anchor
-are gathered in a shard, whose suffixes are sorted by induced sorting: the sorted LMS suffixes
+throughout are repeated as a whole; one of each kind stands for all. The different runs of an anchor
+form a group. A group too large for a task is split by content, however often it takes: windows are told apart by where
+the anchor stands in them, in two halves, and each half is filed under the bytes that windows with the anchor there all hold, which are the
+more the narrower the half is; halves alone with their bytes are not repeated, equal halves are, and what is left forms smaller groups. (3) Groups
+are gathered in shards, whose suffixes are sorted by induced sorting: the sorted LMS suffixes
 (found by recursion on their names) induce the L-type ones through queues, and these the S-type ones;
 the queues are ordered by first symbol and order of arrival, and go to disk beyond a bound of memory.
 Neighbours in suffix order that share ``width`` bytes are repeated windows.
@@ -22,11 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import fresh, settle, table, text_batches
 
 WIDTH, GRAM = 200, 64
-#: Bytes aimed at in a shard; beyond the second bound, the windows of one anchor are counted by their digests instead.
-SHARD, MOST = 1 << 20, 32 << 20
+#: Bytes aimed at in a shard, and the most of one group; a larger one is split by content.
+SHARD, MOST = 1 << 20, 4 << 20
 #: Symbols that the queues of one shard hold in memory.
 HELD = 16 << 20
 #: Texts are scanned in stretches of at most this many bytes, so that a place fits into 24 bits.
@@ -54,7 +57,7 @@ def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, digest, first, n) of the runs: n windows from ``first`` on with one anchor; the digest is of the run's bytes and its anchor's offset."""
+    """(anchor hash, digest, first, n, anchor) of the runs: n windows from ``first`` on with one anchor, so many bytes after ``first``; the digest is of the run's bytes and its anchor's offset."""
     parts = []
     for at in range(0, max(1, len(text) - width + 1), STRETCH):
         data = np.frombuffer(text, "u1")[at : at + STRETCH + width - 1]
@@ -66,9 +69,9 @@ def runs_of(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
         n = np.diff(np.append(first, len(place)))
         anchor = place[first].astype("int64")
         digests = [xxhash.xxh3_64_intdigest(text[a : a + m + width - 1], seed=o) for a, m, o in zip((first + at).tolist(), n.tolist(), (anchor - first).tolist(), strict=True)]
-        parts.append((hashes[anchor], np.array(digests, "uint64"), first + at, n))
+        parts.append((hashes[anchor], np.array(digests, "uint64"), first + at, n, anchor - first))
     if not parts:
-        return tuple(np.zeros(0, t) for t in ("uint64", "uint64", "int64", "int64"))
+        return tuple(np.zeros(0, t) for t in ("uint64", "uint64", "int64", "int64", "int64"))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -229,27 +232,58 @@ def stretches(starts: np.ndarray) -> list[dict]:
 
 
 def scan(text: Column, width: int) -> Column:
-    """struct(n_bytes, runs): the runs of a text as four arrays."""
+    """struct(n_bytes, runs): the runs of a text as five arrays."""
 
-    @F.pandas_udf("struct<n_bytes: long, g: array<long>, s: array<long>, first: array<int>, n: array<int>>")
+    @F.pandas_udf("struct<n_bytes: long, g: array<long>, s: array<long>, first: array<int>, n: array<int>, anchor: array<int>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            g, s, first, n = runs_of(t or b"", width)
-            rows.append((len(t or b""), g.view("int64"), s.view("int64"), first.astype("int32"), n.astype("int32")))
-        return pd.DataFrame(rows, columns=["n_bytes", "g", "s", "first", "n"])
+            g, s, *places = runs_of(t or b"", width)
+            rows.append((len(t or b""), g.view("int64"), s.view("int64"), *(x.astype("int32") for x in places)))
+        return pd.DataFrame(rows, columns=["n_bytes", "g", "s", "first", "n", "anchor"])
 
     return of(text.cast("binary"))
 
 
 def sort_shard(width: int):
     def of(shard: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows(list(shard["bytes"]), width)
-        return shard[["g", "s"]].assign(hits=[stretches(f) for f in found])
+        found = repeated_windows(list(shard["data"]), width)
+        hits = [[{"first": h["first"] + o, "n": h["n"]} for h in stretches(f)] for f, o in zip(found, shard["off"], strict=True)]
+        return shard[["g0", "s0"]].assign(hits=hits)
 
     return of
 
 
+HALVES = "array<struct<g: long, s: long, off: int, n: int, anchor: int, low: int, high: int, data: binary>>"
+
+
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def halved(data: bytes, n: int, anchor: int, low: int, high: int, width: int) -> list[dict]:
+    """The windows of a run in two halves, by where the anchor stands in them: at ``low`` to ``high`` - 1, of which each half has a part. Each with a
+    digest (g) of the bytes that windows with the anchor there all hold, and one (s) of all its bytes. Equal windows go the same way."""
+    out, middle = [], (low + high) // 2
+    for lo, hi in ((middle, high), (low, middle)):
+        # the anchor stands at ``anchor`` in the first window and one place earlier in each further one
+        off, past = max(0, anchor - hi + 1), min(n, anchor - lo + 1)
+        if off < past:
+            own = data[off : past + width - 1]
+            g = xxhash.xxh3_64_intdigest(data[anchor - lo : anchor - hi + 1 + width], seed=lo << 16 | hi)
+            s = xxhash.xxh3_64_intdigest(own, seed=anchor - off)
+            out.append({"g": signed(g), "s": signed(s), "off": off, "n": past - off, "anchor": anchor - off, "low": lo, "high": hi, "data": own})
+    return out
+
+
+def halves(width: int, *columns: str) -> Column:
+    @F.pandas_udf(HALVES)
+    def of(data: pd.Series, *rest: pd.Series) -> pd.Series:
+        return pd.Series([halved(d, *map(int, r), width) for d, *r in zip(data, *rest, strict=True)])
+
+    return of(*columns)
+
+
 def cut(text: bytes | None, spans, width: int) -> tuple[bytes, int]:
     """(what is left, removed runs) of a text without the windows of ``spans`` (first, n)."""
     text, kept, at, runs = text or b"", [], 0, 0
@@ -263,57 +297,80 @@ def cut(text: bytes | None, spans, width: int) -> tuple[bytes, int]:
     return b"".join([*kept, text[at:]]), runs
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+SPANS = "g0 long, s0 long, hits array<struct<first: int, n: int>>"
+
+
+def open_groups(kinds: DataFrame, copies: Column, at: Column, width: int) -> DataFrame:
+    """The groups (g, bytes) that hold different runs, some of which may be repeated in part only."""
+    found = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min(copies).alias("fewest"), F.sum(at + width - 1).alias("bytes"))
+    return found.where("kinds > 1 and fewest = 1").select("g", "bytes")
+
+
+def split_groups(runs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, runs): the halves of runs (g0, s0, off, g, s, n, anchor, low, high, data) of groups too large for a task: those that are equal, as hits, and one of
+    each kind of those that go on in smaller groups, with the bytes of these."""
+    parts = runs.select("g0", "s0", F.col("off").alias("_off"), F.explode(halves(width, "data", "n", "anchor", "low", "high")).alias("x"))
+    parts = settle(parts.select("g0", "s0", (F.col("_off") + F.col("x.off")).alias("off"), "x.g", "x.s", "x.n", "x.anchor", "x.low", "x.high", "x.data"))
+    kinds = settle(parts.groupBy("g", "s").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("g0", "s0", "off")).alias("one")))
+    equal = parts.join(kinds.where("copies > 1").select("g", "s"), ["g", "s"], "left_semi").select("g0", "s0", F.array(F.struct(F.col("off").alias("first"), "n")).alias("hits"))
+    left = kinds.join(open_groups(kinds, F.col("copies"), F.col("n"), width), "g").select("g", "s", "bytes", "one.*")
+    rest = parts.join(left, ["g", "s", "g0", "s0", "off"])
+    return settle(equal), settle(rest.select("g0", "s0", "off", "g", "s", "n", "anchor", "low", "high", "data", "bytes"))
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """Add kept (binary), n_bytes, n_removed and n_spans: each text without the bytes that a string of ``width``
     bytes covers which starts at any other place of the corpus, in the same text or another.
 
     Repeats are judged on the input. Null texts count as empty; texts shorter than ``width`` are kept whole; a
     text that overlaps itself loses all its repeats. Equal rows repeat each other. Texts are told apart by id
-    and hash. What is kept may end within a character. Columns of these names are replaced. ``width`` must be 65 or more.
+    and hash. What is kept may end within a character. Columns of these names are replaced, others may have any. ``width`` must be 65 or more.
     """
     if width <= GRAM:
         raise ValueError(f"width must be above {GRAM}")
+    text_batches(df.sparkSession)
     df = df.drop("kept", "n_bytes", "n_removed", "n_spans")
+    names = list(df.columns)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("n"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
     scanned = settle(df.select(key.alias("key"), scan(text, width).alias("p")).select(F.monotonically_increasing_id().alias("rid"), "key", "p.*"))
-    runs = scanned.select("rid", F.explode(F.arrays_zip("g", "s", "first", "n")).alias("r")).select("rid", "r.*")
+    runs = scanned.select("rid", F.explode(F.arrays_zip("g", "s", "first", "n", "anchor")).alias("r")).select("rid", "r.*")
     repeated = settle(scanned.select(F.explode("g").alias("g")).groupBy("g").count().where("count > 1").select("g"))
     live = settle(runs.join(repeated, "g", "left_semi"))
-    kinds = settle(live.groupBy("g", "s").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "n")).alias("at")))
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.sum(F.col("at.n") + width - 1).alias("bytes")).where("kinds > 1 and fewest = 1")
-    unsure = kinds.select("g", "s", "copies", "at.*").join(mixed.select("g", "bytes"), "g")
+    kinds = settle(live.groupBy("g", "s").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "n", "anchor")).alias("at")))
+    unsure = kinds.join(open_groups(kinds, F.col("copies"), F.col("at.n"), width), "g").select("g", "s", "bytes", "at.*")
     unsure = settle(unsure.join(scanned.select("rid", "key"), "rid"))
-    shards = max(1, unsure.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0) // SHARD + 1
-    pieces = df.select(key.alias("key"), text.cast("binary").alias("data")).join(unsure, "key").select("g", "s", "bytes", F.expr(f"substring(data, first + 1, n + {width - 1})").alias("data"))
+    pieces = df.select(key.alias("key"), text.cast("binary").alias("data")).join(unsure, "key")
+    pieces = pieces.select(F.col("g").alias("g0"), F.col("s").alias("s0"), F.lit(0).alias("off"), "g", "s", "n", "anchor", F.lit(0).alias("low"), F.lit(width - GRAM + 1).alias("high"), F.expr(f"substring(data, first + 1, n + {width - 1})").alias("data"), "bytes")
     pieces = settle(pieces.dropDuplicates(["g", "s"]))
-    sortable = pieces.where(F.col("bytes") <= MOST).select("g", "s", F.col("data").alias("bytes"), F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"))
-    hits = sortable.groupBy("shard").applyInPandas(sort_shard(width), "g long, s long, hits array<struct<first: int, n: int>>")
-    hits = settle(hits.where(F.size("hits") > 0).unionByName(counted(pieces.where(F.col("bytes") > MOST), width)))
+    hits = None
+    while True:  # each round halves the windows of the runs in large groups; runs of one window are equal if their group is
+        small = pieces.where(F.col("bytes") <= most)
+        size = small.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
+        sorted_ = small.select("g0", "s0", "off", "data", F.pmod(F.xxhash64("g"), F.lit(size // shard + 1)).alias("shard")).groupBy("shard").applyInPandas(sort_shard(width), SPANS)
+        hits = sorted_ if hits is None else hits.unionByName(sorted_)
+        large = pieces.where(F.col("bytes") > most)
+        if large.isEmpty():
+            break
+        equal, pieces = split_groups(large, width)
+        hits = hits.unionByName(equal)
+    hits = settle(hits.where(F.size("hits") > 0).select(F.col("g0").alias("g"), F.col("s0").alias("s"), "hits"))
     whole = live.join(kinds.where("copies > 1").select("g", "s"), ["g", "s"], "left_semi").select("rid", "first", "n")
     part = live.join(hits, ["g", "s"]).select("rid", "first", F.explode("hits").alias("h")).select("rid", (F.col("first") + F.col("h.first")).alias("first"), F.col("h.n").alias("n"))
     spans = whole.unionByName(part).groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    spans = settle(spans.join(scanned.select("rid", "key"), "rid").select("key", "spans").dropDuplicates(["key"]))
+    own, gone, found = (fresh(names, f"_{x}") for x in ("key", "spans", "found"))
+    spans = settle(spans.join(scanned.select("rid", "key"), "rid").select(F.col("key").alias(own), F.col("spans").alias(gone)).dropDuplicates([own]))
 
     @F.pandas_udf("struct<kept: binary, n_bytes: long, n_spans: long>")
     def rest(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, found in zip(texts, all_spans, strict=True):
-            kept, n = cut(t, found, width)
+        for t, s in zip(texts, all_spans, strict=True):
+            kept, n = cut(t, s, width)
             rows.append((kept, len(t or b""), n))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_spans"])
 
-    out = df.withColumn("_key", key).join(spans.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_r", rest(text.cast("binary"), F.col("spans")))
-    return out.select(*df.columns, "_r.*").withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept"))
-
-
-def counted(pieces: DataFrame, width: int) -> DataFrame:
-    """The repeated windows of anchors with too many different runs for one task: by counts of two digests, summed before they are shuffled."""
-    windows = pieces.select("g", "s", "data", F.explode(F.expr(f"sequence(0, length(data) - {width})")).alias("at"))
-    windows = windows.withColumn("w", F.expr(f"substring(data, at + 1, {width})")).select("g", "s", "at", F.xxhash64("w").alias("x"), F.xxhash64(F.lit(1), "w").alias("y"))
-    twice = settle(windows.groupBy("x", "y").count().where("count > 1").select("x", "y"))
-    found = windows.join(twice, ["x", "y"], "left_semi").groupBy("g", "s").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"))).alias("hits"))
-    return found.select("g", "s", F.col("hits").cast("array<struct<first: int, n: int>>").alias("hits"))
+    out = df.withColumn(own, key).join(spans, own, "left").withColumn(found, rest(text.cast("binary"), F.col(gone)))
+    return out.select(*names, f"{found}.*").withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept"))
 
 
 def op7_suffix_dedup(spark, sf_dir):

@@ -51,18 +51,19 @@ def test_queues_on_disk_give_the_same_order(monkeypatch):
     assert (S.suffix_order(text, 50) == want).all()
 
 
-@pytest.mark.parametrize("most", [S.MOST, 0])
-def test_edges(spark, monkeypatch, most):
-    """Nulls, short and empty texts, repeated rows, a text that repeats itself, hot passages with many ends, clashing columns."""
-    monkeypatch.setattr(S, "MOST", most)
+@pytest.mark.parametrize("most", [S.MOST, 3_000, 0])
+def test_edges(spark, most):
+    """Nulls, short and empty texts, repeated rows, a text that repeats itself, hot passages with many ends, clashing columns; groups split by content once, often or never."""
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     passage, other = word(300), word(150)
     texts = [None, "", "short", passage, passage, "x" * 1000, word(90) * 8, other + passage, passage + other]
     texts += [word(40) + passage + word(60) for _ in range(20)] + [word(500), word(500)]
-    rows = [(k if k % 7 else None, t, "kept") for k, t in enumerate(texts)] + [(3, passage, "kept")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
-    got = [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.remove_repeats(df).collect()]
+    rows = [(k if k % 7 else None, t, "kept", "own", "own") for k, t in enumerate(texts)] + [(3, passage, "kept", "own", "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, spans string, _key string")
+    out = S.remove_repeats(df, most=most).collect()
+    assert {(r.spans, r._key) for r in out} == {("own", "own")}
+    got = [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out]
     assert sorted(got) == sorted(brute([r[1] for r in rows], 200))
 
 
