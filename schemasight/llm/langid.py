@@ -32,7 +32,7 @@ LIFT = 1e4
 #: Words up to this length are taken side by side, longer ones one by one. Below 128, and batches of words below 8192: see how matches packs them.
 LONG = 64
 #: Numbers that a worker keeps of words already scored.
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 
 @lru_cache(maxsize=2)

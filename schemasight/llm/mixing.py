@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, running_before, settle, table
+from .common import discard, fresh, numbered, running_before, settle, table
 
 #: Weights and curriculum ramps (the schedule's factor at the start and at the end) of the sources in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -81,9 +81,16 @@ def plan_mix(df: DataFrame, key: str = "key", size: str = "size", **options) ->
 
 def mix(df: DataFrame, key: str = "key", size: str = "size", **options) -> DataFrame:
     """The mixed corpus: a row for each copy taken, sorted by its position in training (column position, replaced if there is one).
-    Positions are spread over ranges, so no task holds more than a part of the corpus; the columns of the plan are left out."""
-    rows = plan_mix(df.drop("position"), key, size, **options).withColumn("position", F.explode("positions"))
-    return in_training_order(rows.drop(*PLANNED), "position")
+
+    The plan is made without texts, of places, sources, sizes and keys; each row meets its positions once. Positions are spread over
+    ranges, so no task holds more than a part of the corpus; the columns of the plan are left out.
+    """
+    row = fresh(df.columns)
+    df = numbered(df.drop("position", *PLANNED), row).withColumn(row, F.struct(F.xxhash64(f"{row}.file").alias("file"), F.col(f"{row}.row").alias("row")))
+    light = settle(df.select(F.col(row).alias("at"), "source", F.col(size).alias("size"), F.col(key).alias("key")))
+    places = settle(plan_mix(light, **options).select(F.col("at").alias(row), F.explode("positions").alias("position")))
+    discard(light)
+    return in_training_order(df.join(places, row).drop(row), "position")
 
 
 def in_training_order(df: DataFrame, position: str) -> DataFrame:
