@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, table
+from .common import discard, settle, table, text_batches
 
 ORDER = 2
 RELIABLE, HALF = 5, 0.5
 #: Tokens in a row of the encoded corpus, and n-grams aimed at in a bucket.
-CHUNK, BUCKET = 1 << 19, 1 << 21
+CHUNK, BUCKET = 1 << 19, 1 << 20
 #: Buckets of single words, as a share of those of n-grams: there are so many fewer.
 FEWER = 8
 END, START = 2, 3
@@ -332,6 +332,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     alone. Every row is scored for itself, so equal rows teach once each and get equal scores, and ids may be null or repeat. With nothing to
     learn from, every token has the probability of an unseen word. Other columns do not matter; an empty table gives an empty one.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     chunks = settle(rows.mapInArrow(lambda b: encoded(b, chunk), f"chunk long, ids array<{kind}>, train array<boolean>, n_tokens long, ends binary, words binary, tokens binary"))
