@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemasight import registry
+from schemasight.functions import text as T
 from schemasight.operators import compare as C
+from schemasight.operators import discovery as D
 from schemasight.operators import lines as L
+from schemasight.operators import reports as W
 from schemasight.operators import rules as R
 from schemasight.operators import scripts as P
 from schemasight.operators import suggest as G
@@ -53,6 +56,31 @@ def projects(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out.rollup("project", "type").agg(F.count("*").alias("n"))
 
 
+def script_usages(spark: SparkSession, root: str) -> DataFrame:
+    """What the older analysis finds in the Java, Kotlin, Python, JavaScript and TypeScript files of a project."""
+    found = files.files(spark, root).where(~T.in_skipped_dir(F.col("path"), tests=False))
+    code = files.lines(found.where(T.category(F.col("path")) == "java"))
+    scripts = files.lines(files.script_sources(spark, root))
+    older = L.older_findings(code, registry.OLDER_FIELDS, registry.OLDER_OPERATIONS)
+    return older.unionByName(L.older_findings(scripts, registry.SCRIPT_FIELDS, registry.SCRIPT_OPERATIONS))
+
+
+def older_suggestions(spark: SparkSession, root: str, n: int | None = None) -> DataFrame:
+    """Suggestions from these, or the first ``n`` of them."""
+    found = G.legacy_suggestions(script_usages(spark, root))
+    return found if n is None else W.top(found, n)
+
+
+def databases(spark: SparkSession, root: str, deployed: bool = False) -> DataFrame:
+    """The databases that a project, or a repository of deployment settings, names, in the order in which they are seen: (name, path)."""
+    found = files.files(spark, root)
+    if deployed:
+        out = D.deployed_databases(found)
+    else:
+        out = D.database_names(found, L.constants_map(files.constants(files.constant_sources(spark, root))))
+    return out.orderBy("seq").select("name", "path")
+
+
 def search(spark: SparkSession, root: str, words: str) -> DataFrame:
     """Declared indexes and suggestions in whose collection, fields or kind the words occur, without regard to case."""
     found = plans.scan_indexes(spark, root)
@@ -63,9 +91,11 @@ def search(spark: SparkSession, root: str, words: str) -> DataFrame:
 def specifications(spark: SparkSession, root: str) -> DataFrame:
     """Declared indexes and suggestions in the form that the script writers take."""
     found = plans.scan_indexes(spark, root)
-    parts = F.transform(F.split("fields", ","), lambda f: F.struct(F.element_at(F.split(f, ":"), 1).alias("name"), F.when(f.endswith(":-1"), -1).otherwise(1).alias("dir")))
-    rows = found["indexes"].select("collection", F.col("name").alias("index_name"), parts.alias("fields"), "unique")
-    return rows.unionByName(found["suggestions"].select("collection", F.lit("suggested").alias("index_name"), parts.alias("fields"), F.lit(False).alias("unique")).distinct())
+    parts = F.transform(F.split("fields", ","), lambda f: F.struct(F.element_at(F.split(f, ":"), 1).alias("name"), F.when(F.size(F.split(f, ":")) > 1, F.element_at(F.split(f, ":"), 2)).otherwise("1").alias("dir")))
+    rows = found["indexes"].select("database", "collection", F.col("name").alias("index_name"), parts.alias("fields"), "unique", "sparse", "ttl")
+    no = F.lit(False)
+    more = found["suggestions"].select("database", "collection", F.lit("suggested").alias("index_name"), parts.alias("fields"), no.alias("unique"), no.alias("sparse"), F.lit(None).cast("int").alias("ttl"))
+    return rows.unionByName(more.distinct())
 
 
 def export(spark: SparkSession, root: str, form: str = "mongo_shell", database: str | None = None) -> DataFrame:
@@ -77,6 +107,14 @@ def export(spark: SparkSession, root: str, form: str = "mongo_shell", database:
     return out.orderBy("collection", "line")
 
 
+def script(spark: SparkSession, root: str, form: str = "mongo_shell", database: str | None = None) -> DataFrame:
+    """A whole script with its head, its databases and its collections, in order: (line)."""
+    specs = specifications(spark, root).withColumn("seq", F.xxhash64("collection", "fields", "index_name"))
+    out = P.shell_script(specs, database) if form == "mongo_shell" else P.pymongo_script(specs, database or "mydb")
+    order = [F.col(c).asc_nulls_first() for c in ("database", "collection", "part", "seq") if c in out.columns]
+    return out.orderBy(order).select("line")
+
+
 def check(spark: SparkSession, root: str, family: str | None = None, config: str | None = None) -> dict[str, DataFrame]:
     """violations and gate of all rules or of one family."""
     out = plans.check(spark, root, configuration.load_config(config))
@@ -87,10 +125,10 @@ def check(spark: SparkSession, root: str, family: str | None = None, config: str
 
 
 def compare_script(spark: SparkSession, root: str, script: DataFrame) -> DataFrame:
-    """createIndex lines (line) against the indexes and suggestions of the code."""
-    mine = specifications(spark, root).select("collection", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["dir"].cast("string"))), ",").alias("fields"))
-    theirs = P.parsed_shell(script.select("line", F.lit(None).cast("string").alias("index_name")))
-    return C.compared(theirs, mine)
+    """A script, as (content) or its lines (line), against the indexes and suggestions of the code; shell and pymongo calls are read."""
+    mine = specifications(spark, root).select("collection", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["dir"])), ",").alias("fields"))
+    text = script.agg(F.array_join(F.collect_list("line"), "\n").alias("content")) if "line" in script.columns else script
+    return C.compared(P.script_calls(text.withColumn("file_id", F.lit("script")))[["collection", "fields"]], mine)
 
 
 def compare_live(spark: SparkSession, root: str, live: DataFrame) -> DataFrame:
@@ -116,17 +154,28 @@ def team_services(spark: SparkSession, catalog: str, team: str) -> DataFrame:
 
 
 def check_team(spark: SparkSession, catalog: str, team: str, base: str = "", config: str | None = None) -> dict[str, DataFrame]:
-    """Violations of all services of a team that have a repository, by service and in all; the catalog is a small file, a service is a directory."""
-    services = team_services(spark, catalog, team).where("has_path and supported").select("service_name", "uri_location").distinct().collect()
-    found = None
-    for s in services:
-        part = plans.check(spark, base + s["uri_location"], configuration.load_config(config))["violations"].withColumn("service", F.lit(s["service_name"]))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    """Violations of all services of a team that have a repository, by service and in all. A service is a directory; all are read and judged in one pass."""
+    services = team_services(spark, catalog, team).where("has_path and supported").select(F.col("service_name").alias("service"), F.concat(F.lit(base), "uri_location").alias("root")).distinct()
+    roots = sorted({r["root"] for r in services.select("root").collect()})
+    if not roots:
         return {}
+    found = plans.check(spark, roots, configuration.load_config(config))["violations"]
+    # a file belongs to the services whose root is one of its directories
+    parts = F.split("file_id", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    plain = services.select("service", F.rtrim(F.element_at(F.split("root", "://"), -1), F.lit("/")).alias("root"))
+    found = found.withColumn("root", F.explode(above)).join(plain, "root").drop("root")
     return {"violations": found, "gate": R.gate_with_total(found, "service")}
 
 
+def check_report(spark: SparkSession, root: str, path: str, config: str | None = None) -> dict[str, DataFrame]:
+    """Check a project and write the report with its gate, summary, violations and errors as JSON lines, a directory a section."""
+    out = check(spark, root, None, config)
+    found = W.gate_report(root, out["violations"], out["gate"], files.unreadable(spark, root), files.files(spark, root))
+    found.write.mode("overwrite").partitionBy("section").text(path)
+    return out
+
+
 def report(df: DataFrame, path: str) -> None:
     """A JSON report of any of these tables."""
     df.write.mode("overwrite").option("ignoreNullFields", True).json(path)

@@ -3,7 +3,9 @@ statements, index definitions and catalogs of them. The text of most is read by
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
 
@@ -27,7 +29,7 @@ SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY ts, event_
   WHEN 14 THEN 'query.put(AppConstants.F' || CAST(k % 40 AS STRING) || ', v);'
   WHEN 15 THEN 'coll.find(Filters.eq("tenant", t)).sort(Sorts.ascending("created"));'
   WHEN 16 THEN 'st.executeUpdate("UPDATE t SET a = 1");'
-  ELSE 'mongoTemplate.find(q, Order' || CAST(user_id % 4 AS STRING) || '.class );' END AS text
+  ELSE CASE user_id % 5 WHEN 0 THEN 'template.findAll("carts");' WHEN 1 THEN 'template.drop("test");' ELSE 'mongoTemplate.find(q, Order' || CAST(user_id % 4 AS STRING) || '.class );' END END AS text
 FROM (SELECT user_id, ts, event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events))""",
     "constants_kv": "SELECT 'AppConstants' AS class, 'F' || CAST(n_nationkey AS STRING) AS field, lower(replace(n_name, ' ', '_')) AS value, n_nationkey AS seq FROM nation",
     "sql_statements": """
@@ -91,6 +93,38 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'Seq Scan on t  (
     "live_catalog": """
 SELECT 'ix_' || CAST(p_partkey AS STRING) AS index_name, 't' || CAST(p_partkey % 40 AS STRING) AS table_name,
   CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey * 8192 + p_size END AS size_bytes, CAST(p_size % 4 AS BIGINT) AS idx_scan FROM part""",
+    "script_lines": """
+SELECT user_id AS file_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS line_no, k, CASE k % 6
+  WHEN 0 THEN 'coll = db["c' || CAST(k % 4 AS STRING) || '"]'
+  WHEN 1 THEN 'coll.find_one({"a' || CAST(k % 5 AS STRING) || '": 1, "$or": x, "_id": 2})'
+  WHEN 2 THEN '# coll.find({"no": 1})'
+  WHEN 3 THEN 'coll.update_many({"b": 1})'
+  WHEN 4 THEN 'coll.create_index("c")'
+  ELSE '  "d" : {"$gt": 1},' END AS text
+FROM (SELECT user_id, ts, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
+    "java_classes": """
+SELECT 'p' || CAST(p_partkey AS STRING) || '.java' AS path, p_partkey AS n, p_size AS z, '@Document(collection = "c' || CAST(p_partkey % 7 AS STRING) || '")' || chr(10)
+  || CASE p_size % 3 WHEN 0 THEN '@CompoundIndexes({ @CompoundIndex(name = "ab", def = "{''a'': 1, ''b'': -1}", unique = true) })' || chr(10) ELSE '' END
+  || CASE p_size % 4 WHEN 0 THEN '@CompoundIndex(def = "{''s'': 1}")' || chr(10) ELSE '' END
+  || 'public class C {' || chr(10) || '  @Indexed(unique = true, expireAfterSeconds = 60)' || chr(10)
+  || CASE p_size % 5 WHEN 0 THEN '  // ' || repeat('x', 600) || chr(10) WHEN 1 THEN '  @NotNull' || chr(10) ELSE '' END
+  || '  private String f' || CAST(p_size AS STRING) || ';' || chr(10) || '}' AS content FROM part""",
+    "setting_files": """
+SELECT 's' || CAST(n_nationkey AS STRING) || '/' || CASE n_nationkey % 4 WHEN 0 THEN 'application.properties' WHEN 1 THEN '.env' WHEN 2 THEN 'A.java' ELSE 'other.properties' END AS path, CASE n_nationkey % 4
+  WHEN 0 THEN '# mongodb.database=no' || chr(10) || 'spring.data.mongodb.database=' || lower(replace(n_name, ' ', '_'))
+  WHEN 1 THEN 'MY_MONGO_DB="e' || CAST(n_nationkey AS STRING) || '"'
+  WHEN 2 THEN 'x.getDatabase("j' || CAST(n_nationkey AS STRING) || '"); y.getDB("admin");' ELSE 'mongodb.database=zz' END AS content, n_nationkey AS n FROM nation""",
+    "deploy_files": """
+SELECT CAST(n_nationkey AS STRING) || '/' || CASE n_nationkey % 4 WHEN 0 THEN 'x.yaml' WHEN 1 THEN 'Jenkinsfile' WHEN 2 THEN 'x.txt' ELSE 'build/y.yaml' END AS path, CASE n_nationkey % 4
+  WHEN 1 THEN 'def x = "inc' || CAST(n_nationkey AS STRING) || '_$' || '{t}"; db = "local"'
+  ELSE 'database: d' || CAST(n_nationkey AS STRING) || chr(10) || 'uri: mongodb+srv://h/u' || CAST(n_nationkey AS STRING) END AS content, n_nationkey AS n FROM nation""",
+    "project_files": """
+SELECT 'm' || CAST(p_partkey AS STRING) || CASE p_size % 8 WHEN 0 THEN '/Order.java' WHEN 1 THEN '/OrderTest.java' WHEN 2 THEN '/test/X.java' WHEN 3 THEN '/DataBackupJob.java' WHEN 4 THEN '/x.py'
+  WHEN 5 THEN '/y.TS' WHEN 6 THEN '/build/G.kt' ELSE CASE p_partkey % 2 WHEN 0 THEN '/z.yml' ELSE '/readme.md' END END AS path, p_size AS z, p_partkey AS n FROM part""",
+    "values_paths": "SELECT 'svc' || CAST(n_nationkey AS STRING) || CASE n_nationkey % 3 WHEN 0 THEN '/values.yaml' WHEN 1 THEN '/values-prod.yaml' ELSE '/other.yaml' END AS path FROM nation",
+    "index_scripts": """
+SELECT s_suppkey AS file_id, 'db.t1.createIndex({a' || CAST(s_suppkey AS STRING) || ': 1, c: "text"});' || chr(10) || 'db["t2"].create_index([("b", DESCENDING), (''h'', HASHED)])' || chr(10)
+  || 'coll.createIndex({x: 1}); users.createIndex({"y": -1}, {unique: true})' AS content FROM supplier""",
 }
 #: The column lists of indexes, per engine: aggregates of strings have no common form.
 LISTS = {
@@ -102,14 +136,23 @@ SELECT 't' || CAST(l_orderkey % 50 AS STRING) AS table_name, 'ix_' || CAST(l_ord
 FROM lineitem GROUP BY l_orderkey"""
 
 
-def register(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """Views of the tables in ``sf_dir`` and of the corpora, replacing those of an earlier call."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, sql in CORPORA.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-    spark.sql(INDEX_DEFS.format(LISTS["spark"])).createOrReplaceTempView("index_defs")
-    return spark
+def register(spark: SparkSession, sf_dir: str):
+    """A function that gives a table in ``sf_dir`` or a corpus by its name; only what is asked for, and the tables that it is made of, is opened.
+    The views of these tables are replaced by those of a later call."""
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def view(name: str) -> DataFrame:
+        if name not in CORPORA and name != "index_defs":
+            return table(name)
+        sql = INDEX_DEFS.format(LISTS["spark"]) if name == "index_defs" else CORPORA[name]
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", sql):
+                table(t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    return view
 
 
 def duckdb_sql(sql: str, *recursive: str) -> str:

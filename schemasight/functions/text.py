@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,10 +85,10 @@ def all_matches(text: Column, patterns: list[Pattern]) -> Column:
     return F.concat(*[of(k, p) for k, p in enumerate(patterns)])
 
 
-def latest_match(text: Column, patterns: list[Pattern]) -> Column:
-    """struct(pos, before, kind, value) of the match that starts last; of equal starts, that of the earlier pattern."""
+def latest_match(text: Column, patterns: list[Pattern], keep: Callable[[Column], Column] | None = None) -> Column:
+    """struct(pos, before, kind, value) of the match that starts last, of those that ``keep`` holds for; of equal starts, that of the earlier pattern."""
     found = [F.when(text.rlike(p.regex), F.struct(F.regexp_instr(text, F.lit(p.regex)).alias("pos"), F.lit(-k).alias("before"), F.lit(p.kind).alias("kind"), F.regexp_extract(text, p.regex, 1).alias("value"))) for k, p in enumerate(patterns)]
-    return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull() if keep is None else x.isNotNull() & keep(x)))
 
 
 def is_skipped_collection(name: Column) -> Column:

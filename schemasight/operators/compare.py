@@ -80,6 +80,19 @@ def esr(defs: DataFrame, usages: DataFrame) -> DataFrame:
     return rows.select("collection", "index_name", classes.alias("classes"), (~F.replace(classes, F.lit("?"), F.lit("")).rlike("SE|RE|RS")).alias("compliant"), F.array_join(F.transform(ordered, lambda x: x["field"]), ",").alias("better"))
 
 
+def reordering(classes: Column, better: Column, compliant: Column) -> Column:
+    """What to do about an index of ``esr``: its fields in the better order with the classes in theirs; null if nothing."""
+    letters = F.filter(F.split(classes, ""), lambda c: c != "")
+    ranked = F.transform(F.array_sort(F.transform(letters, lambda c: F.struct(F.array_position(F.array(*map(F.lit, "ESR?")), c).alias("k"), c.alias("c")))), lambda x: x["c"])
+    parts = F.zip_with(F.split(better, ","), ranked, lambda f, c: F.concat(f, F.lit("("), c, F.lit(")")))
+    return F.when(~compliant, F.concat(F.lit("Reorder to ESR: "), F.array_join(parts, " → ")))
+
+
+def without_default(indexes: DataFrame) -> DataFrame:
+    """Live indexes (database, fields as name:dir) without those on _id alone and those of system databases."""
+    return indexes.where((F.col("fields") != "_id:1") & ~F.col("database").isin("admin", "local", "config"))
+
+
 def creation_plan(databases: DataFrame, indexes: DataFrame) -> DataFrame:
     """What would be created: every index in every target database. This product is the feature; nothing is executed."""
     return databases.select("database").distinct().crossJoin(indexes)

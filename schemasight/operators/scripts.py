@@ -23,13 +23,14 @@ def text_of(n: Column) -> Column:
 
 
 def mongo_shell(specs: DataFrame) -> DataFrame:
-    keys = joined("fields", lambda x: F.concat(F.lit('"'), x["name"], F.lit('": '), text_of(x["dir"])))
+    quote = lambda d: F.when(text_of(d).rlike("^-?[0-9]+$"), text_of(d)).otherwise(F.concat(F.lit('"'), text_of(d), F.lit('"')))
+    keys = joined("fields", lambda x: F.concat(F.lit('"'), x["name"], F.lit('": '), quote(x["dir"])))
     options = F.when(F.col("unique"), ", { unique: true }").otherwise("")
     return specs.select("collection", "index_name", F.concat(F.lit("db."), "collection", F.lit(".createIndex({ "), keys, F.lit(" }"), options, F.lit(");")).alias("line"))
 
 
 def pymongo(specs: DataFrame) -> DataFrame:
-    keys = joined("fields", lambda x: F.concat(F.lit('("'), x["name"], F.lit('", '), F.when(x["dir"] == -1, "DESCENDING").otherwise("ASCENDING"), F.lit(")")))
+    keys = joined("fields", lambda x: F.concat(F.lit('("'), x["name"], F.lit('", '), F.when(text_of(x["dir"]) == "-1", "DESCENDING").when(text_of(x["dir"]) == "text", "TEXT").when(text_of(x["dir"]) == "hashed", "HASHED").otherwise("ASCENDING"), F.lit(")")))
     options = F.when(F.col("unique"), ", unique=True").otherwise("")
     return specs.select("collection", "index_name", F.concat(F.lit('db["'), "collection", F.lit('"].create_index(['), keys, F.lit("]"), options, F.lit(")")).alias("line"))
 
@@ -37,7 +38,7 @@ def pymongo(specs: DataFrame) -> DataFrame:
 def postgres(specs: DataFrame, schema: str = "public") -> DataFrame:
     """CREATE INDEX statements; names are built from the columns and cut to 63 characters."""
     name = F.substring(F.replace(F.concat(F.lit("idx_"), "collection", F.lit("_"), joined("fields", lambda x: x["name"], "_")), F.lit("."), F.lit("_")), 1, 63)
-    cols = joined("fields", lambda x: F.concat(F.replace(x["name"], F.lit("."), F.lit("_")), F.when(x["dir"] == -1, " DESC").otherwise("")))
+    cols = joined("fields", lambda x: F.concat(F.replace(x["name"], F.lit("."), F.lit("_")), F.when(text_of(x["dir"]) == "-1", " DESC").otherwise("")))
     start = F.when(F.col("unique"), "CREATE UNIQUE INDEX CONCURRENTLY IF NOT EXISTS ").otherwise("CREATE INDEX CONCURRENTLY IF NOT EXISTS ")
     return specs.select("collection", "index_name", F.concat(start, name, F.lit(f" ON {schema}."), "collection", F.lit(" ("), cols, F.lit(");")).alias("line"))
 
@@ -55,10 +56,116 @@ def indexdef_columns(definition: Column) -> Column:
     return F.array_join(F.transform(F.split(body, ","), part), ",")
 
 
+#: What pymongo calls directions.
+DIRECTIONS = {"1": "ASCENDING", "-1": "DESCENDING", "text": "TEXT", "hashed": "HASHED"}
+
+
+def options(specs: DataFrame, shell: bool) -> Column:
+    """unique, sparse and expireAfterSeconds of (unique, sparse, ttl), those that are set: as a shell object or as arguments; '' without any."""
+    true, mark, quote = ("true", ": ", '"') if shell else ("True", "=", "")
+    name = lambda n: f"{quote}{n}{quote}{mark}"
+    parts = [F.when(F.col(c), name(c) + true) for c in ("unique", "sparse")] + [F.concat(F.lit(name("expireAfterSeconds")), F.col("ttl").cast("string"))]
+    text = F.array_join(F.array_compact(F.array(*parts)), ", ")
+    return F.when(text == "", "").otherwise(F.concat(F.lit(", {"), text, F.lit("}")) if shell else F.concat(F.lit(", "), text))
+
+
+def _sections(rows: DataFrame, *parts: tuple[int, str, Column | None]) -> DataFrame:
+    """Lines in front of and behind groups of a script: (part, columns that make the group, line)."""
+    out = None
+    for part, by, line in parts:
+        names = [c for c in by.split(",") if c]
+        found = rows.select(*names).distinct() if names else rows.limit(1)
+        found = found.select(*[F.col(c) if c in names else F.lit(None if part < 8 else "\U0010ffff").cast("string").alias(c) for c in ("database", "collection")], F.lit(part).alias("part"), F.lit(0).cast("long").alias("seq"), line.alias("line"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def shell_script(specs: DataFrame, database: str | None = None) -> DataFrame:
+    """A whole mongosh script of (database, collection, seq, fields, unique, sparse, ttl): (database, collection, part, seq, line), to be sorted by
+    these with nulls first. Indexes are grouped by database, that given or their own, and by collection."""
+    if database:
+        return _shell_lines(specs.withColumn("database", F.lit(database)), False)
+    some = specs.agg(F.max(F.col("database").isNotNull()).alias("_some"))
+    rows = specs.crossJoin(F.broadcast(some)).withColumn("database", F.when(F.col("_some"), F.coalesce("database", F.lit("unknown")))).drop("_some")  # an aggregate of one row
+    return _shell_lines(rows, True)
+
+
+def _shell_lines(rows: DataFrame, named: bool) -> DataFrame:
+    keys = joined("fields", lambda x: F.concat(F.lit('"'), x["name"], F.lit('": '), F.when(x["dir"].rlike("^-?[0-9]+$"), x["dir"]).otherwise(F.concat(F.lit('"'), x["dir"], F.lit('"')))))
+    line = F.concat(F.lit("db."), "collection", F.lit(".createIndex({"), keys, F.lit("}"), options(rows, True), F.lit(");"))
+    body = rows.select("database", "collection", F.lit(5).alias("part"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
+    heads = _sections(
+        rows,
+        (0, "", F.lit("// Auto-generated MongoDB index creation script")),
+        (1, "", F.lit("// Generated from source code analysis")),
+        (2, "", F.lit("")),
+        (4, "database,collection", F.concat(F.lit("// Collection: "), "collection")),
+        (6, "database,collection", F.lit("")),
+    )
+    known = rows.where("database is not null")
+    use = _sections(known, (1, "database", F.concat(F.lit("// Database: "), "database")), (2, "database", F.concat(F.lit("use "), "database", F.lit(";"))), (3, "database", F.lit("")))
+    return body.unionByName(heads).unionByName(use if named else use.where("part > 1"))
+
+
+def pymongo_script(specs: DataFrame, database: str = "mydb") -> DataFrame:
+    """A whole Python script of (collection, seq, fields, unique, sparse, ttl): (collection, part, seq, line), to be sorted by these with nulls first;
+    it imports the directions that it needs."""
+    names = F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair])
+    word = lambda x: F.coalesce(names[x["dir"]], x["dir"])
+    keys = joined("fields", lambda x: F.concat(F.lit('("'), x["name"], F.lit('", '), word(x), F.lit(")")))
+    line = F.concat(F.lit('db["'), "collection", F.lit('"].create_index(['), keys, F.lit("]"), options(specs, False), F.lit(")"))
+    body = specs.select("collection", F.lit(5).alias("part"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
+    needed = specs.select(F.explode(F.transform("fields", word)).alias("w")).agg(F.array_join(F.array_sort(F.collect_set("w")), ", ").alias("w"))  # a handful of words
+    fixed = ["#!/usr/bin/env python3", '"""Auto-generated pymongo index creation script."""', "", None, "", 'client = MongoClient("mongodb://localhost:27017")', f'db = client["{database}"]', ""]
+    head = needed.select(F.posexplode(F.array(*[F.concat(F.lit("from pymongo import MongoClient, "), "w") if x is None else F.lit(x) for x in fixed])).alias("seq", "line"))
+    head = head.select(F.lit(None).cast("string").alias("collection"), F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq"), "line")
+    each = specs.select("collection").distinct().select("collection", F.explode(F.array(F.struct(F.lit(4).alias("part"), F.concat(F.lit("# Collection: "), "collection").alias("line")), F.struct(F.lit(6).alias("part"), F.lit("").alias("line")))).alias("x"))
+    return body.unionByName(head).unionByName(each.select("collection", "x.part", F.lit(0).cast("long").alias("seq"), "x.line"))
+
+
+def shell_keys(text: Column) -> Column:
+    """name:direction of the keys in a shell object: numbers, or text in double quotes."""
+    pair = r"""["']?(\w+)["']?\s*:\s*(?:-?\d+|"[^"]*")"""
+    names = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
+    dirs = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), lambda x: F.btrim(F.regexp_extract(x, r""":\s*(-?\d+|"[^"]*")$""", 1), F.lit('"')))
+    return F.array_join(F.zip_with(names, dirs, lambda n, d: F.concat(n, F.lit(":"), d)), ",")
+
+
+def pymongo_keys(text: Column) -> Column:
+    """name:direction of the tuples of a create_index call."""
+    pair = r"""["'](\w+)["']\s*,\s*(-?\d+|ASCENDING|DESCENDING|TEXT|HASHED)"""
+    words = F.create_map(*[F.lit(x) for number, word in DIRECTIONS.items() for x in (word, number)])
+    names, dirs = (F.regexp_extract_all(text, F.lit(pair), F.lit(k)) for k in (1, 2))
+    return F.array_join(F.zip_with(names, dirs, lambda n, d: F.concat(n, F.lit(":"), F.coalesce(words[d], d))), ",")
+
+
+#: Calls that create an index in a script, in the order in which they are looked for; the last finds those of the first again, without their db.
+CALLS = [
+    ("shell", r"db\.(\w+)\.createIndex\s*\(\s*(\{[^}]+\})"),
+    ("pymongo", r"""db\[["'](\w+)["']\]\.create_index\s*\(\s*(\[[^\]]+\])"""),
+    ("generic", r"(\w+)\.createIndex\s*\(\s*(\{[^}]+\})"),
+]
+
+
+def script_calls(scripts: DataFrame) -> DataFrame:
+    """(file_id, ord, nth, collection, fields, raw) of all calls in scripts (file_id, content) with keys; generic ones on db, collection and coll
+    are left out. A call with db is found as generic, too, and counts twice; comparisons, which are by collection and keys, see it once."""
+    def calls(k: int, kind: str, p: str) -> Column:
+        of = lambda g: F.regexp_extract_all("content", F.lit(p), F.lit(g))
+        zipped = F.arrays_zip(of(1).alias("collection"), of(2).alias("body"), of(0).alias("raw"))
+        return F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("ord"), i.alias("nth"), F.lit(kind).alias("kind"), x["collection"].alias("collection"), x["body"].alias("body"), F.btrim(x["raw"]).alias("raw")))
+
+    parts = [calls(k, kind, p) for k, (kind, p) in enumerate(CALLS)]
+    found = scripts.select("file_id", F.explode(F.concat(*parts)).alias("c")).select("file_id", "c.*")
+    found = found.where((F.col("kind") != "generic") | ~F.col("collection").isin("db", "collection", "coll"))
+    fields = F.when(F.col("kind") == "pymongo", pymongo_keys(F.col("body"))).otherwise(shell_keys(F.col("body")))
+    return found.withColumn("fields", fields).where("fields <> ''").select("file_id", "ord", "nth", "collection", "fields", "raw")
+
+
 def parsed_shell(lines: DataFrame) -> DataFrame:
     """(collection, index_name, fields as name:dir, unique) of createIndex lines."""
     body = F.regexp_extract("line", r"createIndex\(\{([^}]*)\}", 1)
-    names = F.regexp_extract_all(body, F.lit(r'"?([\w.]+)"?\s*:\s*-?\w+'), F.lit(1))
-    dirs = F.regexp_extract_all(body, F.lit(r'"?[\w.]+"?\s*:\s*(-?\w+)'), F.lit(1))
+    names = F.regexp_extract_all(body, F.lit(r'"?([\w.]+)"?\s*:\s*"?-?\w+'), F.lit(1))
+    dirs = F.regexp_extract_all(body, F.lit(r'"?[\w.]+"?\s*:\s*"?(-?\w+)'), F.lit(1))
     fields = F.array_join(F.zip_with(names, dirs, lambda n, d: F.concat(n, F.lit(":"), d)), ",")
     return lines.select(F.regexp_extract("line", r"db\.(\w+)\.createIndex", 1).alias("collection"), "index_name", fields.alias("fields"), F.col("line").rlike(r"unique:\s*true").alias("unique"))

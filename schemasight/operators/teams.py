@@ -16,6 +16,19 @@ def of_team(catalog: DataFrame, team: str) -> DataFrame:
     return catalog.where(same_name("team", team))
 
 
+def selected(catalog: DataFrame, team: str | None = None, namespace: str | None = None, sub_team: str | None = None) -> DataFrame:
+    """Services of a team, a namespace, a sub-team, or several of these; case and blanks around do not count."""
+    for column, name in (("team", team), ("namespace", namespace), ("sub_team", sub_team)):
+        catalog = catalog if name is None else catalog.where(same_name(column, name))
+    return catalog
+
+
+def by_service(violations: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Violations (project, ...) with the services (service_name) whose repository the project is."""
+    services = catalog.select("service_name", F.col("uri_location").alias("project")).distinct()
+    return violations.join(services, "project")
+
+
 def with_kinds(catalog: DataFrame) -> DataFrame:
     """Add has_postgres, has_mongodb, has_path (a usable repository) and supported (some database is named)."""
     db = F.lower(F.coalesce("db_service", F.lit("")))

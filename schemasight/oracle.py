@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from schemasight.corpus import duckdb_sql
 from schemasight.registry import (
-    BLOCK, BUSINESS_COLUMNS, COLLECTIONS, DDL_TYPES, INDEX_KILLERS, INDEX_LINES, NOT_COLLECTIONS, NOT_DATABASES, OPERATIONS, QUERY_FIELDS, RANGE_WORDS,
+    BLOCK, BUSINESS_COLUMNS, COLLECTIONS, DDL_TYPES, INDEX_KILLERS, INDEX_LINES, NOT_COLLECTIONS, NOT_DATABASES, NOT_LITERALS, OLDER_COLLECTIONS, OLDER_FIELDS, OLDER_OPERATIONS, OPERATIONS, QUERY_FIELDS, RANGE_WORDS,
     ROLLBACK_NAMES, RULES, SKIP_COLLECTION_SUFFIXES, SKIP_COLLECTION_WORDS, SQL_WORDS, STATEMENTS, WARN,
 )
 
@@ -68,7 +68,7 @@ add("asof_operation", f"WITH {WITH_OP} SELECT file_id, line_no, operation FROM w
 REFS = " UNION ALL ".join(f"SELECT file_id, line_no, {k} AS k, {q(p.kind)} AS kind, strpos(text, {part('text', p.regex, 0)}) AS pos, {part('text', p.regex)} AS value FROM java_lines WHERE {has('text', p.regex)}" for k, p in enumerate(COLLECTIONS))
 WITH_COLL = f"""{KNOWN}, refs AS ({REFS}), last_refs AS (
   SELECT r.file_id, r.line_no, r.pos, CASE kind WHEN 'entity' THEN lower(r.value[1]) || r.value[2:] WHEN 'constant' THEN coalesce(k.value, r.value) ELSE r.value END AS name
-  FROM (SELECT * FROM refs QUALIFY row_number() OVER (PARTITION BY file_id, line_no ORDER BY pos DESC, k) = 1) r LEFT JOIN known k ON r.kind = 'constant' AND k.name = r.value
+  FROM (SELECT * FROM refs WHERE NOT (kind = 'literal' AND (value IN {among(NOT_LITERALS)} OR length(value) < 3)) AND (kind = 'constant' OR value NOT IN {among(NOT_COLLECTIONS)}) QUALIFY row_number() OVER (PARTITION BY file_id, line_no ORDER BY pos DESC, k) = 1) r LEFT JOIN known k ON r.kind = 'constant' AND k.name = r.value
 ), good_refs AS (SELECT * FROM last_refs WHERE name NOT IN {among(NOT_COLLECTIONS)}),
 with_coll AS (SELECT l.file_id, l.line_no, coalesce(h.name, b.name, 'unknown') AS collection FROM java_lines l
   LEFT JOIN good_refs h ON l.file_id = h.file_id AND l.line_no = h.line_no AND h.pos = 1 ASOF LEFT JOIN good_refs b ON l.file_id = b.file_id AND l.line_no > b.line_no)"""
@@ -253,3 +253,74 @@ add("verify_lines", f"WITH {SPECS}, k AS (SELECT DISTINCT collection, {VERIFY_KE
 PAIRS = listed("c || ':' || " + DIR, ",")
 add("pg_indexdef_parse", f"WITH {SPECS} SELECT index_name, {PAIRS} AS columns FROM ordered")
 add("script_parse", f"WITH {SPECS} SELECT collection, index_name, {PAIRS} AS fields, uniq AS \"unique\" FROM ordered")
+
+# What the corpora below hold is known from the rows that they are made of, so these say it without reading any text.
+add("script_usages", """WITH s AS (SELECT *, last_value(CASE WHEN k % 6 = 0 THEN 'c' || (k % 4) END IGNORE NULLS) OVER w AS coll FROM script_lines WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ops AS (SELECT file_id, line_no AS at, CASE k % 6 WHEN 3 THEN 'update' ELSE 'find' END AS op FROM script_lines WHERE k % 6 IN (1, 2, 3))
+SELECT s.file_id, s.line_no, 0 AS ord, 0 AS nth, CASE k % 6 WHEN 1 THEN 'a' || (k % 5) WHEN 3 THEN 'b' ELSE 'd' END AS field, 'filter' AS usage, CASE WHEN s.line_no - o.at < 50 THEN o.op ELSE 'unknown' END AS operation,
+  coalesce(coll, 'unknown') AS collection, CASE WHEN coll IS NULL THEN 'unknown' ELSE 'direct' END AS collection_type
+FROM s ASOF LEFT JOIN ops o ON s.file_id = o.file_id AND s.line_no >= o.at WHERE k % 6 IN (1, 3, 5)""")
+OLD_OPS = f"ops AS (SELECT file_id, line_no AS at, op FROM (SELECT *, {first_kind('text', OLDER_OPERATIONS)} AS op FROM java_lines) WHERE op IS NOT NULL)"
+OLD_REFS = " UNION ALL ".join(f"SELECT file_id, line_no, {k} AS k, {q(p.kind)} AS kind, strpos(text, {part('text', p.regex, 0)}) AS pos, {part('text', p.regex)} AS value FROM java_lines WHERE {has('text', p.regex)}" for k, p in enumerate(OLDER_COLLECTIONS))
+OLD_FOUND = " UNION ALL ".join(f"SELECT file_id, line_no, {k} AS ord, {q(p.kind)} AS usage, generate_subscripts({every('text', p.regex)}, 1) - 1 AS nth, unnest({every('text', p.regex)}) AS field FROM java_lines WHERE NOT {blank('text', '//', '#', '*')}" for k, p in enumerate(OLDER_FIELDS))
+add("older_findings", f"""WITH {OLD_OPS}, refs AS ({OLD_REFS}), last_refs AS (SELECT * FROM refs QUALIFY row_number() OVER (PARTITION BY file_id, line_no ORDER BY pos DESC, k) = 1), found AS ({OLD_FOUND})
+SELECT f.file_id, f.line_no, CAST(f.ord AS INTEGER) AS ord, CAST(f.nth AS INTEGER) AS nth, f.field, f.usage, CASE WHEN f.line_no - o.at < 50 THEN o.op ELSE 'unknown' END AS operation,
+  coalesce(h.value, b.value, 'unknown') AS collection, coalesce(h.kind, b.kind, 'unknown') AS collection_type
+FROM found f LEFT JOIN last_refs h ON h.file_id = f.file_id AND h.line_no = f.line_no AND h.pos = 1
+  ASOF LEFT JOIN ops o ON f.file_id = o.file_id AND f.line_no >= o.at ASOF LEFT JOIN last_refs b ON f.file_id = b.file_id AND f.line_no > b.line_no WHERE f.field <> '_id' AND NOT starts_with(f.field, '$')""")
+add("collection_whole_file", f"WITH {WITH_COLL} SELECT * FROM with_coll")
+add("declared_indexes", """WITH d AS (SELECT *, 'c' || (n % 7) AS collection FROM java_classes)
+SELECT collection, 'compound' AS kind, 'a:1,b:-1' AS fields, 'ab' AS name, true AS "unique", false AS sparse, CAST(NULL AS INTEGER) AS ttl, path FROM d WHERE z % 3 = 0
+UNION ALL SELECT collection, 'compound', 's:1', NULL, false, false, NULL, path FROM d WHERE z % 4 = 0
+UNION ALL SELECT collection, 'single', 'f' || z || ':1', NULL, true, false, 60, path FROM d WHERE z % 5 <> 0""")
+add("standalone_compound", """SELECT path, CAST(strpos(content, '@CompoundIndex(def = "{''s') - 1 AS INTEGER) AS start FROM java_classes WHERE z % 4 = 0""")
+add("forward_field", "SELECT path, 0 AS nth, CASE WHEN z % 5 <> 0 THEN 'f' || z END AS field FROM java_classes")
+add("discover_by_category", "SELECT path, CASE WHEN z % 8 < 4 THEN 'java' WHEN z % 8 = 4 THEN 'python' WHEN z % 8 = 5 THEN 'javascript' ELSE 'config' END AS category FROM project_files WHERE z % 8 < 6 OR z % 8 = 7 AND n % 2 = 0")
+add("non_query_filter", "SELECT path FROM project_files WHERE z % 8 = 0")
+add("config_db_names", """SELECT CASE n % 4 WHEN 0 THEN lower(replace(n_name, ' ', '_')) WHEN 1 THEN 'e' || n ELSE 'j' || n END AS name, path FROM setting_files JOIN nation ON n = n_nationkey WHERE n % 4 < 3
+UNION ALL SELECT value, NULL FROM constants_kv WHERE seq % 4 <> 0""")
+add("deployed_db_names", "SELECT 'd' || n AS name, path FROM deploy_files WHERE n % 4 = 0 UNION ALL SELECT 'u' || n, path FROM deploy_files WHERE n % 4 = 0 UNION ALL SELECT 'inc' || n, path FROM deploy_files WHERE n % 4 = 1")
+add("primary_db_fill", "SELECT table_name, index_name, CASE WHEN seq % 3 = 0 THEN 'own' ELSE (SELECT lower(replace(n_name, ' ', '_')) FROM nation WHERE n_nationkey = 0) END AS database FROM index_defs")
+add("values_of_catalog", "SELECT c_name AS service, 'svc' || (c_custkey % 40) || '/values.yaml' AS path FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 40 IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0)")
+add("values_discovered", "SELECT split_part(path, '/', 1) AS service, path FROM values_paths WHERE contains(path, 'values')")
+add("connection_keys", "SELECT ['Spring.Data-MongoDB.uri', 'DATABASE_URL', 'db-host', 'MONGO.DATABASE', 'other'][c_custkey % 5 + 1] AS key, ['mongodb', 'postgresql', 'host', 'name', NULL][c_custkey % 5 + 1] AS kind, count(*) AS n FROM customer GROUP BY 1, 2")
+add("name_antijoin", "SELECT table_name, 'n' || (seq % 97) AS index_name, min(seq) AS seq FROM index_defs GROUP BY 1, 2")
+add("catalog_by_namespace", "SELECT service_name FROM service_catalog WHERE namespace = 'EUROPE' AND sub_team = 'sub'")
+add("services_violations", f"WITH {judged({})} SELECT s.service_name, count(*) AS n FROM judged JOIN service_catalog s ON file_id = c_custkey WHERE s.uri_location <> 'Service not found' GROUP BY 1")
+add("status_counts", 'SELECT count(*) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS created, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS "exists", count(*) FILTER (WHERE o_orderkey % 3 = 2) AS error FROM orders')
+add("compare_summary", f"""WITH {KEYED}, c AS (SELECT collection, key, bool_or(seq % 3 < 2) AS s, bool_or(seq % 3 > 0) AS d FROM keyed GROUP BY ALL)
+SELECT count(*) FILTER (WHERE s) AS script_total, count(*) FILTER (WHERE d) AS code_total, count(*) FILTER (WHERE s AND d) AS covered, count(*) FILTER (WHERE NOT d) AS extra_in_script, count(*) FILTER (WHERE NOT s) AS missing_from_script FROM c""")
+add("default_index_skip", "SELECT p_partkey, '_id:1,a:1' AS fields, 'shop' AS database FROM part WHERE p_size % 3 <> 0 AND p_partkey % 4 <> 0")
+add("top_suggestions", f"""WITH {USAGES}, s AS (SELECT collection, field, count(*) AS refs, count(DISTINCT file_id) AS files, string_agg(DISTINCT operation, ', ' ORDER BY operation) AS operations,
+  CASE WHEN count(*) >= 5 OR bool_or(operation = 'sort') THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS priority FROM usages WHERE collection <> 'unknown' GROUP BY collection, field)
+SELECT * FROM s ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, refs DESC, collection, field LIMIT 10""")
+add("line_report", f"WITH {SCAN} SELECT 'by_type' AS section, type AS name, count(*) AS n FROM scan GROUP BY type UNION ALL SELECT 'by_file', CAST(file_id AS VARCHAR), count(*) FROM scan GROUP BY file_id UNION ALL SELECT 'all', 'lines', count(*) FROM scan")
+add("scan_summary", f"""WITH {PRUNED}, s AS (SELECT priority FROM compound UNION ALL SELECT priority FROM pruned), i AS (SELECT 'compound' AS kind FROM java_classes WHERE z % 3 = 0 UNION ALL SELECT 'compound' FROM java_classes WHERE z % 4 = 0 UNION ALL SELECT 'single' FROM java_classes WHERE z % 5 <> 0)
+SELECT 'total' AS section, 'indexes' AS name, count(*) AS n FROM i UNION ALL SELECT 'total', 'suggestions', count(*) FROM s UNION ALL SELECT 'by_type', kind, count(*) FROM i GROUP BY kind UNION ALL SELECT 'by_priority', priority, count(*) FROM s GROUP BY priority""")
+add("json_report", f"""WITH {judged({})} SELECT 'violations' AS section, rule_id AS value, count(*) AS n FROM judged GROUP BY rule_id UNION ALL SELECT 'gate_decision', CAST(count(*) AS VARCHAR), 1 FROM judged
+UNION ALL SELECT 'summary', CAST(count(*) FILTER (WHERE z % 8 < 4) AS VARCHAR), 1 FROM project_files UNION ALL SELECT 'errors', NULL, count(*) FROM orders WHERE o_orderkey % 100 = 3 HAVING count(*) > 0""")
+add("first_errors", "SELECT project, error, nth, greatest(0, all_ - 5) AS more FROM (SELECT o_custkey % 10 AS project, 'e' || o_orderkey AS error, CAST(row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY 'e' || o_orderkey) AS INTEGER) AS nth, count(*) OVER (PARTITION BY o_custkey % 10) AS all_ FROM orders) WHERE nth <= 5")
+add("esr_recommendation", """WITH u AS (SELECT table_name AS collection, 'c' || (seq % 3) AS field, bool_or(seq % 7 = 0) AS s, bool_or(seq % 7 > 0 AND seq % 5 = 0) AS r FROM index_defs GROUP BY 1, 2),
+f AS (SELECT table_name AS collection, index_name, generate_subscripts(l, 1) AS pos, unnest(l) AS field FROM (SELECT *, string_split(cols, ',') AS l FROM index_defs) WHERE len(l) > 1),
+c AS (SELECT f.*, CASE WHEN s THEN 'S' WHEN r THEN 'R' WHEN s IS NULL THEN '?' ELSE 'E' END AS c FROM f LEFT JOIN u USING (collection, field))
+SELECT collection, index_name, CASE WHEN NOT regexp_full_match(replace(string_agg(c, '' ORDER BY pos), '?', ''), 'E*S*R*') THEN 'Reorder to ESR: ' || string_agg(field || '(' || c || ')', ' → ' ORDER BY strpos('ESR?', c), pos) END AS advice FROM c GROUP BY collection, index_name""")
+SCRIPTED = """scripted AS (SELECT CASE WHEN seq % 3 > 0 THEN 'db' || (seq % 3) ELSE 'unknown' END AS database, table_name AS collection, seq, list_filter(string_split(cols, ','), lambda x, i: list_position(string_split(cols, ','), x) = i) AS l,
+  list_filter([CASE WHEN seq % 4 = 0 THEN 'unique' END, CASE WHEN seq % 5 = 0 THEN 'sparse' END], lambda x: x IS NOT NULL) AS o, CASE WHEN seq % 6 = 0 THEN seq % 100 END AS ttl FROM index_defs)"""
+SHELL_LINE = "'db.' || collection || '.createIndex({' || " + listed("""'"' || c || '": ' || CASE c WHEN 'c3' THEN '-1' WHEN 'c2' THEN '"text"' ELSE '1' END""") + """ || '}' || CASE WHEN len(o) > 0 OR ttl IS NOT NULL THEN ', {' || array_to_string(list_concat(list_transform(o, lambda x: '"' || x || '": true'), CASE WHEN ttl IS NULL THEN [] ELSE ['"expireAfterSeconds": ' || ttl] END), ', ') || '}' ELSE '' END || ');'"""
+add("mongo_script", f"""WITH {SCRIPTED}, d AS (SELECT DISTINCT database FROM scripted), g AS (SELECT DISTINCT database, collection FROM scripted)
+SELECT database, collection, 5 AS part, seq, {SHELL_LINE} AS line FROM scripted
+UNION ALL SELECT NULL, NULL, CAST(k AS INTEGER), 0, ['// Auto-generated MongoDB index creation script', '// Generated from source code analysis', ''][k + 1] FROM range(3) t(k)
+UNION ALL SELECT database, NULL, 1, 0, '// Database: ' || database FROM d UNION ALL SELECT database, NULL, 2, 0, 'use ' || database || ';' FROM d UNION ALL SELECT database, NULL, 3, 0, '' FROM d
+UNION ALL SELECT database, collection, 4, 0, '// Collection: ' || collection FROM g UNION ALL SELECT database, collection, 6, 0, '' FROM g""")
+PY_LINE = """'db["' || collection || '"].create_index([' || """ + listed("""'("' || c || '", ' || CASE c WHEN 'c3' THEN 'DESCENDING' WHEN 'c2' THEN 'TEXT' ELSE 'ASCENDING' END || ')'""") + """ || ']' || CASE WHEN len(o) > 0 OR ttl IS NOT NULL THEN ', ' || array_to_string(list_concat(list_transform(o, lambda x: x || '=True'), CASE WHEN ttl IS NULL THEN [] ELSE ['expireAfterSeconds=' || ttl] END), ', ') ELSE '' END || ')'"""
+PY_HEAD = ["#!/usr/bin/env python3", '"""Auto-generated pymongo index creation script."""', "", "from pymongo import MongoClient, ASCENDING, DESCENDING, TEXT", "", 'client = MongoClient("mongodb://localhost:27017")', 'db = client["mydb"]', ""]
+add("pymongo_script", f"""WITH {SCRIPTED}, g AS (SELECT DISTINCT collection FROM scripted)
+SELECT collection, 5 AS part, seq, {PY_LINE} AS line FROM scripted
+UNION ALL SELECT NULL, 0, k, [{', '.join(map(q, PY_HEAD))}][k + 1] FROM range(8) t(k)
+UNION ALL SELECT collection, 4, 0, '# Collection: ' || collection FROM g UNION ALL SELECT collection, 6, 0, '' FROM g""")
+add("shell_keys", "SELECT p_partkey, 'a' || p_partkey || ':1,b:-1,c:text' AS fields FROM part")
+add("pymongo_keys", "SELECT p_partkey, 'a' || p_partkey || ':1,b:-1,c:text,d:hashed' AS fields FROM part")
+add("script_calls", """SELECT file_id, 0 AS ord, 0 AS nth, 't1' AS collection, 'a' || file_id || ':1,c:text' AS fields, 'db.t1.createIndex({a' || file_id || ': 1, c: "text"}' AS raw FROM index_scripts
+UNION ALL SELECT file_id, 1, 0, 't2', 'b:-1,h:hashed', 'db["t2"].create_index([("b", DESCENDING), (''h'', HASHED)]' FROM index_scripts
+UNION ALL SELECT file_id, 2, 0, 't1', 'a' || file_id || ':1,c:text', 't1.createIndex({a' || file_id || ': 1, c: "text"}' FROM index_scripts
+UNION ALL SELECT file_id, 2, 2, 'users', 'y:-1', 'users.createIndex({"y": -1}' FROM index_scripts""")

@@ -6,24 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemasight.functions import sqltext as S
+from schemasight.functions.text import LINE_END
+from schemasight.operators import discovery as D
 from schemasight.operators import indexes as I
 from schemasight.operators import lines as L
+from schemasight.operators import references as N
 from schemasight.operators import rules as R
 from schemasight.operators import suggest as G
 from schemasight.sources import annotations as A
 from schemasight.sources import files as X
+from schemasight.shared import settle
 from schemasight.sources.configuration import Config
 
 
+def usages_of(spark: SparkSession, root: str, constants: DataFrame) -> DataFrame:
+    """Field usages of a project's Java queries; collections are looked for in whole files. Settled, since several operators read them."""
+    code = X.java_sources(spark, root, queries_only=True).withColumn("content", F.regexp_replace("content", LINE_END, "\n"))
+    code = code.select(F.col("path").alias("file_id"), "content")
+    refs = N.named(N.references(code), constants)
+    lines = L.with_offset(X.lines(code, "file_id"))
+    return settle(L.usages_in(N.collection_at(L.operation_of(lines), refs), constants))
+
+
 def scan_indexes(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """indexes (declared, without repeats), suggestions (without those that an index answers) and usages of a project."""
+    """indexes (declared, without repeats), suggestions (without those that an index answers) and usages of a project; indexes and
+    suggestions carry the database that the project names first, null if it names none."""
     constants = L.constants_map(X.constants(X.constant_sources(spark, root)))
+    names = settle(D.database_names(X.files(spark, root), constants))
     declared = A.declared(X.java_sources(spark, root))
     plain = F.array_join(F.transform(F.split("fields", ","), lambda f: F.regexp_replace(f, ":.*$", "")), ",")
     declared = G.first_of_equals(declared)
-    usages = L.field_usages(X.lines(X.java_sources(spark, root, queries_only=True)), constants)
+    usages = usages_of(spark, root, constants)
     found = G.without_indexed(G.suggestions(usages), declared.select("collection", plain.alias("fields")))
-    return {"indexes": declared, "suggestions": found, "usages": usages}
+    return {"indexes": D.with_primary_database(declared, names), "suggestions": D.with_primary_database(found, names), "usages": usages}
 
 
 def schema_of(statements: DataFrame) -> dict[str, DataFrame]:
@@ -41,16 +56,16 @@ def schema_of(statements: DataFrame) -> dict[str, DataFrame]:
     return {"columns": columns, "indexes": indexes, "foreign": foreign}
 
 
-def check(spark: SparkSession, root: str, config: Config | None = None) -> dict[str, DataFrame]:
-    """violations and gate of a project's migrations and code. Scripts are split once, for all rules."""
+def check(spark: SparkSession, root: str | list[str], config: Config | None = None) -> dict[str, DataFrame]:
+    """violations and gate of the migrations and code of a project, or of several at once. Scripts are split once, for all rules."""
     config = config or Config()
     scripts = X.migrations(spark, root)
-    s = X.statements(scripts)
+    s = settle(X.statements(scripts))
     names = [config.rollback_naming_convention.replace("{migration_name}", "{0}")] if config.rollback_naming_convention else R.ROLLBACK_NAMES
     schema = schema_of(s)
     # a table's name is unique within its file only
     own = lambda df: df.withColumn("table_name", F.concat_ws("\u0001", "file_id", "table_name"))
-    columns, ix = own(schema["columns"]), own(schema["indexes"])
+    columns, ix = own(schema["columns"]), D.first_by_name(own(schema["indexes"]), "file_id")
     foreign = own(schema["foreign"])
     first = columns.groupBy(F.lower("table_name").alias("_table")).agg(F.min("line_no").alias("line_no"), F.first("file_id").alias("file_id"))
     by_table = lambda df, rule=None: df.join(first, F.lower(df["table_name"]) == F.col("_table")).select("file_id", first["line_no"], *(["rule_id"] if rule is None else [F.lit(rule).alias("rule_id")]))

@@ -9,14 +9,18 @@ from schemasight.corpus import register
 from schemasight.functions import sqltext as S
 from schemasight.functions import text as T
 from schemasight.operators import compare as C
+from schemasight.operators import discovery as D
 from schemasight.operators import indexes as I
 from schemasight.operators import lines as L
+from schemasight.operators import references as N
+from schemasight.operators import reports as W
 from schemasight.operators import rules as R
 from schemasight.operators import scripts as P
 from schemasight.operators import suggest as G
 from schemasight.operators import teams as M
 from schemasight.oracle import ORACLE  # noqa: F401
-from schemasight.registry import INDEX_LINES, MIGRATION
+from schemasight.registry import INDEX_LINES, MIGRATION, OLDER_FIELDS, OLDER_OPERATIONS, SCRIPT_FIELDS, SCRIPT_OPERATIONS
+from schemasight.sources import annotations as A
 
 QUERIES: dict = {}
 
@@ -25,7 +29,7 @@ def query(f):
     """Register ``f(view)``, where view gives a corpus or table by its name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(register(spark, sf_dir).table)
+        return f(register(spark, sf_dir))
 
     QUERIES[f.__name__] = run
     return f
@@ -538,3 +542,208 @@ def pg_indexdef_parse(view):
 @query
 def script_parse(view):
     return P.parsed_shell(P.mongo_shell(P.specs(view("index_defs"))))
+
+
+# scripts in other languages, the older analysis, whole files
+
+
+@query
+def script_usages(view):
+    return L.older_findings(view("script_lines"), SCRIPT_FIELDS, SCRIPT_OPERATIONS)
+
+
+@query
+def older_findings(view):
+    return L.older_findings(view("java_lines"), OLDER_FIELDS, OLDER_OPERATIONS)
+
+
+@query
+def collection_whole_file(view):
+    lines = L.with_offset(view("java_lines"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    refs = N.named(N.references(view("java_lines").groupBy("file_id").agg(content.alias("content"))), constants(view))
+    return N.collection_at(lines, refs).select("file_id", "line_no", "collection")
+
+
+# classes
+
+
+@query
+def declared_indexes(view):
+    return A.declared(view("java_classes")).drop("seq")
+
+
+@query
+def standalone_compound(view):
+    return A.standalone(view("java_classes"))
+
+
+@query
+def forward_field(view):
+    return A.next_fields(view("java_classes"))
+
+
+# discovery
+
+
+@query
+def discover_by_category(view):
+    return D.categorised(view("project_files")).select("path", "category")
+
+
+@query
+def non_query_filter(view):
+    return D.query_files(view("project_files")).select("path")
+
+
+@query
+def config_db_names(view):
+    named = constants(view).withColumn("name", F.concat(F.lit("DB_NAME_"), "name"))
+    return D.database_names(view("setting_files"), named).select("name", "path")
+
+
+@query
+def deployed_db_names(view):
+    return D.deployed_databases(view("deploy_files")).select("name", "path")
+
+
+@query
+def primary_db_fill(view):
+    found = view("index_defs").select("table_name", "index_name", F.when(F.col("seq") % 3 == 0, "own").alias("database"))
+    return D.with_primary_database(found, D.database_names(view("setting_files")))
+
+
+def service_values(view):
+    path = F.concat(F.lit("svc"), (F.col("c_custkey") % 40).cast("string"), F.lit("/values.yaml"))
+    return view("customer").select(F.col("c_name").alias("service_name"), F.when(F.col("c_custkey") % 7 == 0, "Service Not Found").otherwise(path).alias("uri_location"))
+
+
+@query
+def values_of_catalog(view):
+    return D.values_files(view("values_paths"), service_values(view))
+
+
+@query
+def values_discovered(view):
+    return D.values_files(view("values_paths"))
+
+
+def one_of(number, *names):
+    return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
+
+
+@query
+def connection_keys(view):
+    keys = one_of(F.col("c_custkey"), "Spring.Data-MongoDB.uri", "DATABASE_URL", "db-host", "MONGO.DATABASE", "other")
+    return view("customer").select(keys.alias("key")).withColumn("kind", D.key_kind(F.col("key"))).groupBy("key", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def name_antijoin(view):
+    named = view("index_defs").select("table_name", F.concat(F.lit("n"), (F.col("seq") % 97).cast("string")).alias("index_name"), "seq")
+    return D.first_by_name(named, "table_name")
+
+
+@query
+def catalog_by_namespace(view):
+    return M.selected(view("service_catalog"), namespace=" europe ", sub_team="SUB").select("service_name")
+
+
+@query
+def services_violations(view):
+    v = judged(view).join(view("customer"), F.col("file_id") == F.col("c_custkey")).select("rule_id", F.concat(F.lit("git/"), "c_name").alias("project"))
+    return M.by_service(v, view("service_catalog")).groupBy("service_name").agg(F.count("*").alias("n"))
+
+
+# reports
+
+
+@query
+def status_counts(view):
+    status = one_of(F.col("o_orderkey"), "created", "exists", "error")
+    return W.status_counts(view("orders").select(status.alias("status")), "created", "exists", "error")
+
+
+@query
+def compare_summary(view):
+    script, code = halves(view)
+    return W.comparison_summary(C.compared(script, code))
+
+
+@query
+def default_index_skip(view):
+    fields = F.when(F.col("p_size") % 3 == 0, "_id:1").otherwise("_id:1,a:1")
+    database = F.when(F.col("p_partkey") % 4 == 0, "admin").otherwise("shop")
+    return C.without_default(view("part").select("p_partkey", fields.alias("fields"), database.alias("database")))
+
+
+@query
+def top_suggestions(view):
+    return W.top(G.legacy_suggestions(usages(view)))
+
+
+@query
+def line_report(view):
+    return W.line_report(L.scan_lines(view("java_lines"), INDEX_LINES["java"]))
+
+
+@query
+def scan_summary(view):
+    return W.scan_summary(A.declared(view("java_classes")), G.suggestions(usages(view)))
+
+
+@query
+def json_report(view):
+    """The report's lines, counted by section and by what is read back from the JSON."""
+    v = judged(view)
+    errors = view("orders").where("o_orderkey % 100 = 3").select(F.concat(F.lit("e"), "o_orderkey").alias("error"))
+    out = W.gate_report("p", v, R.gate(v), errors, view("project_files"))
+    value = F.coalesce(*[F.get_json_object("json", f"$.{k}") for k in ("rule_id", "java_files_scanned", "total_violations")])
+    return out.groupBy("section", value.alias("value")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_errors(view):
+    return W.first_errors(view("orders").select((F.col("o_custkey") % 10).alias("project"), F.concat(F.lit("e"), "o_orderkey").alias("error")), 5, "project")
+
+
+@query
+def esr_recommendation(view):
+    found = esr_analysis(view)
+    return found.select("collection", "index_name", C.reordering(F.col("classes"), F.col("better"), F.col("compliant")).alias("advice"))
+
+
+def script_specs(view):
+    s = F.col("seq")
+    direction = lambda c: F.when(c == "c3", "-1").when(c == "c2", "text").otherwise("1")
+    fields = F.transform(F.array_distinct(F.split("cols", ",")), lambda c: F.struct(c.alias("name"), direction(c).alias("dir")))
+    database = F.when(s % 3 > 0, F.concat(F.lit("db"), (s % 3).cast("string")))
+    options = [(s % 4 == 0).alias("unique"), (s % 5 == 0).alias("sparse"), F.when(s % 6 == 0, s % 100).cast("int").alias("ttl")]
+    return view("index_defs").select(database.alias("database"), F.col("table_name").alias("collection"), "seq", fields.alias("fields"), *options)
+
+
+@query
+def mongo_script(view):
+    return P.shell_script(script_specs(view))
+
+
+@query
+def pymongo_script(view):
+    return P.pymongo_script(script_specs(view))
+
+
+@query
+def shell_keys(view):
+    text = F.concat(F.lit("{a"), F.col("p_partkey").cast("string"), F.lit(': 1, "b": -1, c: "text"}'))
+    return view("part").select("p_partkey", P.shell_keys(text).alias("fields"))
+
+
+@query
+def pymongo_keys(view):
+    text = F.concat(F.lit('[("a'), F.col("p_partkey").cast("string"), F.lit("""", ASCENDING), ('b', -1), ("c", TEXT), ("d", HASHED)]"""))
+    return view("part").select("p_partkey", P.pymongo_keys(text).alias("fields"))
+
+
+@query
+def script_calls(view):
+    return P.script_calls(view("index_scripts"))

@@ -12,10 +12,14 @@ from schemasight.functions.text import lower_first
 
 _BODY = r"@CompoundIndex\s*\((?P<body>(?:[^()\"]|\"[^\"]*\"|\([^)]*\))*)\)"
 _PAIR = re.compile(r"""['"](\w+)['"]\s*:\s*(-?\d+)""")
-_FIELD = r"(?:(?:private|protected|public)\s+)?[\w<>,\s]+?\s+(?P<name>\w+)\s*[;=]"
+# Fixed value: how a field is declared.
+_FIELD = r"(?:private|protected|public)?\s*(?:[\w<>,\s]+)\s+(\w+)\s*[;=]"
+#: So many characters behind an annotation its field may stand.
+RANGE = 500
 #: Field annotations: kind, and the direction that its index has.
 KINDS = {"Indexed": ("single", "1"), "TextIndexed": ("text", "text"), "GeoSpatialIndexed": ("geo", "1"), "HashIndexed": ("hashed", "hashed"), "WildcardIndexed": ("wildcard", "1")}
-_SINGLE = re.compile(r"@(?P<kind>" + "|".join(sorted(KINDS, key=len, reverse=True)) + r")\b(?:\s*\((?P<options>[^)]*)\))?(?P<between>(?:\s*@\w+(?:\([^)]*\))?)*)\s*" + _FIELD)
+_SINGLE = re.compile(r"@(?P<kind>" + "|".join(sorted(KINDS, key=len, reverse=True)) + r")\b(?:\s*\((?P<options>[^)]*)\))?")
+_WRAPPER = re.compile(r"@CompoundIndexes\s*\(\s*\{(.*?)\}\s*\)", re.DOTALL)
 
 
 def option(body: str, name: str) -> bool:
@@ -33,13 +37,42 @@ def declared_in(source: str) -> list[tuple]:
         if pairs and all(d in ("1", "-1") for _, d in pairs):
             out.append(("compound", ",".join(f"{n}:{d}" for n, d in pairs), name and name[1], option(body, "unique"), option(body, "sparse"), None))
     for m in _SINGLE.finditer(source):
+        field = re.search(_FIELD, source[m.end() : m.end() + RANGE])
+        if not field:
+            continue
         kind, direction = KINDS[m["kind"]]
         options = m["options"] or ""
         ttl = re.search(r"expireAfterSeconds\s*=\s*(\d+)", options)
-        out.append((kind, f"{m['name']}:{direction}", None, option(options, "unique"), option(options, "sparse"), int(ttl[1]) if ttl else None))
+        out.append((kind, f"{field[1]}:{direction}", None, option(options, "unique"), option(options, "sparse"), int(ttl[1]) if ttl else None))
     return out
 
 
+def compound_places(source: str) -> list[tuple]:
+    """(start, inside) of the compound annotations of a class: inside tells whether a wrapper holds them."""
+    spans = [m.span() for m in _WRAPPER.finditer(source)]
+    return [(m.start(), any(a <= m.start() < b for a, b in spans)) for m in re.finditer(_BODY, source)]
+
+
+def standalone(found: DataFrame) -> DataFrame:
+    """(path, start) of the compound annotations of (path, content) that no @CompoundIndexes holds."""
+
+    @F.pandas_udf("array<struct<start: int, inside: boolean>>")
+    def of(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda s: [{"start": a, "inside": b} for a, b in compound_places(s or "")])
+
+    return found.select("path", F.explode(of(F.col("content"))).alias("p")).where("not p.inside").select("path", "p.start")
+
+
+def next_fields(found: DataFrame) -> DataFrame:
+    """(path, nth, field) of each @Indexed annotation of (path, content): the first field declared within RANGE characters behind it, null if none is.
+    The text behind each annotation is cut out, so there is no join."""
+    after = F.slice(F.split("content", r"@Indexed\b(?:\s*\([^)]*\))?", -1), 2, F.size(F.split("content", r"@Indexed\b", -1)))
+    # what a later annotation takes from the range is put back by length: the range is cut from the whole rest
+    ends = F.transform(after, lambda x, i: F.array_join(F.slice(after, i + 1, F.size(after)), "@Indexed "))
+    rows = found.select("path", F.posexplode(ends).alias("nth", "rest"))
+    return rows.select("path", "nth", F.nullif(F.regexp_extract(F.left("rest", F.lit(RANGE)), _FIELD, 1), F.lit("")).alias("field"))
+
+
 def declared(found: DataFrame) -> DataFrame:
     """(collection, kind, fields, name, unique, sparse, ttl, path, seq) of all annotated classes of (path, content).
 

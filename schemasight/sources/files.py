@@ -2,19 +2,68 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemasight.functions import sqltext as S
 from schemasight.functions import text as T
+from schemasight.registry import SKIP_DIRS
+
+
+def is_hidden(name: str) -> bool:
+    return name.startswith((".", "_"))
+
+
+def hidden_files(spark: SparkSession, root: str, pattern: str = "*") -> list[tuple[str, str, str]]:
+    """(path, name, content) of the files that Spark's readers leave out: those called, or in directories called, with . or _ in front. They are settings
+    and scripts of people's making, a few a project; the file system of the root lists and reads them on the driver. Skipped directories are not entered."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    base, out, todo = fs.makeQualified(top).toString().rstrip("/") + "/", [], [(top, False)]
+    while todo:
+        directory, inside = todo.pop()
+        for status in fs.listStatus(directory):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in SKIP_DIRS:
+                    todo.append((status.getPath(), inside or is_hidden(name)))
+            elif (inside or is_hidden(name)) and fnmatch.fnmatchcase(name, pattern):
+                stream = fs.open(status.getPath())
+                try:
+                    data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                finally:
+                    stream.close()
+                out.append((status.getPath().toString().removeprefix(base), name, data.decode("utf-8", "replace")))
+    return sorted(out)
+
+
+def files(spark: SparkSession, root: str | list[str], pattern: str = "*", strict: bool = False) -> DataFrame:
+    """All files below ``root`` whose name matches ``pattern``: path (relative to root; as it is with several roots), name, content.
+
+    Bytes that are no UTF-8 are replaced, or, with ``strict``, make the content empty (see ``unreadable``).
+    """
+    roots = [root] if isinstance(root, str) else list(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
+    path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^\w+:/*", "/")
+    text = F.col("content").cast("string")
+    content = F.when(F.is_valid_utf8(text), text).otherwise("" if strict else F.make_valid_utf8(text))
+    if isinstance(root, str):
+        base = F.lit(root.rstrip("/").split("://")[-1] + "/")
+        path = F.when(path.startswith(base), F.substr(path, F.char_length(base) + 1)).otherwise(path)
+    out = df.select(path.alias("path"), F.col("_metadata.file_name").alias("name"), content.alias("content"))
+    more = [(f if isinstance(root, str) else f"{r.rstrip('/').split('://')[-1]}/{f}", n, c) for r in roots for f, n, c in hidden_files(spark, r, pattern)]
+    return out.unionByName(spark.createDataFrame(more, "path string, name string, content string")) if more else out
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """All files below ``root`` whose name matches ``pattern``: path (relative to root), name, content. Names that start with . or _ are left out by Spark."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^\w+:/*", "/")
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
-    return df.select(F.when(path.startswith(base), F.substr(path, F.char_length(base) + 1)).otherwise(path).alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+def unreadable(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, error) of the files below ``root`` that are no UTF-8."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return df.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.concat("path", F.lit(": not valid UTF-8")).alias("error"))
 
 
 def java_sources(spark: SparkSession, root: str, queries_only: bool = False) -> DataFrame:
@@ -27,9 +76,9 @@ def constant_sources(spark: SparkSession, root: str) -> DataFrame:
     return files(spark, root, "*.java").where(~T.in_skipped_dir(F.col("path"), tests=False) & F.col("name").rlike(r"(?:Constants|Config)\.java$"))
 
 
-def migrations(spark: SparkSession, root: str) -> DataFrame:
+def migrations(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """SQL files by path, none left out: (dir, path, name, content)."""
-    return files(spark, root, "*.sql").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")).orderBy("path")
+    return files(spark, root, "*.sql").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
 
 
 def by_category(found: DataFrame) -> DataFrame:
@@ -43,6 +92,12 @@ def projects(found: DataFrame) -> DataFrame:
     return found.where(F.size(parts) > 1).withColumn("project", parts[0]).where(~T.in_skipped_dir(F.col("path"), tests=False))
 
 
+def script_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Python, JavaScript and TypeScript files outside skipped directories."""
+    found = files(spark, root).where(T.category(F.col("path")).isin("python", "javascript"))
+    return found.where(~T.in_skipped_dir(F.col("path"), tests=False))
+
+
 def lines(found: DataFrame, id_col: str = "path") -> DataFrame:
     """(file_id, line_no, text) of all files."""
     return found.select(F.col(id_col).alias("file_id"), F.posexplode(T.split_lines(F.col("content"))).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line_no"), "text")

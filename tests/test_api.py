@@ -1,5 +1,7 @@
 """The calls of a user, on a small project."""
 
+import json
+
 import pytest
 
 from schemasight import api, cli
@@ -41,6 +43,33 @@ def test_families_and_team(spark, project, tmp_path):  # noqa: F811
     assert api.check_team(spark, str(catalog), "b") == {}
 
 
+def test_scripts_and_older_analysis(spark, project, tmp_path):  # noqa: F811
+    (tmp_path / "tool.py").write_text('db = client["x"]\ncoll = db["carts"]\ncoll.find_one({"name": 1, "$or": 2})\n')
+    found = {(r.field, r.collection, r.operation) for r in api.script_usages(spark, project).collect()}
+    assert ("name", "carts", "find") in found and any(f == "status" for f, _, _ in found)
+    assert api.older_suggestions(spark, project, 2).count() == 2
+    (tmp_path / "application.yml").write_text("mongodb.database: shop\n")
+    assert [r.name for r in api.databases(spark, project).collect()] == ["shop"]
+    assert [r.name for r in api.databases(spark, project, deployed=True).collect()] == ["shop"]
+    assert {r.database for r in api.indexes(spark, project).collect()} == {"shop"}
+    text = [r.line for r in api.script(spark, project).collect()]
+    assert text[:3] == ["// Auto-generated MongoDB index creation script", "// Generated from source code analysis", ""]
+    assert text[3:6] == ["// Database: shop", "use shop;", ""]
+    assert 'db.users.createIndex({"email": 1}, {"unique": true, "expireAfterSeconds": 3600});' in text
+    assert 'db.users.createIndex({"words": "text"});' in text
+    python = [r.line for r in api.script(spark, project, "pymongo").collect()]
+    assert "from pymongo import MongoClient, ASCENDING, DESCENDING, TEXT" in python
+
+
+def test_report(spark, project, tmp_path):  # noqa: F811
+    (tmp_path / "app" / "bad.java").write_bytes(b"\xff")
+    api.check_report(spark, project, str(tmp_path / "report"))
+    rows = spark.read.text(str(tmp_path / "report"))
+    parts = {r.section: json.loads(r.value) for r in rows.collect()}
+    assert set(parts) == {"gate_decision", "summary", "violations", "errors"}
+    assert parts["gate_decision"]["passed"] is False and parts["summary"]["migration_files_scanned"] == 3
+
+
 def test_command_line(spark, project, capsys):  # noqa: F811
     assert cli.main(["check", project]) == 1
     assert cli.main(["export", project]) == 0

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from schemasight import sinks
 from schemasight.functions import sqltext as S
 from schemasight.functions import text as T
+from schemasight.operators import discovery, references
+from schemasight.operators import lines as lines_of
 from schemasight.operators import rules as R
 from schemasight.plans import scan
 from schemasight.sources import annotations, configuration, files
@@ -117,15 +119,53 @@ def test_catalog_and_settings(spark, tmp_path):
     (tmp_path / "svc" / "values.yaml").write_text("spring:\n  url: jdbc:postgresql://h/db1\n")
     got = configuration.settings(files.files(spark, str(tmp_path), "*.yaml")).collect()
     assert ("svc", "url", "jdbc:postgresql://h/db1") in {(r.service, r.key, r.value) for r in got}
-    (tmp_path / "app.properties").write_text("mongodb.database=shopDb\nspring.data.mongodb.uri=mongodb://h/orders?x\nmongodb.database=test\n")
-    assert {r.name for r in configuration.database_names(files.files(spark, str(tmp_path), "*.properties")).collect()} == {"shopDb", "orders"}
+
+
+def test_databases_of_settings_environments_code_and_constants(spark, tmp_path):
+    (tmp_path / "application.properties").write_text("#mongodb.database=no\nmongodb.database=shopDb\nspring.data.mongodb.uri=mongodb://h/orders?x\nmongodb.database=test\nmongodb.database=${X}\n")
+    (tmp_path / "other.properties").write_text("mongodb.database=nowhere\n")
+    (tmp_path / ".env").write_text("APP_MONGO_DB='carts'\n")
+    (tmp_path / "A.java").write_text('x.getDatabase("stock");')
+    constants = spark.createDataFrame([("C.DB_NAME", "late"), ("DB_NAME_TABLE", "never")], "name string, value string")
+    got = discovery.database_names(files.files(spark, str(tmp_path)), constants).orderBy("seq").collect()
+    assert [r.name for r in got] == ["carts", "stock", "shopDb", "orders", "late"]
+    filled = discovery.with_primary_database(spark.createDataFrame([("a", None), ("b", "own")], "x string, database string"), discovery.database_names(files.files(spark, str(tmp_path))))
+    assert {(r.x, r.database) for r in filled.collect()} == {("a", "carts"), ("b", "own")}
+
+
+def test_hidden_and_unreadable_files(spark, tmp_path):
+    for name, data in {"_x.sql": b"SELECT 1", ".git/y.sql": b"no", ".mvn/z.sql": b"SELECT 2", "a.sql": b"SELECT 3", "bad.sql": b"\xff\xfe"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.path: r.content for r in files.files(spark, str(tmp_path), "*.sql", strict=True).collect()}
+    assert got == {"_x.sql": "SELECT 1", ".mvn/z.sql": "SELECT 2", "a.sql": "SELECT 3", "bad.sql": ""}
+    assert [r.error.endswith("bad.sql: not valid UTF-8") for r in files.unreadable(spark, str(tmp_path)).collect()] == [True]
+
+
+def test_collections_over_several_lines(spark):
+    text = 'x();\nmongoTemplate.find(\n  query,\n  User.class );\na();\ntemplate.drop("test"); template.findAll("carts");\nb();'
+    code = spark.createDataFrame([("f", text)], "file_id string, content string")
+    none = spark.createDataFrame([], "name string, value string")
+    lines = lines_of.with_offset(files.lines(code, "file_id"))
+    got = references.collection_at(lines, references.named(references.references(code), none)).orderBy("line_no").collect()
+    assert [r.collection for r in got] == ["unknown", "user", "user", "user", "user", "user", "carts"]
+
+
+def test_fields_behind_annotations(spark):
+    text = "@Indexed\n@NotNull\nprivate String a;\n@Indexed(unique = true) // " + "x" * 600 + "\nprivate String b;\n@Indexed int c;"
+    df = spark.createDataFrame([("p", text)], "path string, content string")
+    assert [r.field for r in annotations.next_fields(df).orderBy("nth").collect()] == ["a", None, "c"]
 
 
 def test_config_file(tmp_path):
     path = tmp_path / "rules.yaml"
     assert configuration.load_config(str(path)) == configuration.Config()
-    path.write_text("disabled_rules: [IDX002]\nthresholds: {max_offset: 5}\n")
-    assert configuration.load_config(str(path)) == configuration.Config(disabled_rules=["IDX002"], max_offset=5)
+    path.write_text("disabled_rules: [IDX002]\nrollback_directory: undo\nthresholds: {offset_limit: 5, composite_pk_max_columns: 2}\naurora_connection: {host: h}\n")
+    assert configuration.load_config(str(path)) == configuration.Config(disabled_rules=["IDX002"], rollback_directory="undo", max_offset=5, max_pk_columns=2)
+    for wrong in ("thresholds: {offset_limit: -1}", "thresholds: {composite_pk_max_columns: 0}", "thresholds: 5", "severity_overrides: [a]", "severity_overrides: {A: Huge}", "disabled_rules: x", "database_type: oracle", "thresholds: {offset: 1}", "aurora_connection: {port: 1}", "aurora_connection: {host: h, ssl_mode: none}", "- a"):
+        path.write_text(wrong)
+        with pytest.raises(ValueError):
+            configuration.load_config(str(path))
 
 
 def test_empty_gate_passes(spark):
