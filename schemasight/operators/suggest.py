@@ -22,12 +22,15 @@ def priority_rank(priority: Column) -> Column:
 def single_fields(usages: DataFrame, scope: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """One suggestion for each (file, collection, field): priority by use, references, distinct operations, the first three places."""
     place = F.struct("line_no", "ord", "nth", F.concat_ws(":", F.col("file_id").cast("string"), F.col("line_no").cast("string")).alias("at"))
-    out = usable(usages).groupBy(*scope, "collection", "field").agg(
+    # ranked in the partitions that the groups need anyway, so a group collects three places however often it is used
+    order = Window.partitionBy(*scope, "collection", "field").orderBy("line_no", "ord", "nth", "file_id")
+    ranked = usable(usages).withColumn("_rank", F.row_number().over(order))
+    out = ranked.groupBy(*scope, "collection", "field").agg(
         F.count("*").alias("refs"), F.max((F.col("usage") == "sort").cast("int")).alias("_sort"), F.max((F.col("usage") == "range").cast("int")).alias("_range"),
-        F.array_join(F.array_sort(F.collect_set("operation")), ", ").alias("operations"), F.array_sort(F.collect_list(place)).alias("_places"), F.min(place).alias("_first"),
+        F.array_join(F.array_sort(F.collect_set("operation")), ", ").alias("operations"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= 3, place))).alias("_places"), F.min(place).alias("_first"),
     )
     priority = F.when((F.col("refs") >= 5) | (F.col("_sort") == 1), "high").when((F.col("refs") >= 2) | (F.col("_range") == 1), "medium").otherwise("low")
-    samples = F.array_join(F.transform(F.slice("_places", 1, 3), lambda p: p["at"]), ", ")
+    samples = F.array_join(F.transform("_places", lambda p: p["at"]), ", ")
     return out.select(*scope, "collection", F.col("field").alias("fields"), priority.alias("priority"), "refs", "operations", samples.alias("samples"), F.lit("single").alias("kind"), F.col("_first.line_no").alias("first_line"))
 
 
