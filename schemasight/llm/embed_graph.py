@@ -167,7 +167,7 @@ FOUND = "node long, n long, root long, hits array<long>, far array<long>"
 
 def linked(shard: pd.DataFrame, least: float, asked: np.ndarray) -> pd.DataFrame:
     """What one shard of (cluster, p, q, node, part, parts, clusters, copies, vector, others) knows of its members: the rows behind the links
-    that are counted here (n), the least member reached (root), for audited vectors the links (hits), and where the
+    that are counted here (n), the least member reached (root), for audited vectors the links so counted (hits), and where the
     search would go on outside (far).
 
     Two members may meet in several shards. Their link is counted in the least cluster that both are in; there, members of
@@ -186,18 +186,21 @@ def linked(shard: pd.DataFrame, least: float, asked: np.ndarray) -> pd.DataFrame
     counts, copies = np.zeros(len(nodes), "int64"), shard["copies"].to_numpy()
     at_home = ((part == p) & ((p + 1) % parts == q)) | ((part == q) & ((q + 1) % parts == p)) if parts > 2 else np.ones(len(nodes), bool)
     earlier = np.where(homes < here, homes, -1)  # clusters before this one, that would count the link
+    audited, none = np.isin(nodes, asked), np.zeros(0, "int64")
+    listed = [none] * len(nodes)
     for k in np.flatnonzero(hits.any(1)):
         mine = np.flatnonzero(hits[k])
         first = earlier[k][earlier[k] >= 0]
         before = np.isin(homes[mine], first).any(1) if len(first) else np.zeros(len(mine), bool)
-        counts[k] = copies[mine[~before & ((part[mine] != part[k]) | at_home[k])]].sum()
-    audited = np.isin(nodes, asked)
-    none = np.zeros(0, "int64")
+        mine = mine[~before & ((part[mine] != part[k]) | at_home[k])]
+        counts[k] = copies[mine].sum()
+        if audited[k]:
+            listed[k] = nodes[mine]
     far = [none] * len(nodes)
     for k in np.flatnonzero(hits.any(1)):
         outside = np.unique(np.concatenate([united[k], united[best[k]]]))
         far[k] = outside[[o not in place for o in outside.tolist()]]
-    return pd.DataFrame({"node": nodes, "n": counts, "root": root, "hits": [nodes[hits[k]] if audited[k] else none for k in range(len(nodes))], "far": far})
+    return pd.DataFrame({"node": nodes, "n": counts, "root": root, "hits": listed, "far": far})
 
 
 def cosine(a, b) -> np.ndarray:

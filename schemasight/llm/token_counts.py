@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the usual byte-level vocabularies split a text before merging (fixed value).
@@ -77,7 +77,7 @@ def count_tokens(df: DataFrame, text_col: str, widths_col: str, rule: str = "fir
     start; what they leave over is one more section, and what goes beyond the text is empty. A token
     that lies in several sections counts by ``rule``: for the one with its ``first`` or ``last`` byte, for the
     one with ``most`` of its bytes (the earlier of equals), or for all, ``split`` by bytes; so the numbers
-    always add up to n_tokens. A null text has no tokens and no sections, null widths are 0 and a null list is empty.
+    always add up to n_tokens. A null text has no tokens and no sections, null and negative widths are 0 and a null list is empty; equal rows get equal counts.
     The vocabulary's path must hold on all machines. Columns of these names are replaced.
     """
     if rule not in RULES:
@@ -93,7 +93,7 @@ def count_tokens(df: DataFrame, text_col: str, widths_col: str, rule: str = "fir
             data = text.encode()
             ends = token_ends(text, vocabulary, pattern)
             starts = character_starts(data)
-            places = np.cumsum(np.nan_to_num(np.asarray([] if widths is None else widths, "float64")).astype("int64"))
+            places = np.cumsum(np.maximum(0, np.nan_to_num(np.asarray([] if widths is None else widths, "float64"))).astype("int64"))
             bounds = np.concatenate([[0], starts[np.clip(places, 0, len(starts) - 1)]])
             if bounds[-1] < len(data) or len(bounds) == 1:
                 bounds = np.append(bounds, len(data))
@@ -101,8 +101,10 @@ def count_tokens(df: DataFrame, text_col: str, widths_col: str, rule: str = "fir
             rows.append((len(ends), crossing, counts))
         return pd.DataFrame(rows, columns=["n_tokens", "n_crossing", "section_tokens"])
 
-    df = df.drop("n_tokens", "n_crossing", "section_tokens")
-    return df.withColumn("_counts", of(F.col(text_col), F.col(widths_col))).select(*df.columns, "_counts.*")
+    text_batches(df.sparkSession)
+    names = [c for c in df.columns if c not in ("n_tokens", "n_crossing", "section_tokens")]
+    own = fresh(df.columns)
+    return df.withColumn(own, of(F.col(text_col), F.col(widths_col))).select(*names, f"{own}.*")
 
 
 def sentence_widths(text: Column) -> Column:

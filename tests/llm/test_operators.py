@@ -156,6 +156,30 @@ def test_token_counts_tile_the_text(spark, sf):
     assert sum(r.n_crossing for r in rows) > 0
 
 
+def test_section_tokens_against_brute_force(spark, sf):
+    """The query's numbers by section: each token read back as bytes, its first byte looked up among the sentences' bytes."""
+    rows = {r.doc_id: r for r in K.op4_token_counts(spark, sf).collect()}
+    coder, _ = K.encoding(K.VOCABULARY, K.PATTERN)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        got, text = rows[r.doc_id], r.text
+        if text is None:
+            assert (got.n_tokens, got.n_sections, list(got.section_tokens)) == (0, 0, [])
+            continue
+        owner, section = [], 0
+        for k, c in enumerate(text):
+            owner += [section] * len(c.encode())
+            section += c == "\n" or c == " " and k > 0 and text[k - 1] in ".!?"
+        want, crossing, at = [0] * (owner[-1] + 1 if owner else 1), 0, 0
+        for token in coder.encode_ordinary(text):
+            n = len(coder.decode_single_token_bytes(token))
+            want[owner[at]] += 1
+            crossing += owner[at] != owner[at + n - 1]
+            at += n
+        have = list(got.section_tokens)
+        assert have[: len(want)] == want and not any(have[len(want) :])
+        assert (got.n_tokens, got.n_crossing, got.most_tokens) == (sum(want), crossing, max(want))
+
+
 @pytest.mark.parametrize("rule", K.RULES)
 def test_attribution_against_bytes(rule):
     rng = np.random.default_rng(4)
@@ -181,6 +205,8 @@ def test_token_edges(spark):
     df = spark.createDataFrame([(None, None), ("", None), ("", [3]), ("héllo wörld", [2, None, 100]), ("abc", []), ("x" * 50_000, [1])], "text string, w array<int>").withColumn("n_tokens", F.lit("x"))
     got = K.count_tokens(df, "text", "w", "last").collect()
     assert [len(r.section_tokens) for r in got] == [0, 1, 1, 3, 1, 2]
+    negative = spark.createDataFrame([("abc def", [2, -5, 3])], "text string, w array<int>")
+    assert [len(r.section_tokens) for r in K.count_tokens(negative, "text", "w").collect()] == [4]
     assert all(sum(r.section_tokens) == r.n_tokens for r in got)
     with pytest.raises(ValueError):
         K.count_tokens(df, "text", "w", "none")
