@@ -31,7 +31,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LIFT = 1e4
 #: Words up to this length are taken side by side, longer ones one by one. Below 128, and batches of words below 8192: see how matches packs them.
 LONG = 64
-#: Numbers that a worker keeps of words already scored.
+#: Numbers that a worker keeps of words already scored, in each of two generations: when the younger is full, it takes the place of the older,
+#: and words found in the older come back to the younger. So frequent words stay, however many rare ones pass by.
 KEPT = 1 << 19
 
 
@@ -171,23 +172,37 @@ class Model:
 _scored: dict = {"mark": None}
 
 
+def looked_up(words: list[str], model: Model) -> tuple[dict[str, int], np.ndarray]:
+    """(rows, table): where each of some different words stands in a table of log-probabilities (row, language)."""
+    known, width = pieces(model.vocabulary), len(model.languages)
+    if _scored["mark"] != model.mark:
+        _scored.update(mark=model.mark, young=({}, np.zeros((0, width))), old=({}, np.zeros((0, width))), lifted=lift(model.probabilities, known))
+    rows, table = _scored["young"]
+    new = [w for w in words if w not in rows]
+    if rows and (len(rows) + len(new)) * width > KEPT:
+        _scored["old"] = rows, table
+        rows, table, new = {}, table[:0], words
+    if new:
+        before, vectors = _scored["old"]
+        again = [w for w in new if w in before]
+        fresh_ = [w for w in new if w not in before]
+        rows.update(zip(again + fresh_, range(len(rows), len(rows) + len(new)), strict=True))
+        table = np.concatenate([table, vectors[[before[w] for w in again]], log_probabilities(fresh_, known, _scored["lifted"])])
+    _scored["young"] = rows, table
+    return rows, table
+
+
 def score_texts(texts, model: Model) -> list[tuple[str | None, float, float]]:
     """(language, log of the text's probability in it, log of the sum over all languages of the model) of each text; no language for
     null and without a letter."""
-    known = pieces(model.vocabulary)
-    if _scored["mark"] != model.mark or len(_scored["rows"]) * len(model.languages) > KEPT:
-        _scored.update(mark=model.mark, rows={}, table=np.zeros((0, len(model.languages))), lifted=lift(model.probabilities, known))
-    rows, split = _scored["rows"], [words_of(t) if t else [] for t in texts]
-    new = list({w for ws in split for w in ws if w not in rows})
-    if new:
-        rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-        _scored["table"] = np.concatenate([_scored["table"], log_probabilities(new, known, _scored["lifted"])])
+    split = [words_of(t) if t else [] for t in texts]
+    rows, table = looked_up(list({w for ws in split for w in ws}), model)
     out = []
     for text, ws in zip(texts, split, strict=True):
         if not ws or not any(map(str.isalpha, text)):
             out.append((None, 0.0, 0.0))
             continue
-        logs = _scored["table"][np.fromiter(map(rows.__getitem__, ws), "int64", len(ws))].sum(0)
+        logs = table[np.fromiter(map(rows.__getitem__, ws), "int64", len(ws))].sum(0)
         best = int(logs.argmax())
         out.append((model.languages[best], float(logs[best]), float(logs[best] + np.log(np.exp(logs - logs[best]).sum()))))
     return out
