@@ -39,7 +39,7 @@ from .common import discard, settle, table, text_batches
 ORDER = 2
 RELIABLE, HALF = 5, 0.5
 #: Tokens in a row of the encoded corpus, and n-grams aimed at in a bucket.
-CHUNK, BUCKET = 1 << 19, 1 << 20
+CHUNK, BUCKET = 1 << 18, 1 << 20
 #: Buckets of single words, as a share of those of n-grams: there are so many fewer.
 FEWER = 8
 END, START = 2, 3
