@@ -3,8 +3,12 @@ running totals without one task per group, and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +28,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def hand_back() -> None:
+    """Give freed memory of this Python worker back to the machine: large arrays leave holes that the allocators keep otherwise, and the
+    other workers and the JVM of the executor share its limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh(taken: list[str], name: str = "_own") -> str:
     """A column name that is not taken, for columns of our own beside those of a user's table."""
     used = {c.lower() for c in taken}

@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, table, text_batches
+from .common import discard, hand_back, settle, table, text_batches
 
 ORDER = 2
 RELIABLE, HALF = 5, 0.5
 #: Tokens in a row of the encoded corpus, and n-grams aimed at in a bucket.
-CHUNK, BUCKET = 1 << 18, 1 << 20
+CHUNK, BUCKET = 1 << 19, 1 << 20
 #: Buckets of single words, as a share of those of n-grams: there are so many fewer.
 FEWER = 8
 END, START = 2, 3
@@ -141,6 +141,7 @@ def encoded(batches, size: int):
             if full:
                 yield done()
                 chunk, made = Chunk(), made + 1
+                hand_back()
     if chunk.ends:
         yield done()
 
@@ -179,7 +180,7 @@ def opened(row, order: int) -> Tokens:
             gram = mixed(context, word)
         found, which = np.unique(gram, return_inverse=True)
         keys.append(found)
-        at.append(which)
+        at.append(which.astype("int32"))
     return Tokens(ends, first, np.repeat(np.asarray(row["train"], bool), sizes), keys, at)
 
 
@@ -205,6 +206,8 @@ def requests(chunks, order: int, buckets: int):
                 for b, i, j in cut(keys, few(buckets, n)):
                     rows.append((n, b, row["chunk"], packed(gaps(keys[i:j]), times[i:j])))
             yield pd.DataFrame(rows, columns=["order", "bucket", "chunk", "data"])
+            del t, rows
+            hand_back()
 
 
 def few(buckets: int, order: int) -> int:
@@ -340,11 +343,19 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     buckets = size["n"] // bucket + 1
     body = chunks.select("chunk", "train", "ends", "words", "tokens")
     sent = body.mapInPandas(lambda b: requests(b, order, buckets), "order int, bucket int, chunk long, data binary")
-    counted = settle(sent.groupBy("order", "bucket").applyInPandas(count_bucket, "order int, bucket int, chunk long, data binary, stat array<long>"))
+
+    def totals(rows: pd.DataFrame) -> pd.DataFrame:
+        out = count_bucket(rows)
+        hand_back()
+        return out
+
+    counted = settle(sent.groupBy("order", "bucket").applyInPandas(totals, "order int, bucket int, chunk long, data binary, stat array<long>"))
     k = constants_of(counted, size["texts"], order)
 
     def answered(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return evaluate(rows.iloc[0], answers, k, order, buckets)
+        out = evaluate(rows.iloc[0], answers, k, order, buckets)
+        hand_back()
+        return out
 
     found = settle(body.groupBy("chunk").cogroup(counted.select("order", "bucket", "chunk", "data").groupBy("chunk")).applyInPandas(answered, EVALUATED))
     docs = found.where("kind = 'doc'").select("chunk", F.arrays_zip("n_tokens", "n_known", "base", "part").alias("d"))
