@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .align import op12_alignment
+from .chat import OP13_SQL, op13_chat_trees
 from .decontaminate import OP10_SQL, op10_decontamination
 from .embed_graph import op8_embedding_graph
 from .katz import op5_katz
@@ -10,6 +12,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .sharding import OP1_SQL, op1_sharding
 from .simhash import op2_simhash
+from .spelling import OP11_SQL, op11_spelling
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op4_token_counts
 
@@ -24,10 +27,15 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
+    "op13_chat_trees": op13_chat_trees,
 }
 ORACLE = {
     "op1_sharding": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_spelling": OP11_SQL,
+    "op13_chat_trees": OP13_SQL,
 }

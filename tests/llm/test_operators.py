@@ -22,7 +22,7 @@ from schemasight.llm.queries import ORACLE, QUERIES
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     return con
 
@@ -31,7 +31,7 @@ def duck(sf):
 def test_oracle(spark, sf, duck, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLE[name]).df()
     columns = sorted(got.columns)
-    order = lambda d: d[columns].sort_values("doc_id").reset_index(drop=True)
+    order = lambda d: d[columns].sort_values(next(c for c in ("doc_id", "conv_id", "word") if c in columns)).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, rtol=1e-12)
 
 
