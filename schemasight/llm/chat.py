@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +58,25 @@ def place_in_group(df: DataFrame, group: list[str], order: list[Column], ranges:
     return rows.join(starts, on).select(*df.columns, (F.col(start) + F.col(f"{row}.row")).cast("long").alias(name))
 
 
-def _ancestors(up: DataFrame) -> list[DataFrame]:
-    """Tables (uid, up, score, chars, depth): the ancestor 1, 2, 4, ... steps up (null where there is none) and the sums over the rows from
-    uid to the one below it; the last table has no ancestors left, so its sums go up to the root."""
-    levels = [settle(up)]
-    rows = levels[0].count()
-    while not levels[-1].where("up is not null").isEmpty():
-        if 1 << (len(levels) - 1) > rows:
+def _ancestors(up: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, sums) of ``up`` (uid, up, score, chars, depth: the reply above, null at a root, and what the reply itself adds).
+
+    levels[k] has the ancestor 2 ** k steps up of each reply that has one; sums has the score, chars and depth of the path
+    from the root to each reply. A round reads all rows and joins those alone whose path is still open.
+    """
+    names = ["score", "chars", "depth"]
+    now, done, levels = settle(up), [], []
+    rows = now.count()
+    while not now.where("up is not null").isEmpty():
+        if 1 << len(levels) > rows:
             raise ValueError("replies form a cycle")
-        now = levels[-1]
-        above = now.select(F.col("uid").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("chars").alias("_chars"), F.col("depth").alias("_depth"))
-        added = [(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in ("score", "chars", "depth")]
-        levels.append(settle(salted_lookup(now, above, "up").select("uid", F.col("_up").alias("up"), *added)))
-    return levels
+        done.append(now.where("up is null"))
+        levels.append(now.where("up is not null"))
+        known = reduce(DataFrame.unionByName, done).unionByName(levels[-1])
+        above = known.select(F.col("uid").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in names])
+        added = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in names]
+        now = settle(salted_lookup(levels[-1], above, "up", "inner").select("uid", F.col("_up").alias("up"), *added))
+    return levels, settle(reduce(DataFrame.unionByName, [*done, now]).drop("up"))
 
 
 def _joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -114,8 +122,9 @@ def format_branches(
     heads = ids.where("node is not null").groupBy("tree", "node").agg(F.min("order").uid.alias("up"))
     heads = heads.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "up")
     placed = ids.join(heads, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_node")) & ~F.col("node").eqNullSafe(F.col("parent")), "left")
-    levels = _ancestors(placed.select("uid", "up", "score", "chars", F.lit(1).cast("long").alias("depth")))
-    leaves = levels[-1].join(levels[0].where("up is not null").select(F.col("up").alias("uid")).distinct(), "uid", "left_anti").join(ids.select("uid", "tree", "node"), "uid")
+    levels, sums = _ancestors(placed.select("uid", "up", "score", "chars", F.lit(1).cast("long").alias("depth")))
+    answered = [level.select(F.col("up").alias("uid")).distinct() for level in levels[:1]]
+    leaves = reduce(lambda all_, some: all_.join(some, "uid", "left_anti"), answered, sums).join(ids.select("uid", "tree", "node"), "uid")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), "score", F.col("depth").alias("n_turns"), F.col("uid").alias("path"))
     best = [F.desc("score"), F.asc("leaf"), F.asc("path")]
     leaves = place_in_group(leaves, ["tree"], best, best, "branch").withColumn("branch", F.col("branch") + 1)
@@ -123,12 +132,12 @@ def format_branches(
         leaves = leaves.where(F.col("branch") <= branches)
     leaves = settle(leaves)
     paths = leaves.select("path", F.col("path").alias("uid"))
-    for level in reversed(levels[:-1]):
+    for level in reversed(levels):
         paths = settle(paths)
-        further = salted_lookup(paths, level.select("uid", "up"), "uid").where("up is not null").select("path", F.col("up").alias("uid"))
+        further = salted_lookup(paths, level.select("uid", "up"), "uid", "inner").select("path", F.col("up").alias("uid"))
         paths = paths.unionByName(further)
     said = nodes.select("uid", "learns", "said", F.char_length("head").alias("before"), F.char_length("text").alias("width"))
-    said = said.join(levels[-1].select("uid", "depth", F.col("chars").alias("end")), "uid")
+    said = said.join(sums.select("uid", "depth", F.col("chars").alias("end")), "uid")
     turns = salted_lookup(settle(paths), said, "uid")
     turn, start = F.col("depth") - 1, F.col("end") - F.char_length("said") + F.col("before")
     span = F.array(F.struct(turn.alias("turn"), start.alias("start"), (start + F.col("width")).alias("end")))

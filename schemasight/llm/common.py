@@ -83,8 +83,9 @@ def running_before(df: DataFrame, group: str, order: list[str], weight, name: st
     return df.join(sums, keys).select(*names, (F.col(start) + F.col(within)).alias(name))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, copies: int = 32, most: int = 1000) -> DataFrame:
-    """``left`` with what ``right``, which has a row a key at most, says of its ``key`` (nulls where it says nothing).
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", copies: int = 32, most: int = 1000) -> DataFrame:
+    """``left`` with what ``right``, which has a row a key at most, says of its ``key``. Where it says nothing, there are nulls,
+    or no row if ``how`` is inner.
 
     Keys that more than one in ``most`` rows of ``left`` bear (so at most ``most`` of them; no others pass through the driver) are dealt to ``copies``
     tasks, and their rows of ``right`` copied as often; all others are joined as they are. ``left`` is read three times: settle it before.
@@ -93,12 +94,12 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, copies: int = 32,
     total = left.count()
     heavy = [r[0] for r in counts.where(F.col("n") > max(total // most, 10_000)).select(key).collect()]
     if not heavy:
-        return left.join(right, key, "left")
+        return left.join(right, key, how)
     salt = fresh([*left.columns, *right.columns], "_salt")
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     dealt = left.where(hot).withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(copies)).cast("int"))
     copied = right.where(hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return left.where(~hot).join(right, key, "left").unionByName(dealt.join(copied, [key, salt], "left").drop(salt))
+    return left.where(~hot).join(right, key, how).unionByName(dealt.join(copied, [key, salt], how).drop(salt))
 
 
 def _forest(batches):
