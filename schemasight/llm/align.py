@@ -62,7 +62,7 @@ def byte_level_ids(coder, text: str) -> list[int]:
     while start < len(text):
         cut = _EDGE.search(text, start + STRETCH)
         end = cut.start() + 1 if cut else len(text)
-        ids += coder.encode(text[start:end], add_special_tokens=False).ids
+        ids += coder.encode_batch_fast([text[start:end]], add_special_tokens=False)[0].ids
         start = end
     return ids
 
@@ -93,15 +93,17 @@ class Aligner:
             return none, none, 0, none, none, ""
         a, b = (np.asarray(own, "int64") for own in ids)
         a_ends, b_ends = (np.cumsum(w[own]) for w, own in zip(self.widths, (a, b), strict=True))
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        cuts = np.union1d(a_ends, b_ends)
+        ends = np.concatenate([a_ends, b_ends])
+        ends.sort(kind="stable")
+        again = ends[1:] == ends[:-1]
+        common, cuts = ends[1:][again], ends[np.append(~again, True)]
         # Each stretch between two cuts lies in one token of each side, and each pair that overlaps shares one stretch.
         link_a, link_b = a[np.searchsorted(a_ends, cuts)], b[np.searchsorted(b_ends, cuts)]
         a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         a_until, b_until = (np.cumsum(np.bincount(g, minlength=len(common))) for g in (a_group, b_group))
         order = np.empty(len(a) + len(b), "int64")
-        order[np.arange(len(a)) + np.concatenate([[0], b_until])[a_group]] = a * 4 + np.where(np.isin(a_ends, common, assume_unique=True), 2, 1)
-        order[np.arange(len(b)) + a_until[b_group]] = b * 4 + np.where(np.isin(b_ends, common, assume_unique=True), 3, 1)
+        order[np.arange(len(a)) + np.concatenate([[0], b_until])[a_group]] = a * 4 + 1 + (np.diff(a_group, append=-1) != 0)
+        order[np.arange(len(b)) + a_until[b_group]] = b * 4 + 1 + 2 * (np.diff(b_group, append=-1) != 0)
         order[-1] -= 3
         shown = "".join(map(self.shown.__getitem__, order.tolist()))
         return a, b, len(common), link_a, link_b, hashlib.sha256(shown.encode()).hexdigest()
