@@ -109,6 +109,12 @@ SELECT 'p' || CAST(p_partkey AS STRING) || '.java' AS path, p_partkey AS n, p_si
   || 'public class C {' || chr(10) || '  @Indexed(unique = true, expireAfterSeconds = 60)' || chr(10)
   || CASE p_size % 5 WHEN 0 THEN '  // ' || repeat('x', 600) || chr(10) WHEN 1 THEN '  @NotNull' || chr(10) ELSE '' END
   || '  private String f' || CAST(p_size AS STRING) || ';' || chr(10) || '}' AS content FROM part""",
+    "annotated_classes": """
+SELECT 'q' || CAST(p_partkey AS STRING) || '.java' AS path, p_partkey AS n, p_size AS z, '@Document(collection = "k' || CAST(p_partkey % 5 AS STRING) || '")' || chr(10)
+  || '@CompoundIndexes({' || chr(10) || '  @CompoundIndex(name = "by(f", def = "{''F' || CAST(p_partkey % 40 AS STRING) || ''': 1, ''plain'': -1}", sparse = true), // :)' || chr(10)
+  || '  @CompoundIndex(def = "{''bad'': ' || CASE p_size % 3 WHEN 0 THEN '2' ELSE '-1' END || '}") })' || chr(10) || 'class Q {' || chr(10)
+  || CASE p_size % 4 WHEN 0 THEN '  @TextIndexed(weight = 2) ' WHEN 1 THEN '  @GeoSpatialIndexed(type = GeoSpatialIndexType.GEO_2DSPHERE) ' WHEN 2 THEN '  @HashIndexed' || repeat(' ', 400) ELSE '  @WildcardIndexed' || chr(10) END
+  || ' Map<String, Object> F' || CAST(p_size AS STRING) || ' = null;' || chr(10) || CASE p_size % 5 WHEN 0 THEN '  @Indexed(unique = true' ELSE '' END || chr(10) || '}' AS content FROM part""",
     "setting_files": """
 SELECT 's' || CAST(n_nationkey AS STRING) || '/' || CASE n_nationkey % 4 WHEN 0 THEN 'application.properties' WHEN 1 THEN '.env' WHEN 2 THEN 'A.java' ELSE 'other.properties' END AS path, CASE n_nationkey % 4
   WHEN 0 THEN '# mongodb.database=no' || chr(10) || 'spring.data.mongodb.database=' || lower(replace(n_name, ' ', '_'))

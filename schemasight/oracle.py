@@ -273,6 +273,12 @@ add("declared_indexes", """WITH d AS (SELECT *, 'c' || (n % 7) AS collection FRO
 SELECT collection, 'compound' AS kind, 'a:1,b:-1' AS fields, 'ab' AS name, true AS "unique", false AS sparse, CAST(NULL AS INTEGER) AS ttl, path FROM d WHERE z % 3 = 0
 UNION ALL SELECT collection, 'compound', 's:1', NULL, false, false, NULL, path FROM d WHERE z % 4 = 0
 UNION ALL SELECT collection, 'single', 'f' || z || ':1', NULL, true, false, 60, path FROM d WHERE z % 5 <> 0""")
+add("special_indexes", """SELECT 'k' || (n % 5) AS collection, ['text', 'geo', 'hashed', 'wildcard'][z % 4 + 1] AS kind, 'F' || z || ':' || ['text', '1', 'hashed', '1'][z % 4 + 1] AS fields, CAST(NULL AS VARCHAR) AS name,
+  false AS "unique", false AS sparse, CAST(NULL AS INTEGER) AS ttl, path FROM annotated_classes""")
+add("resolved_compounds", f"""WITH {KNOWN} SELECT path, 'k' || (n % 5) AS collection, coalesce(k.value, 'F' || (n % 40)) || ':1,plain:-1' AS fields, 'by(f' AS name, true AS sparse FROM annotated_classes LEFT JOIN known k ON k.name = 'F' || (n % 40)
+UNION ALL SELECT path, 'k' || (n % 5), 'bad:-1', NULL, false FROM annotated_classes WHERE z % 3 > 0""")
+add("annotation_errors", """SELECT path, path || ':4: @CompoundIndex: direction 2 of field bad' AS error FROM annotated_classes WHERE z % 3 = 0
+UNION ALL SELECT path, path || ':' || CASE WHEN z % 4 = 3 THEN 8 ELSE 7 END || ': @Indexed: its brackets do not close' FROM annotated_classes WHERE z % 5 = 0""")
 add("standalone_compound", """SELECT path, CAST(strpos(content, '@CompoundIndex(def = "{''s') - 1 AS INTEGER) AS start FROM java_classes WHERE z % 4 = 0""")
 add("forward_field", "SELECT path, 0 AS nth, CASE WHEN z % 5 <> 0 THEN 'f' || z END AS field FROM java_classes")
 add("discover_by_category", "SELECT path, CASE WHEN z % 8 < 4 THEN 'java' WHEN z % 8 = 4 THEN 'python' WHEN z % 8 = 5 THEN 'javascript' ELSE 'config' END AS category FROM project_files WHERE z % 8 < 6 OR z % 8 = 7 AND n % 2 = 0")

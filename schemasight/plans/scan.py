@@ -29,16 +29,17 @@ def usages_of(spark: SparkSession, root: str, constants: DataFrame) -> DataFrame
 
 
 def scan_indexes(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """indexes (declared, without repeats), suggestions (without those that an index answers) and usages of a project; indexes and
-    suggestions carry the database that the project names first, null if it names none."""
+    """indexes (declared, without repeats), suggestions (without those that an index answers), usages and errors (annotations and files that
+    can't be read) of a project; indexes and suggestions carry the database that the project names first, null if it names none."""
     constants = L.constants_map(X.constants(X.constant_sources(spark, root)))
     names = settle(D.database_names(X.files(spark, root), constants))
-    declared = A.declared(X.java_sources(spark, root))
+    sources = X.java_sources(spark, root)
+    declared = settle(A.with_constants(A.declared(sources), constants))
     plain = F.array_join(F.transform(F.split("fields", ","), lambda f: F.regexp_replace(f, ":.*$", "")), ",")
     declared = G.first_of_equals(declared)
     usages = usages_of(spark, root, constants)
     found = G.without_indexed(G.suggestions(usages), declared.select("collection", plain.alias("fields")))
-    return {"indexes": D.with_primary_database(declared, names), "suggestions": D.with_primary_database(found, names), "usages": usages}
+    return {"indexes": D.with_primary_database(declared, names), "suggestions": D.with_primary_database(found, names), "usages": usages, "errors": A.misdeclared(sources).unionByName(X.unreadable(spark, root, "*.java"))}
 
 
 def schema_of(statements: DataFrame) -> dict[str, DataFrame]:

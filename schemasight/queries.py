@@ -573,6 +573,24 @@ def declared_indexes(view):
     return A.declared(view("java_classes")).drop("seq")
 
 
+@query
+def special_indexes(view):
+    """Indexes of the four special kinds."""
+    return A.declared(view("annotated_classes")).where("kind <> 'compound'").drop("seq")
+
+
+@query
+def resolved_compounds(view):
+    """Compounds with the values of constants for their names."""
+    found = A.with_constants(A.declared(view("annotated_classes")), L.constants_map(view("constants_kv")))
+    return found.where("kind = 'compound'").select("path", "collection", "fields", "name", "sparse")
+
+
+@query
+def annotation_errors(view):
+    return A.misdeclared(view("annotated_classes"))
+
+
 @query
 def standalone_compound(view):
     return A.standalone(view("java_classes"))

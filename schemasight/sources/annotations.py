@@ -1,8 +1,9 @@
-"""Index declarations in annotated Java classes."""
+"""Index declarations in annotated Java classes, read in one pass over the text."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,84 +11,185 @@ from pyspark.sql import functions as F
 
 from schemasight.functions.text import lower_first
 
-_BODY = r"@CompoundIndex\s*\((?P<body>(?:[^()\"]|\"[^\"]*\"|\([^)]*\))*)\)"
-_PAIR = re.compile(r"""['"](\w+)['"]\s*:\s*(-?\d+)""")
-# Fixed value: how a field is declared.
-_FIELD = r"(?:private|protected|public)?\s*(?:[\w<>,\s]+)\s+(\w+)\s*[;=]"
 #: So many characters behind an annotation its field may stand.
 RANGE = 500
 #: Field annotations: kind, and the direction that its index has.
 KINDS = {"Indexed": ("single", "1"), "TextIndexed": ("text", "text"), "GeoSpatialIndexed": ("geo", "1"), "HashIndexed": ("hashed", "hashed"), "WildcardIndexed": ("wildcard", "1")}
-_SINGLE = re.compile(r"@(?P<kind>" + "|".join(sorted(KINDS, key=len, reverse=True)) + r")\b(?:\s*\((?P<options>[^)]*)\))?")
-_WRAPPER = re.compile(r"@CompoundIndexes\s*\(\s*\{(.*?)\}\s*\)", re.DOTALL)
-
-
-def option(body: str, name: str) -> bool:
-    return re.search(rf"\b{name}\s*=\s*true", body, re.IGNORECASE) is not None
-
-
-def declared_in(source: str) -> list[tuple]:
-    """(kind, fields as name:direction, name, unique, sparse, ttl) of a class: compound indexes first, then those of its fields."""
-    out = []
-    for m in re.finditer(_BODY, source):
-        body = m["body"]
-        spec = re.search(r"""def\s*=\s*(["'])(.*?)\1""", body)
-        pairs = _PAIR.findall(spec[2]) if spec else []
-        name = re.search(r"""name\s*=\s*["']([^"']+)""", body)
-        if pairs and all(d in ("1", "-1") for _, d in pairs):
-            out.append(("compound", ",".join(f"{n}:{d}" for n, d in pairs), name and name[1], option(body, "unique"), option(body, "sparse"), None))
-    for m in _SINGLE.finditer(source):
-        field = re.search(_FIELD, source[m.end() : m.end() + RANGE])
-        if not field:
+COMPOUND, WRAPPER = "CompoundIndex", "CompoundIndexes"
+# What the reader stops at: text blocks, strings and characters of one line, comments, annotations, brackets. No two alternatives can start alike and go on
+# for long, and quantifiers give nothing back, so every character is looked at a bounded number of times.
+_TOKEN = re.compile(r'"""(?s:.*?)"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.){1,6}+\'|//[^\n]*+|/\*(?s:.*?)\*/|@\w++|[()]')
+_OPENS = re.compile(r"\s*+\(")
+_OPTION = re.compile(r"""\b(\w++)\s*+=\s*+("(?:[^"\\\n]|\\.)*+"|'[^'\n]*+'|\w*+)""")
+_QUOTED = re.compile(r"""\s*+(["'])(\w++)\1\s*+""")
+_NUMBER = re.compile(r"\s*+(-?+\d++)")
+_RUN = re.compile(r"([\w<>,\s]*+)(.|$)", re.DOTALL)
+
+
+@dataclass
+class Annotation:
+    """An annotation: where it starts and ends, whether a wrapper holds it, and the text between its brackets (None: they don't close)."""
+
+    name: str
+    start: int
+    end: int
+    inside: bool = False
+    body: str | None = ""
+    options: dict[str, str] = field(default_factory=dict)
+
+    def switched_on(self, option: str) -> bool:
+        return self.options.get(option, "").lower() == "true"
+
+
+def annotations_in(source: str) -> list[Annotation]:
+    """The annotations of a text by their start. Brackets in strings and comments don't count; annotations in comments do, each comment by itself."""
+    out: list[Annotation] = []
+    todo = [(source, 0)]
+    while todo:
+        text, offset = todo.pop()
+        stack: list[Annotation | None] = []
+        wrappers, opening = 0, None
+        for m in _TOKEN.finditer(text):
+            token = m[0]
+            if token[0] == "@":
+                opening = Annotation(token[1:], offset + m.start(), offset + m.end(), wrappers > 0)
+                out.append(opening)
+                if _OPENS.match(text, m.end()):
+                    continue
+            elif token == "(":
+                stack.append(opening)
+                if opening:
+                    opening.body = None
+                    wrappers += opening.name == WRAPPER
+            elif token == ")" and stack:
+                closed = stack.pop()
+                if closed:
+                    closed.end, wrappers = offset + m.end(), wrappers - (closed.name == WRAPPER)
+                    inner = source[closed.start + len(closed.name) + 1 : closed.end - 1]
+                    closed.body = inner[inner.index("(") + 1 :]
+            elif token[0] == "/":
+                todo.append((token[2:], offset + m.start() + 2))
+            opening = None
+    for a in out:
+        if a.name != WRAPPER and a.body:
+            a.options = {name: value[1:-1] if value[:1] in ("'", '"') else value for name, value in reversed(_OPTION.findall(a.body))}
+    return sorted(out, key=lambda a: a.start)
+
+
+def field_behind(source: str, end: int) -> str | None:
+    """The first field declared within RANGE characters behind ``end``: the last word of a run of types and names that a semicolon or an equals sign ends."""
+    for run, stop in _RUN.findall(source[end : end + RANGE]):
+        if stop not in (";", "="):
             continue
-        kind, direction = KINDS[m["kind"]]
-        options = m["options"] or ""
-        ttl = re.search(r"expireAfterSeconds\s*=\s*(\d+)", options)
-        out.append((kind, f"{field[1]}:{direction}", None, option(options, "unique"), option(options, "sparse"), int(ttl[1]) if ttl else None))
+        run = run.rstrip()
+        k = len(run)
+        while k and (run[k - 1].isalnum() or run[k - 1] == "_"):
+            k -= 1
+        if 2 <= k < len(run) and run[k - 1].isspace():
+            return run[k:]
+    return None
+
+
+def defined_fields(definition: str) -> dict[str, int]:
+    """Names and directions of a compound's definition: quoted names with whole numbers."""
+    out = {}
+    for entry in definition.strip().strip("{}").split(","):
+        name, _, value = entry.partition(":")
+        name, value = _QUOTED.fullmatch(name), _NUMBER.match(value)
+        if name and value:
+            out[name[2]] = int(value[1])
     return out
 
 
-def compound_places(source: str) -> list[tuple]:
-    """(start, inside) of the compound annotations of a class: inside tells whether a wrapper holds them."""
-    spans = [m.span() for m in _WRAPPER.finditer(source)]
-    return [(m.start(), any(a <= m.start() < b for a, b in spans)) for m in re.finditer(_BODY, source)]
+def declared_in(source: str) -> list[tuple]:
+    """(kind, fields as name:direction, name, unique, sparse, ttl, line, error) of a class: compound indexes first, then those of its fields."""
+    compounds, singles = [], []
+    at, line = 0, 1
+    for a in annotations_in(source):
+        if a.name != COMPOUND and a.name not in KINDS:
+            continue
+        line += source.count("\n", at, a.start)
+        at = a.start
+        if a.body is None:
+            singles.append((None, None, None, False, False, None, line, f"@{a.name}: its brackets do not close"))
+            continue
+        flags = a.switched_on("unique"), a.switched_on("sparse")
+        if a.name == COMPOUND:
+            fields = defined_fields(a.options.get("def", ""))
+            wrong = [f"direction {d} of field {n}" for n, d in fields.items() if d not in (1, -1)]
+            shown = ",".join(f"{n}:{d}" for n, d in fields.items())
+            if fields:
+                compounds.append(("compound", shown, a.options.get("name") or None, *flags, None, line, f"@{a.name}: {', '.join(wrong)}" if wrong else None))
+        elif name := field_behind(source, a.end):
+            kind, direction = KINDS[a.name]
+            ttl = a.options.get("expireAfterSeconds", "")
+            singles.append((kind, f"{name}:{direction}", None, *flags, int(ttl) if ttl.isdecimal() else None, line, None))
+    return compounds + singles
 
 
 def standalone(found: DataFrame) -> DataFrame:
     """(path, start) of the compound annotations of (path, content) that no @CompoundIndexes holds."""
 
-    @F.pandas_udf("array<struct<start: int, inside: boolean>>")
+    @F.pandas_udf("array<int>")
     def of(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: [{"start": a, "inside": b} for a, b in compound_places(s or "")])
+        return sources.map(lambda s: [a.start for a in annotations_in(s or "") if a.name == COMPOUND and not a.inside])
 
-    return found.select("path", F.explode(of(F.col("content"))).alias("p")).where("not p.inside").select("path", "p.start")
+    return found.select("path", F.explode(of(F.col("content"))).alias("start"))
 
 
 def next_fields(found: DataFrame) -> DataFrame:
-    """(path, nth, field) of each @Indexed annotation of (path, content): the first field declared within RANGE characters behind it, null if none is.
-    The text behind each annotation is cut out, so there is no join."""
-    after = F.slice(F.split("content", r"@Indexed\b(?:\s*\([^)]*\))?", -1), 2, F.size(F.split("content", r"@Indexed\b", -1)))
-    # what a later annotation takes from the range is put back by length: the range is cut from the whole rest
-    ends = F.transform(after, lambda x, i: F.array_join(F.slice(after, i + 1, F.size(after)), "@Indexed "))
-    rows = found.select("path", F.posexplode(ends).alias("nth", "rest"))
-    return rows.select("path", "nth", F.nullif(F.regexp_extract(F.left("rest", F.lit(RANGE)), _FIELD, 1), F.lit("")).alias("field"))
+    """(path, nth, field) of each @Indexed annotation of (path, content): the first field declared within RANGE characters behind it, null if none is."""
 
+    @F.pandas_udf("array<string>")
+    def of(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda s: [field_behind(s, a.end) for a in annotations_in(s or "") if a.name == "Indexed"])
 
-def declared(found: DataFrame) -> DataFrame:
-    """(collection, kind, fields, name, unique, sparse, ttl, path, seq) of all annotated classes of (path, content).
+    return found.select("path", F.posexplode(of(F.col("content"))).alias("nth", "field"))
 
-    A class without @Document declares nothing. The nested brackets of annotations need a Python function.
-    """
-    kind = "array<struct<kind: string, fields: string, name: string, unique: boolean, sparse: boolean, ttl: int>>"
+
+def _all_declared(found: DataFrame) -> DataFrame:
+    """What ``declared_in`` says of every class of (path, content) that is a document, errors too."""
+    kind = "array<struct<kind: string, fields: string, name: string, unique: boolean, sparse: boolean, ttl: int, line: int, error: string>>"
 
     @F.pandas_udf(kind)
     def of(sources: pd.Series) -> pd.Series:
-        names = ("kind", "fields", "name", "unique", "sparse", "ttl")
+        names = ("kind", "fields", "name", "unique", "sparse", "ttl", "line", "error")
         return sources.map(lambda s: [dict(zip(names, x, strict=True)) for x in declared_in(s or "")])
 
     given = F.regexp_extract("content", r"""@Document\s*\(\s*(?:(?:collection|value)\s*=\s*)?["']([^"']+)["']\s*\)""", 1)
-    bare = F.regexp_extract("content", r"(?s)@Document\b.*?\bclass\s+(\w+)", 1)
+    behind = F.substr("content", F.nullif(F.regexp_instr("content", F.lit(r"@Document\b")), F.lit(0)))
+    bare = F.regexp_extract(behind, r"\bclass\s+(\w+)", 1)
     collection = F.coalesce(F.nullif(given, F.lit("")), F.nullif(lower_first(bare), F.lit("")))
     rows = found.withColumn("collection", collection).where("collection is not null")
-    rows = rows.select("path", "collection", F.posexplode(of(F.col("content"))).alias("pos", "d"))
-    return rows.select("collection", "d.*", "path", F.struct("path", "pos").alias("seq"))
+    return rows.select("path", "collection", F.posexplode(of(F.col("content"))).alias("pos", "d")).select("collection", "d.*", "path", F.struct("path", "pos").alias("seq"))
+
+
+def declared(found: DataFrame) -> DataFrame:
+    """(collection, kind, fields, name, unique, sparse, ttl, path, seq) of all annotated classes of (path, content).
+
+    A class without @Document declares nothing. Annotations that can't be read are left out here and listed by ``misdeclared``; the
+    others of their class stay.
+    """
+    return _all_declared(found).where("error is null").drop("line", "error")
+
+
+def misdeclared(found: DataFrame) -> DataFrame:
+    """(path, error) of the annotations of (path, content) that can't be read: directions other than 1 and -1, brackets that don't close."""
+    return _all_declared(found).where("error is not null").select("path", F.format_string("%s:%d: %s", "path", "line", "error").alias("error"))
+
+
+def with_constants(indexes: DataFrame, constants: DataFrame) -> DataFrame:
+    """``indexes`` (as ``declared`` gives them) with the values of ``constants`` (name, value) for fields that bear a constant's name.
+
+    Names that come twice in an index by that stand where the first stood, with the direction of the last.
+    """
+    parts = indexes.select("seq", F.posexplode(F.split("fields", ",")).alias("pos", "part"))
+    named = parts.select("seq", "pos", F.regexp_extract("part", "^([^:]*)", 1).alias("name"), F.regexp_extract("part", ":(.*)$", 1).alias("direction"))
+    hits = named.join(constants.select("name", "value"), "name")
+    touched = hits.select("seq").distinct()
+    fields = named.join(touched, "seq", "left_semi").join(hits.select("seq", "pos", "value"), ["seq", "pos"], "left")
+    fields = fields.select("seq", "pos", F.coalesce("value", "name").alias("name"), "direction")
+    once = fields.groupBy("seq", "name").agg(F.min("pos").alias("pos"), F.max_by("direction", "pos").alias("direction"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "name", "direction").alias("part")))), lambda x: x["part"])
+    new = once.groupBy("seq").agg(F.array_join(shown, ",").alias("_fields"))
+    return indexes.join(new, "seq", "left").withColumn("fields", F.coalesce("_fields", "fields")).select(indexes.columns)
