@@ -18,7 +18,9 @@ def hits(df: DataFrame, rules: list[tuple[str, Column]], *keep: str) -> DataFram
 
 
 def typed(statements: DataFrame) -> DataFrame:
-    """Add type and target to (file_id, stmt_no, line_no, raw_sql); statements of no known type are dropped."""
+    """Add type and target to (file_id, stmt_no, line_no, raw_sql); statements of no known type are dropped. What has a type already stays as it is."""
+    if "type" in statements.columns:
+        return statements
     # an explode instead of a filter: the type is computed once and not again in each predicate that is pushed down
     kind = F.explode(F.array_compact(F.array(S.statement_type(F.col("raw_sql")))))
     return statements.select("*", kind.alias("type")).withColumn("target", S.target(F.col("raw_sql")))
@@ -91,24 +93,65 @@ def on_cycles(steps: DataFrame) -> DataFrame:
     return steps
 
 
-def foreign_key_cycles(edges: DataFrame) -> DataFrame:
-    """Cycles of (file_id, src, dst): (file_id, tables), tables the sorted names of a simple cycle of any length.
+def reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(file_id, way, node) of all tables that the ones in ``starts`` lead to over (file_id, way, src, dst), themselves included."""
+    seen = front = settle(starts)
+    while True:
+        ahead = front.join(steps, (front.file_id == steps.file_id) & (front.way == steps.way) & (front.node == steps.src))
+        ahead = ahead.select(front.file_id, front.way, F.col("dst").alias("node")).distinct()
+        front = settle(ahead.join(seen, ["file_id", "way", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
 
-    Edges on no cycle are dropped first. Paths grow by a join a step and start at their least name, so each cycle
-    is found from one start only; a simple path ends at the latest when it holds all tables of its file, so the steps end by
-    themselves. Each step is settled in the shared folder.
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(file_id, component, src, dst): the edges whose tables lead to each other, with their component's least table.
+
+    Edges that lead nowhere or come from nowhere are taken away first. Then all parts of all files go on at once: from a part's least table the tables are
+    marked that it leads to and those that lead to it; what bears both marks is a component, and what bears the same marks
+    otherwise is a part of the next round.
     """
-    steps = on_cycles(edges.select("file_id", "src", "dst").distinct())
-    paths = steps.where("dst >= src").select("file_id", F.array("src").alias("path"), F.col("dst").alias("at"))
+    steps = on_cycles(edges.select("file_id", "src", "dst").distinct()).withColumn("part", F.lit(""))
     out = None
     while True:
-        closed = paths.where(F.col("at") == F.col("path")[0]).select("file_id", F.array_join(F.array_sort("path"), ",").alias("tables"))
-        out = closed if out is None else out.unionByName(closed)
-        open_ = paths.where(~F.array_contains("path", F.col("at")))
-        longer = open_.join(steps, (open_.file_id == steps.file_id) & (open_["at"] == steps.src)).where(F.col("dst") >= F.col("path")[0])
-        paths = settle(longer.select(open_.file_id, F.concat("path", F.array("at")).alias("path"), F.col("dst").alias("at")))
-        if paths.isEmpty():
-            return out.distinct()
+        nodes = steps.select("file_id", "part", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        pivots = nodes.groupBy("file_id", "part").agg(F.min("node").alias("pivot"))
+        ways = steps.select("file_id", F.explode(F.array(F.struct(F.lit(True).alias("way"), "src", "dst"), F.struct(F.lit(False).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("s"))
+        marks = reached(pivots.select("file_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("way"), F.col("pivot").alias("node")), settle(ways.select("file_id", "s.*")))
+        marks = marks.groupBy("file_id", "node").agg(F.max(F.col("way")).alias("ahead"), F.min(F.col("way")).alias("no_back"))
+        placed = nodes.join(pivots, ["file_id", "part"]).join(marks, ["file_id", "node"], "left")
+        one = F.coalesce(F.col("ahead") & ~F.col("no_back"), F.lit(False))
+        name = F.concat_ws("\u0001", "part", "pivot", F.coalesce(F.col("ahead").cast("string"), F.lit("none")))
+        placed = placed.select("file_id", "node", one.alias("one"), F.when(one, F.col("pivot")).otherwise(name).alias("group"))
+        ends = [placed.select("file_id", F.col("node").alias(end), F.struct("one", "group").alias(f"{end}_in")) for end in ("src", "dst")]
+        whole = settle(steps.select("file_id", "src", "dst").join(ends[0], ["file_id", "src"]).join(ends[1], ["file_id", "dst"]).where("src_in = dst_in"))
+        found = whole.where("src_in.one").select("file_id", F.col("src_in.group").alias("component"), "src", "dst")
+        out = found if out is None else out.unionByName(found)
+        steps = whole.where("not src_in.one").select("file_id", "src", "dst", F.col("src_in.group").alias("part"))
+        if steps.isEmpty():
+            return out
+
+
+def foreign_key_cycles(edges: DataFrame) -> DataFrame:
+    """Cycles of (file_id, src, dst): (file_id, tables), tables the sorted names of a shortest cycle through an edge, each set once.
+
+    Every edge on a cycle is in one that is reported; a schema's simple cycles can be exponentially many, its edges are not. Within each strongly
+    connected component the shortest ways from every table spread a step a round (of equally short ones the one with the least
+    names goes on), so a component of n tables and e edges makes n * e steps at most. Each round is settled in the shared folder.
+    """
+    steps = settle(strongly_connected(edges))
+    front = settle(steps.select("file_id", "component", F.col("dst").alias("source")).distinct().withColumn("at", F.col("source")).withColumn("path", F.array("source")))
+    seen = front
+    while True:
+        ways = front.withColumnRenamed("at", "src").join(steps, ["file_id", "component", "src"])
+        ways = ways.groupBy("file_id", "component", "source", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        front = settle(ways.join(seen.select("file_id", "source", "at"), ["file_id", "source", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    closed = steps.select("file_id", F.col("dst").alias("source"), F.col("src").alias("at")).join(seen, ["file_id", "source", "at"])
+    return closed.select("file_id", F.array_join(F.array_sort("path"), ",").alias("tables")).distinct()
 
 
 def query_rules(statements: DataFrame, farthest: int = 10_000) -> DataFrame:

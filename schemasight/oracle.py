@@ -138,7 +138,8 @@ add("join_columns", "SELECT file_id, stmt_no, CASE WHEN contains(raw_sql, ' ON t
 add("orderby_columns", "WITH " + CLAUSES + r" SELECT file_id, stmt_no, array_to_string(list_filter(list_transform(string_split(regexp_replace(o, ' DESC', '', 'g'), ','), lambda p: regexp_replace(trim(p), '^.*\.', '')), lambda t: regexp_full_match(t, '\w+')), ',') AS names FROM clauses")
 add("query_flags", f"WITH {DML} SELECT file_id, stmt_no, contains(up, 'WHERE') AS has_where, contains(up, 'LIMIT') AS has_limit, coalesce(TRY_CAST({part('up', 'OFFSET ([0-9]+)')} AS BIGINT), -1) AS \"offset\" FROM dml")
 add("data_type_class", "SELECT data_type, count(*) AS n FROM ddl_columns GROUP BY data_type")
-add("stmt_split", f"SELECT file_id, stmt_no, {BARE} AS raw_sql FROM sql_statements")
+add("stmt_split", f"""SELECT file_id, stmt_no, {BARE} AS raw_sql,
+  CAST(1 + CASE WHEN raw_sql LIKE '--%' THEN 1 ELSE 0 END + coalesce(sum(2 + length(raw_sql) - length(replace(raw_sql, chr(10), ''))) OVER (PARTITION BY file_id ORDER BY stmt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line_no FROM sql_statements""")
 add("create_table_parse", "SELECT table_name, ord, name, data_type, nullable, has_default FROM ddl_columns")
 
 MIG = f"""{TYPED}, mig AS (SELECT file_id, line_no, target, unnest(list_filter([
@@ -158,13 +159,19 @@ add("schema_columns", f"""SELECT table_name, ord, name, unnest(list_filter([CASE
 add("schema_keys", "SELECT * FROM (SELECT table_name, count(*) FILTER (WHERE is_pk) AS n_pk, CASE WHEN count(*) FILTER (WHERE is_pk) = 0 THEN 'schema.no_primary_key' WHEN count(*) FILTER (WHERE is_pk) > 3 THEN 'schema.composite_pk_too_wide' END AS rule_id FROM ddl_columns GROUP BY table_name) WHERE rule_id IS NOT NULL")
 add("schema_missing_fk", "SELECT DISTINCT table_name, name, name[:-4] AS target FROM ddl_columns WHERE NOT is_pk AND name LIKE '%\\_id' ESCAPE '\\' AND name[:-4] <> table_name AND name[:-4] IN (SELECT table_name FROM ddl_columns)")
 ORACLE["schema_fk_cycles"] = duckdb_sql(
-    "SELECT DISTINCT file_id, array_to_string(list_sort(path), ',') AS tables FROM paths /* fk_edges */ WHERE node = path[1]",
+    """SELECT DISTINCT file_id, array_to_string(list_sort(path), ',') AS tables FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id, path[1], path[-1] ORDER BY len(path), path) AS nth FROM paths /* fk_edges */ WHERE node = path[1]) WHERE nth = 1""",
     "steps AS (SELECT DISTINCT file_id, src, dst FROM fk_edges)",
     "paths AS (SELECT file_id, [src] AS path, dst AS node FROM steps UNION ALL SELECT p.file_id, list_append(p.path, p.node), s.dst FROM paths p JOIN steps s ON p.file_id = s.file_id AND p.node = s.src WHERE NOT list_contains(p.path, p.node))",
 )
 add("idx_fk_uncovered", "SELECT DISTINCT src AS table_name, cols AS fk_cols FROM fk_edges f WHERE NOT EXISTS (SELECT 1 FROM index_defs i WHERE i.table_name = f.src AND (i.cols = f.cols OR starts_with(i.cols, f.cols || ',')))")
 add("idx_duplicates", "SELECT table_name, index_name, first_name FROM (SELECT table_name, index_name, first_value(index_name) OVER w AS first_name, row_number() OVER w AS nth FROM index_defs WINDOW w AS (PARTITION BY table_name, cols ORDER BY seq)) WHERE nth > 1")
-add("idx_prefix", "SELECT DISTINCT a.table_name, a.index_name, b.index_name AS longer FROM index_defs a JOIN index_defs b ON a.table_name = b.table_name AND starts_with(b.cols, a.cols || ',')")
+add("idx_prefix", """WITH c AS (SELECT table_name, cols, count(DISTINCT index_name) AS members, arg_min(index_name, seq) AS index_name FROM index_defs GROUP BY 1, 2),
+p AS (SELECT a.table_name, a.cols AS short, b.cols AS long, a.index_name, b.members FROM c a JOIN c b ON a.table_name = b.table_name AND starts_with(b.cols, a.cols || ','))
+SELECT c.table_name, c.cols, c.index_name, c.members, (SELECT arg_max(p.index_name, length(short)) FROM p WHERE p.table_name = c.table_name AND long = c.cols) AS parent,
+  coalesce(longer, 0) AS longer, CAST(coalesce(c.members * behind, 0) AS BIGINT) AS links
+FROM c LEFT JOIN (SELECT table_name, short, count(*) AS longer, sum(members) AS behind FROM p GROUP BY 1, 2) u ON u.table_name = c.table_name AND u.short = c.cols""")
+add("idx_prefix_pairs", "SELECT DISTINCT a.table_name, a.index_name, b.index_name AS longer FROM index_defs a JOIN index_defs b ON a.table_name = b.table_name AND starts_with(b.cols, a.cols || ',')")
 add("idx_wide", "SELECT table_name, index_name, len(string_split(cols, ',')) AS n_cols FROM index_defs WHERE len(string_split(cols, ',')) > 5")
 RANGE = has("c", "(?i)" + "|".join(RANGE_WORDS))
 add("idx_column_order", f"""SELECT table_name, index_name, array_to_string(l, ',') AS cols, array_to_string(list_concat(list_filter(l, lambda c: NOT {RANGE}), list_filter(l, lambda c: {RANGE})), ',') AS better
@@ -304,7 +311,7 @@ add("line_report", f"WITH {SCAN} SELECT 'by_type' AS section, type AS name, coun
 add("scan_summary", f"""WITH {PRUNED}, s AS (SELECT priority FROM compound UNION ALL SELECT priority FROM pruned), i AS (SELECT 'compound' AS kind FROM java_classes WHERE z % 3 = 0 UNION ALL SELECT 'compound' FROM java_classes WHERE z % 4 = 0 UNION ALL SELECT 'single' FROM java_classes WHERE z % 5 <> 0)
 SELECT 'total' AS section, 'indexes' AS name, count(*) AS n FROM i UNION ALL SELECT 'total', 'suggestions', count(*) FROM s UNION ALL SELECT 'by_type', kind, count(*) FROM i GROUP BY kind UNION ALL SELECT 'by_priority', priority, count(*) FROM s GROUP BY priority""")
 add("json_report", f"""WITH {judged({})} SELECT 'violations' AS section, rule_id AS value, count(*) AS n FROM judged GROUP BY rule_id UNION ALL SELECT 'gate_decision', CAST(count(*) AS VARCHAR), 1 FROM judged
-UNION ALL SELECT 'summary', CAST(count(*) FILTER (WHERE z % 8 < 4) AS VARCHAR), 1 FROM project_files UNION ALL SELECT 'errors', NULL, count(*) FROM orders WHERE o_orderkey % 100 = 3 HAVING count(*) > 0""")
+UNION ALL SELECT 'summary', CAST(count(*) FILTER (WHERE z % 8 < 4) AS VARCHAR), 1 FROM project_files UNION ALL SELECT 'errors', NULL, count(*) FROM orders HAVING count(*) > 0""")
 add("first_errors", "SELECT project, error, nth, greatest(0, all_ - 5) AS more FROM (SELECT o_custkey % 10 AS project, 'e' || o_orderkey AS error, CAST(row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY 'e' || o_orderkey) AS INTEGER) AS nth, count(*) OVER (PARTITION BY o_custkey % 10) AS all_ FROM orders) WHERE nth <= 5")
 add("esr_recommendation", """WITH u AS (SELECT table_name AS collection, 'c' || (seq % 3) AS field, bool_or(seq % 7 = 0) AS s, bool_or(seq % 7 > 0 AND seq % 5 = 0) AS r FROM index_defs GROUP BY 1, 2),
 f AS (SELECT table_name AS collection, index_name, generate_subscripts(l, 1) AS pos, unnest(l) AS field FROM (SELECT *, string_split(cols, ',') AS l FROM index_defs) WHERE len(l) > 1),

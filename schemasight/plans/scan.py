@@ -61,7 +61,7 @@ def check(spark: SparkSession, root: str | list[str], config: Config | None = No
     """violations and gate of the migrations and code of a project, or of several at once. Scripts are split once, for all rules."""
     config = config or Config()
     scripts = X.migrations(spark, root)
-    s = settle(X.statements(scripts))
+    s = settle(R.typed(X.statements(scripts)))
     names = [config.rollback_naming_convention.replace("{migration_name}", "{0}")] if config.rollback_naming_convention else R.ROLLBACK_NAMES
     schema = schema_of(s)
     # a table's name is unique within its file only
