@@ -29,16 +29,21 @@ FAMILIES = {
 FORMATS = {"mongo_shell": P.mongo_shell, "pymongo": P.pymongo, "postgresql": P.postgres, "sql": P.postgres}
 
 
-def index_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all known languages that declare or mention an index, by the patterns of their family."""
-    found = files.by_category(files.files(spark, root)).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, registry.SKIP_DIRS))))
+def _index_lines(found: DataFrame) -> DataFrame:
+    """Index lines of files (id, path, name, content): path is what decides, id is kept."""
+    found = files.by_category(found).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, registry.SKIP_DIRS))))
     out = None
     for family, categories in (("java", ["java"]), ("script", ["python", "javascript"]), ("config", ["config"])):
-        part = L.scan_lines(files.lines(found.where(F.col("category").isin(categories))), registry.INDEX_LINES[family])
+        part = L.scan_lines(files.lines(found.where(F.col("category").isin(categories)), "id"), registry.INDEX_LINES[family])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def index_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of all known languages that declare or mention an index, by the patterns of their family. No other files are read."""
+    return _index_lines(files.files(spark, root, endings=sum(registry.CATEGORIES.values(), [])).withColumn("id", F.col("path")))
+
+
 def indexes(spark: SparkSession, root: str) -> DataFrame:
     return plans.scan_indexes(spark, root)["indexes"]
 
@@ -48,18 +53,17 @@ def suggestions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Index lines of several projects, with the project and, in a row without one, all of them counted by type."""
-    out = None
-    for root in roots:
-        part = index_lines(spark, root).withColumn("project", F.lit(root))
-        out = part if out is None else out.unionByName(part)
+    """Index lines of several projects, with the project and, in a row without one, all of them counted by type. One read, whatever their number."""
+    found = files.decoded(files.tree(spark, roots, [], sum(registry.CATEGORIES.values(), [])))
+    found = _index_lines(found.withColumn("id", F.concat_ws("\u0001", "root", "path")))
+    out = found.withColumn("project", F.substring_index("file_id", "\u0001", 1))
     return out.rollup("project", "type").agg(F.count("*").alias("n"))
 
 
 def script_usages(spark: SparkSession, root: str) -> DataFrame:
     """What the older analysis finds in the Java, Kotlin, Python, JavaScript and TypeScript files of a project."""
-    found = files.files(spark, root).where(~T.in_skipped_dir(F.col("path"), tests=False))
-    code = files.lines(found.where(T.category(F.col("path")) == "java"))
+    found = files.files(spark, root, endings=registry.CATEGORIES["java"]).where(~T.in_skipped_dir(F.col("path"), tests=False))
+    code = files.lines(found)
     scripts = files.lines(files.script_sources(spark, root))
     older = L.older_findings(code, registry.OLDER_FIELDS, registry.OLDER_OPERATIONS)
     return older.unionByName(L.older_findings(scripts, registry.SCRIPT_FIELDS, registry.SCRIPT_OPERATIONS))
@@ -73,11 +77,10 @@ def older_suggestions(spark: SparkSession, root: str, n: int | None = None) -> D
 
 def databases(spark: SparkSession, root: str, deployed: bool = False) -> DataFrame:
     """The databases that a project, or a repository of deployment settings, names, in the order in which they are seen: (name, path)."""
-    found = files.files(spark, root)
     if deployed:
-        out = D.deployed_databases(found)
+        out = D.deployed_databases(files.files(spark, root, names=registry.DEPLOY_FILES, endings=registry.DEPLOY_EXTENSIONS))
     else:
-        out = D.database_names(found, L.constants_map(files.constants(files.constant_sources(spark, root))))
+        out = D.database_names(files.setting_sources(spark, root), L.constants_map(files.constants(files.constant_sources(spark, root))))
     return out.orderBy("seq").select("name", "path")
 
 
@@ -171,7 +174,7 @@ def check_team(spark: SparkSession, catalog: str, team: str, base: str = "", con
 def check_report(spark: SparkSession, root: str, path: str, config: str | None = None) -> dict[str, DataFrame]:
     """Check a project and write the report with its gate, summary, violations and errors as JSON lines, a directory a section."""
     out = check(spark, root, None, config)
-    found = W.gate_report(root, out["violations"], out["gate"], files.unreadable(spark, root), files.files(spark, root))
+    found = W.gate_report(root, out["violations"], out["gate"], files.unreadable(spark, root), files.paths(spark, root))
     found.write.mode("overwrite").partitionBy("section").text(path)
     return out
 

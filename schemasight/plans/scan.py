@@ -32,7 +32,7 @@ def scan_indexes(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """indexes (declared, without repeats), suggestions (without those that an index answers), usages and errors (annotations and files that
     can't be read) of a project; indexes and suggestions carry the database that the project names first, null if it names none."""
     constants = L.constants_map(X.constants(X.constant_sources(spark, root)))
-    names = settle(D.database_names(X.files(spark, root), constants))
+    names = settle(D.database_names(X.setting_sources(spark, root), constants))
     sources = X.java_sources(spark, root)
     declared = settle(A.with_constants(A.declared(sources), constants))
     plain = F.array_join(F.transform(F.split("fields", ","), lambda f: F.regexp_replace(f, ":.*$", "")), ",")
