@@ -115,6 +115,12 @@ SELECT 'q' || CAST(p_partkey AS STRING) || '.java' AS path, p_partkey AS n, p_si
   || '  @CompoundIndex(def = "{''bad'': ' || CASE p_size % 3 WHEN 0 THEN '2' ELSE '-1' END || '}") })' || chr(10) || 'class Q {' || chr(10)
   || CASE p_size % 4 WHEN 0 THEN '  @TextIndexed(weight = 2) ' WHEN 1 THEN '  @GeoSpatialIndexed(type = GeoSpatialIndexType.GEO_2DSPHERE) ' WHEN 2 THEN '  @HashIndexed' || repeat(' ', 400) ELSE '  @WildcardIndexed' || chr(10) END
   || ' Map<String, Object> F' || CAST(p_size AS STRING) || ' = null;' || chr(10) || CASE p_size % 5 WHEN 0 THEN '  @Indexed(unique = true' ELSE '' END || chr(10) || '}' AS content FROM part""",
+    "table_scripts": """
+SELECT o_orderkey AS n, 'CREATE TABLE IF NOT EXISTS s.t' || CAST(o_custkey % 50 AS STRING) || ' (' || chr(10) || '  id INT' || CASE o_orderkey % 2 WHEN 0 THEN ' PRIMARY KEY' ELSE '' END || ', -- a comment, with (' || chr(10)
+  || '  a NUMERIC(10, 2) CONSTRAINT "in range" CHECK (a > 0 AND (a < 9 OR b = '')'')) DEFAULT (1 + 2), b TEXT REFERENCES other(k) ON DELETE CASCADE' || chr(10)
+  || CASE o_orderkey % 3 WHEN 0 THEN ', CONSTRAINT "Fk" FOREIGN KEY (a, "B c") REFERENCES s."Target t" (x, y)' WHEN 1 THEN ', FOREIGN KEY (c' || CAST(o_custkey % 9 AS STRING) || ') REFERENCES t' || CAST(o_custkey % 7 AS STRING) ELSE '' END
+  || CASE o_orderkey % 5 WHEN 0 THEN ', constraint u unique nulls not distinct (a, b)' WHEN 1 THEN ', UNIQUE (b)' WHEN 2 THEN ', CHECK (a <> ' || CAST(o_custkey AS STRING) || ')' WHEN 3 THEN ', EXCLUDE USING gist (a WITH =)' ELSE ', check_date DATE' END
+  || CASE o_orderkey % 2 WHEN 1 THEN ', CONSTRAINT pk PRIMARY KEY (id, a)' ELSE '' END || ') WITH (fillfactor = 70)' AS sql FROM orders""",
     "setting_files": """
 SELECT 's' || CAST(n_nationkey AS STRING) || '/' || CASE n_nationkey % 4 WHEN 0 THEN 'application.properties' WHEN 1 THEN '.env' WHEN 2 THEN 'A.java' ELSE 'other.properties' END AS path, CASE n_nationkey % 4
   WHEN 0 THEN '# mongodb.database=no' || chr(10) || 'spring.data.mongodb.database=' || lower(replace(n_name, ' ', '_'))

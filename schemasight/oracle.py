@@ -286,6 +286,13 @@ add("resolved_compounds", f"""WITH {KNOWN} SELECT path, 'k' || (n % 5) AS collec
 UNION ALL SELECT path, 'k' || (n % 5), 'bad:-1', NULL, false FROM annotated_classes WHERE z % 3 > 0""")
 add("annotation_errors", """SELECT path, path || ':4: @CompoundIndex: direction 2 of field bad' AS error FROM annotated_classes WHERE z % 3 = 0
 UNION ALL SELECT path, path || ':' || CASE WHEN z % 4 = 3 THEN 8 ELSE 7 END || ': @Indexed: its brackets do not close' FROM annotated_classes WHERE z % 5 = 0""")
+add("table_constraints", """SELECT n, CAST(pos AS INTEGER) AS pos, name, kind, columns, target, target_columns, expression, inline FROM (
+  SELECT n, 0 AS pos, NULL AS name, 'PRIMARY KEY' AS kind, 'id' AS columns, NULL AS target, '' AS target_columns, NULL AS expression, true AS inline FROM table_scripts WHERE n % 2 = 0
+  UNION ALL SELECT n, 1, 'in range', 'CHECK', 'a', NULL, '', 'a > 0 AND (a < 9 OR b = '')'')', true FROM table_scripts
+  UNION ALL SELECT n, 2, NULL, 'FOREIGN KEY', 'b', 'other', 'k', NULL, true FROM table_scripts
+  UNION ALL SELECT o_orderkey, 3, CASE o_orderkey % 3 WHEN 0 THEN 'Fk' END, 'FOREIGN KEY', CASE o_orderkey % 3 WHEN 0 THEN 'a,B c' ELSE 'c' || (o_custkey % 9) END, CASE o_orderkey % 3 WHEN 0 THEN 'Target t' ELSE 't' || (o_custkey % 7) END, CASE o_orderkey % 3 WHEN 0 THEN 'x,y' ELSE '' END, NULL, false FROM orders WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 4 ELSE 3 END, CASE o_orderkey % 5 WHEN 0 THEN 'u' END, ['UNIQUE', 'UNIQUE', 'CHECK', 'EXCLUDE'][o_orderkey % 5 + 1], ['a,b', 'b', '', ''][o_orderkey % 5 + 1], NULL, '', CASE o_orderkey % 5 WHEN 2 THEN 'a <> ' || o_custkey WHEN 3 THEN 'a WITH =' END, false FROM orders WHERE o_orderkey % 5 < 4
+  UNION ALL SELECT n, CASE WHEN n % 3 < 2 THEN 5 ELSE 4 END, 'pk', 'PRIMARY KEY', 'id,a', NULL, '', NULL, false FROM table_scripts WHERE n % 2 = 1)""")
 add("standalone_compound", """SELECT path, CAST(strpos(content, '@CompoundIndex(def = "{''s') - 1 AS INTEGER) AS start FROM java_classes WHERE z % 4 = 0""")
 add("forward_field", "SELECT path, 0 AS nth, CASE WHEN z % 5 <> 0 THEN 'f' || z END AS field FROM java_classes")
 add("discover_by_category", "SELECT path, CASE WHEN z % 8 < 4 THEN 'java' WHEN z % 8 = 4 THEN 'python' WHEN z % 8 = 5 THEN 'javascript' ELSE 'config' END AS category FROM project_files WHERE z % 8 < 6 OR z % 8 = 7 AND n % 2 = 0")

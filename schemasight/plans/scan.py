@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemasight.functions import sqltext as S
+from schemasight.functions import tablesql as K
 from schemasight.functions.text import LINE_END
 from schemasight.operators import discovery as D
 from schemasight.operators import indexes as I
@@ -43,18 +44,22 @@ def scan_indexes(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def schema_of(statements: DataFrame) -> dict[str, DataFrame]:
-    """columns, indexes and foreign keys of the CREATE statements of scripts; all carry file_id, since files are judged one by one."""
+    """columns, indexes and foreign keys of the CREATE statements of scripts; all carry file_id, since files are judged one by one. UNIQUE constraints of
+    tables are indexes, before those of CREATE INDEX."""
     creates = R.typed(statements).where("type = 'CREATE TABLE'").withColumn("table_name", S.target(F.col("raw_sql")))
     parts = creates.select("file_id", "line_no", "table_name", F.posexplode(S.table_parts(F.col("raw_sql"))).alias("pos", "part")).withColumn("up", F.upper("part"))
+    held = settle(creates.select("file_id", "line_no", "stmt_no", "table_name", F.explode(K.table_constraints(F.col("raw_sql"))).alias("c")).select("file_id", "line_no", "stmt_no", "table_name", "c.*"))
     constraint = F.col("up").rlike(r"^(?:CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|EXCLUDE)\b")
-    keyed = parts.where(constraint & F.col("up").rlike(r"PRIMARY\s+KEY")).select("file_id", "table_name", F.transform(F.split(F.regexp_extract("part", r"(?i)PRIMARY\s+KEY\s*\(([^)]*)\)", 1), ","), lambda c: S.unquoted(F.btrim(c))).alias("pk"))
+    keyed = held.where("kind = 'PRIMARY KEY' and not inline").select("file_id", "table_name", F.col("columns").alias("pk"))
     rest = F.regexp_extract("part", r"^\S+\s+(.*)$", 1)
     plain = parts.where(~constraint).select("file_id", "line_no", "table_name", (F.col("pos") + 1).alias("ord"), S.unquoted(F.regexp_extract("part", r"^(\S+)", 1)).alias("name"), S.data_type(rest).alias("data_type"), (~F.col("up").rlike(r"NOT\s+NULL|PRIMARY\s+KEY")).alias("nullable"), F.col("up").contains("DEFAULT").alias("has_default"), F.col("up").rlike(r"PRIMARY\s+KEY").alias("_pk"))
     columns = plain.join(keyed, ["file_id", "table_name"], "left").withColumn("is_pk", F.col("_pk") | F.coalesce(F.array_contains("pk", F.col("name")), F.lit(False))).drop("_pk", "pk")
-    foreign = parts.where(constraint & F.col("up").rlike(r"FOREIGN\s+KEY")).select("file_id", "line_no", "table_name", F.transform(F.split(F.regexp_extract("part", r"(?i)FOREIGN\s+KEY\s*\(([^)]*)\)", 1), ","), lambda c: S.unquoted(F.btrim(c))).alias("fk_cols"), S.unquoted(F.regexp_extract("part", r"(?i)REFERENCES\s+([^\s(]+)", 1)).alias("dst"))
+    foreign = held.where("kind = 'FOREIGN KEY' and not inline").select("file_id", "line_no", "table_name", F.col("columns").alias("fk_cols"), F.col("target").alias("dst"))
+    unique = held.where("kind = 'UNIQUE' and not inline and size(columns) > 0")
+    unique = unique.select("file_id", "line_no", "table_name", F.coalesce("name", F.concat_ws("_", "table_name", F.array_join("columns", "_"), F.lit("key"))).alias("index_name"), F.col("columns").alias("cols"), (F.col("stmt_no").cast("long") * 10_000 + F.col("pos")).alias("seq"))
     p = S.index_parts(F.col("raw_sql"))
-    indexes = R.typed(statements).where("type = 'CREATE INDEX'").select("file_id", "line_no", p["table"].alias("table_name"), p["name"].alias("index_name"), p["columns"].alias("cols"), F.col("stmt_no").alias("seq")).where("index_name is not null and size(cols) > 0")
-    return {"columns": columns, "indexes": indexes, "foreign": foreign}
+    indexes = R.typed(statements).where("type = 'CREATE INDEX'").select("file_id", "line_no", p["table"].alias("table_name"), p["name"].alias("index_name"), p["columns"].alias("cols"), (F.col("stmt_no").cast("long") * 10_000 + (1 << 50)).alias("seq")).where("index_name is not null and size(cols) > 0")
+    return {"columns": columns, "indexes": unique.unionByName(indexes), "foreign": foreign}
 
 
 def check(spark: SparkSession, root: str | list[str], config: Config | None = None) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemasight.corpus import register
 from schemasight.functions import sqltext as S
+from schemasight.functions import tablesql as K
 from schemasight.functions import text as T
 from schemasight.operators import compare as C
 from schemasight.operators import discovery as D
@@ -247,6 +248,13 @@ def create_table_parse(view):
     return p.select("table_name", (F.col("pos") + 1).alias("ord"), name.alias("name"), S.data_type(rest).alias("data_type"), (~F.upper("part").contains("NOT NULL")).alias("nullable"), F.upper("part").contains("DEFAULT").alias("has_default"))
 
 
+@query
+def table_constraints(view):
+    """The constraints of CREATE TABLE statements, of tables and of columns."""
+    found = view("table_scripts").select("n", F.explode(K.table_constraints(F.col("sql"))).alias("c")).select("n", "c.*")
+    return found.withColumn("columns", F.array_join("columns", ",")).withColumn("target_columns", F.array_join("target_columns", ","))
+
+
 # rules
 
 
