@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +13,21 @@ from schemasight.registry import COLLECTIONS, Pattern
 def references(files: DataFrame, patterns: list[Pattern] = COLLECTIONS) -> DataFrame:
     """(file_id, pos, ord, kind, value) of every match in (file_id, content); pos counts characters from 0.
 
-    Spark's functions tell what matches, but not where each match is, so this is a Python function, in Arrow batches.
+    Spark's functions tell what matches and, by splitting, what stands between the matches; the lengths of both, added up, tell where each match is.
     """
-
-    @F.pandas_udf("array<struct<pos: long, ord: int, kind: string, value: string>>")
-    def of(texts: pd.Series) -> pd.Series:
-        known = [(re.compile(p.regex), p.kind) for p in patterns]
-        return texts.map(lambda t: [{"pos": m.start(), "ord": k, "kind": kind, "value": m[1]} for k, (regex, kind) in enumerate(known) for m in regex.finditer(t or "")])
-
-    return files.select("file_id", F.explode(of(F.col("content"))).alias("r")).select("file_id", "r.*")
+    found = []
+    for k, p in enumerate(patterns):
+        regex = f"(?U){p.regex}"  # letters and blanks of all scripts, as in names
+        whole, value = (F.regexp_extract_all("content", F.lit(regex), F.lit(n)) for n in (0, 1))
+        parts = F.arrays_zip(F.split("content", regex, -1).alias("between"), whole.alias("whole"), value.alias("value"))
+        rows = F.transform(parts, lambda x, n: F.struct(F.lit(k).alias("ord"), n.alias("nth"), F.char_length(x["between"]).alias("between"), F.char_length(x["whole"]).alias("whole"), x["value"].alias("value")))
+        found.append(F.filter(rows, lambda x: x["whole"].isNotNull()))
+    rows = files.select("file_id", F.explode(F.concat(*found)).alias("m")).select("file_id", "m.*")
+    one = Window.partitionBy("file_id", "ord").orderBy("nth")
+    earlier = F.sum("whole").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    pos = F.sum("between").over(one.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(earlier, F.lit(0))
+    kinds = F.array(*[F.lit(p.kind) for p in patterns])
+    return rows.select("file_id", pos.alias("pos"), "ord", F.get(kinds, "ord").alias("kind"), "value")
 
 
 def named(refs: DataFrame, constants: DataFrame) -> DataFrame:
