@@ -16,6 +16,8 @@ from schemasight.operators import scripts as P
 from schemasight.operators import suggest as G
 from schemasight.operators import teams as M
 from schemasight.plans import scan as plans
+from schemasight import sinks
+from schemasight.shared import settle
 from schemasight.sources import configuration, files
 
 #: The rule families that can be run by themselves.
@@ -171,6 +173,16 @@ def check_team(spark: SparkSession, catalog: str, team: str, base: str = "", con
     return {"violations": found, "gate": R.gate_with_total(found, "service")}
 
 
+def check_team_report(spark: SparkSession, catalog: str, team: str, path: str, base: str = "", config: str | None = None) -> dict[str, DataFrame]:
+    """Check a team's services and write, below ``path``, violations and gates as JSON, a directory a service, and a page for each service with one of all."""
+    out = {name: settle(df) for name, df in check_team(spark, catalog, team, base, config).items()}
+    if out:
+        sinks.write_json(out["violations"], f"{path}/violations", "service")
+        sinks.write_json(out["gate"], f"{path}/gate")
+        sinks.write_services(out["violations"], out["gate"], f"{path}/html")
+    return out
+
+
 def check_report(spark: SparkSession, root: str, path: str, config: str | None = None) -> dict[str, DataFrame]:
     """Check a project and write the report with its gate, summary, violations and errors as JSON lines, a directory a section."""
     out = check(spark, root, None, config)

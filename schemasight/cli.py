@@ -47,8 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.json:
             api.report(out["violations"], a.json)
         if getattr(a, "html", None):
-            with open(a.html, "w") as f:
-                f.writelines(line + "\n" for line in sinks.html_parts(out["violations"], out["gate"]))
+            sinks.write_page(out["violations"], out["gate"], a.html)
         out["gate"].show(100, truncate=False)
         return 0 if all(r["passed"] for r in out["gate"].collect()) else 1
     rows = {"scan": lambda: api.indexes(spark, a.path), "suggest": lambda: api.suggestions(spark, a.path), "export": lambda: api.export(spark, a.path, a.format, a.db_name), "search": lambda: api.search(spark, a.path, a.words), "script": lambda: api.script(spark, a.path, a.format, a.db_name), "older": lambda: api.older_suggestions(spark, a.path)}[a.command]()
