@@ -7,11 +7,13 @@ graph greedily from the medoid; once within range of its vector, the search expa
 range. Where the united list of the best vector found leads out of the shard, the search goes on across shards, by
 joins, until it finds nothing new. Links are verified in double precision. A shard hands on how many links each
 member has and one link that leads towards the least member of its component, never the pairs. A brute-force audit of some
-vectors measures recall; while it is below the target, the shards overlap more, up to the point where each holds all.
+vectors measures recall; while it is below the target, the shards overlap more, up to a bound; what misses ``FLOOR`` there is an error.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,13 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import components, settle, table
 
-#: Vectors aimed at in a shard, the most in one task, and the most that clusters are fitted on.
-SHARD, MOST, SAMPLE = 1_000, 4_000, 20_000
+#: Vectors aimed at in a cluster of its own, the most in one task, and the most that clusters are fitted on.
+SHARD, MOST, SAMPLE = 400, 4_000, 20_000
+#: Each vector is filed in its OVERLAP nearest clusters, or in log2 of the clusters if that is more, and in at most WIDER times as many. Of isolated pairs at a
+#: cosine of 0.901 in 128 dimensions none of 20,000 shares no cluster with 50 clusters, 3 do with 5,000 (12 each); with 3 each it was 500 and 3,900.
+OVERLAP, WIDER = 8, 4
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 #: Search: how many of the best found are followed, and how many are expanded at once.
 BEAM, AT_ONCE = 24, 4
-#: The audit starts with AUDITED vectors and doubles them until ENOUGH have links, or up to ASKED; the recall is the mean over these.
-AUDITED, ENOUGH, ASKED, RECALL = 256, 64, 4_096, 0.98
+#: The audit starts with AUDITED vectors and doubles them until ENOUGH have links, or up to ASKED; the recall is the mean over these. If none has any, AUDITED
+#: vectors are taken for which the search found links. Below RECALL shards overlap more; below FLOOR there is no result.
+AUDITED, ENOUGH, ASKED, RECALL, FLOOR = 256, 64, 4_096, 0.98, 0.9
 
 
 def unit(vectors) -> np.ndarray:
@@ -270,11 +276,12 @@ def links_across(found: DataFrame, homes: DataFrame, united: DataFrame, least: f
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
-    """One row per row of ``df``: (id, n_links, component_id, kept).
+    """One row per row of ``df``: (id, n_links, component_id, kept, recall).
 
     n_links: other rows with a cosine of ``least`` or more; component_id: the least id that links reach; kept:
     whether that is the row's own. Equal vectors are one class, linked with each other and never compared;
-    links between classes count the rows behind them. Vectors that are null, empty or zero or hold a
+    links between classes count the rows behind them. recall: the least that the audits of this run measured, null where no vector
+    links with a different one. Vectors that are null, empty or zero or hold a
     null or non-finite component link with nothing, nor do vectors of different lengths with each other. Rows with a
     null id count as links, but name a component only if it has no other id; ids may repeat. Other columns do not matter; an empty table gives an empty one.
     """
@@ -283,12 +290,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = rows.where("usable").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("vector")))
     counts = links = None
+    measured = []
     for (width,) in classes.select("width").distinct().collect():
         own = classes.where(F.col("width") == width)
-        n, l = links_of(own, least)
+        n, l, reached = links_of(own, least)
+        measured += [] if reached is None else [reached]
         counts, links = (n, l) if counts is None else (counts.unionByName(n), links.unionByName(l))
     if counts is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
     others = counts.groupBy("node").agg(F.sum("n").alias("others"))
     roots = components(links)
     classes = classes.join(others, "node", "left").join(roots, "node", "left").select("vector", "id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root"))
@@ -298,55 +307,73 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     linked_rows = rows.where("usable").join(settle(classes), "vector").select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked_rows.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), F.lit(min(measured, default=None)).cast("double").alias("recall"))
 
 
-def links_of(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(counts, links) of different vectors of one length: rows behind the links of each node (node, n), to be summed, and links (a, b) that
-    connect what links connect. Shards overlap more until the audit is content."""
+def links_of(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame, float | None]:
+    """(counts, links, recall) of different vectors of one length: rows behind the links of each node (node, n), to be summed, links (a, b) that
+    connect what links connect, and the recall that was measured, None if nothing links. Shards overlap more until the audit is content."""
     count = classes.count()
     sample = classes.select("node", "vector").orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).toPandas()
-    k = max(1, min(round(count / SHARD), len(sample)))
+    overlap = max(OVERLAP, math.ceil(math.log2(max(1, count / SHARD))))
+    k = max(1, min(round(count * overlap / OVERLAP / SHARD), len(sample)))
     centres = cluster(unit(sample["vector"]), k)
+    overlap, most = min(k, overlap), min(k, overlap * WIDER)
     asked, truth = audited(classes, sample, least)
-    overlap = min(k, 3)
     while True:
         found, homes, united = searched(classes, least, overlap, centres, asked)
         far = links_across(found, homes, united, least)
-        if overlap >= k or recall(found, far, truth) >= RECALL:
+        if truth.isEmpty():
+            linked_ = found.where("n > 0").select("node").unionByName(far.select(F.col("a").alias("node"))).distinct().orderBy(F.xxhash64("node")).limit(AUDITED)
+            some = classes.select("node", "vector").join(linked_, "node").toPandas()
+            if some.empty:
+                reached = None
+                break
+            asked, truth = some["node"].to_numpy(), true_links(classes, some, least)
+            continue
+        reached = recall(found, far, truth)
+        if reached >= RECALL or overlap == most:
             break
-        overlap = min(k, 2 * overlap)
+        overlap = min(most, 2 * overlap)
+    if reached is not None and reached < FLOOR:
+        raise RuntimeError(f"searches find {reached:.3f} of the links with each vector in {overlap} of {k} clusters")
     both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beyond = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n"))
-    return found.where("n > 0").select("node", "n").unionByName(beyond), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far)
+    links = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far)
+    return found.where("n > 0").select("node", "n").unionByName(beyond), links, reached
+
+
+def true_links(classes: DataFrame, asked: pd.DataFrame, least: float) -> DataFrame:
+    """All links (a, b) of the vectors asked for (a bounded number), by comparing them with all, in blocks."""
+    sent = classes.sparkSession.sparkContext.broadcast((asked["node"].to_numpy(), unit(asked["vector"])))
+
+    def true(batches):
+        nodes, x = sent.value
+        for batch in batches:
+            if len(batch):
+                q, b = np.nonzero(x @ unit(batch["vector"]).T >= least)
+                a, b = nodes[q], batch["node"].to_numpy()[b]
+                yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+    return settle(classes.select("node", "vector").mapInPandas(true, "a long, b long"))
 
 
 def audited(classes: DataFrame, sample: pd.DataFrame, least: float) -> tuple[np.ndarray, DataFrame]:
-    """(nodes, truth): some vectors and all their true links (a, b), by comparing them with all, in blocks."""
+    """(nodes, truth): some vectors and all their true links (a, b)."""
     many = AUDITED
     while True:
         asked = sample.iloc[:many]
-        sent = classes.sparkSession.sparkContext.broadcast((asked["node"].to_numpy(), unit(asked["vector"])))
-
-        def true(batches, sent=sent):
-            nodes, x = sent.value
-            for batch in batches:
-                if len(batch):
-                    q, b = np.nonzero(x @ unit(batch["vector"]).T >= least)
-                    a, b = nodes[q], batch["node"].to_numpy()[b]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-        truth = settle(classes.select("node", "vector").mapInPandas(true, "a long, b long"))
+        truth = true_links(classes, asked, least)
         if many >= min(ASKED, len(sample)) or truth.select("a").distinct().count() >= ENOUGH:
             return asked["node"].to_numpy(), truth
         many *= 2
 
 
 def recall(found: DataFrame, far: DataFrame, truth: DataFrame) -> float:
-    """The mean share of their true links that audited vectors with links have found; 1 if none of them has any."""
+    """The mean share of their true links that audited vectors with links have found."""
     got = found.select(F.col("node").alias("a"), F.explode("hits").alias("b")).unionByName(far).unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     share = truth.join(got.withColumn("found", F.lit(1)), ["a", "b"], "left").groupBy("a").agg((F.count("found") / F.count("*")).alias("share"))
-    return share.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
+    return share.agg(F.avg("share")).first()[0]
 
 
 def op8_embedding_graph(spark, sf_dir):

@@ -259,6 +259,38 @@ def test_embeddings_across_shards(spark, monkeypatch):
     assert right >= 0.97 * len(want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_embeddings_isolated_pairs(spark, monkeypatch):
+    """Vectors whose only link is to each other, just above the threshold, are found although clusters are small, and the recall is told."""
+    monkeypatch.setattr(E, "SHARD", 40)
+    rng = np.random.default_rng(3)
+    a, z = rng.normal(size=(2, 1000, 128))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = E.near_duplicates(df).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 1, k % 1000) for k in range(2000)}
+    assert {r.recall for r in got} == {1.0}
+
+
+def test_embeddings_audit(spark, monkeypatch):
+    """Where no vector of the audit has a link, those that the search linked are audited; without any link there is no recall."""
+    monkeypatch.setattr(E, "SHARD", 40)
+    monkeypatch.setattr(E, "AUDITED", 1)
+    monkeypatch.setattr(E, "ASKED", 1)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 32))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    schema = "vec_id long, embedding array<double>"
+    assert {(r.n_links, r.recall) for r in E.near_duplicates(spark.createDataFrame(rows, schema)).collect()} == {(0, None)}
+    linked = [*rows, (300, (v[7] + 0.01 * v[8]).tolist()), (301, (v[9] + 0.01 * v[8]).tolist())]
+    got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(linked, schema)).collect()}
+    assert {k for k, r in got.items() if r.n_links} == {7, 9, 300, 301} and got[0].recall == 1.0
+    monkeypatch.setattr(E, "recall", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.500"):
+        E.near_duplicates(spark.createDataFrame(linked, schema))
+
+
 def test_embeddings_recall(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.op8_embedding_graph(spark, sf).collect()}
