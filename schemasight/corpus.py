@@ -90,6 +90,14 @@ SELECT c_name AS service, 'KEY_' || CAST(c_custkey % 6 AS STRING) AS key, c_cust
 SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'Seq Scan on t  (cost=0.00..1.00 rows=' || CAST(o_orderkey AS STRING) || ' width=4)'
   WHEN 1 THEN 'Nested Loop  (rows=7)' || chr(10) || '  Index Scan using a on t' || chr(10) || '  Seq Scan on u'
   ELSE 'Bitmap Index Scan on a (rows=3)' || chr(10) || 'Index Only Scan using b on t' END || chr(10) || 'Execution Time: ' || CAST(o_custkey % 100 AS STRING) || '.5 ms' AS plan_text FROM orders""",
+    "plan_trees": """
+SELECT o_orderkey AS query_id, 'Sort  (cost=1.00..2.00 rows=' || CAST(o_custkey AS STRING) || ' width=4) (actual time=0.010..' || CAST(o_custkey % 90 + 60 AS STRING) || '.250 rows=9 loops=1)' || chr(10) || '  Sort Key: a' || chr(10)
+  || CASE o_orderkey % 3 WHEN 0 THEN '  InitPlan 1' || chr(10) || '    ->  Limit  (cost=0.00..0.10 rows=1 width=4) (actual time=0.002..0.003 rows=1 loops=1)' || chr(10)
+    || '          ->  Index Only Scan using ix on v w  (cost=0.00..0.10 rows=3 width=4) (actual time=0.001..0.002 rows=1 loops=1)' || chr(10) ELSE '' END
+  || '  ->  Hash Join  (cost=0.50..1.90 rows=7 width=4) (actual time=0.100..50.125 rows=' || CAST(o_orderkey % 40 AS STRING) || ' loops=1)' || chr(10) || '        Hash Cond: (t.a = u.b)' || chr(10)
+  || '        ->  Seq Scan on t  (cost=0.00..1.00 rows=100 width=4) (actual time=0.001..' || CAST(o_custkey % 7 AS STRING) || '.500 rows=' || CAST(o_orderkey % 11 AS STRING) || ' loops=' || CAST(o_orderkey % 5 + 1 AS STRING) || ')' || chr(10)
+  || '          Filter: (a > 1)' || chr(10) || '        ->  Hash  (cost=0.20..0.20 rows=1 width=4)' || CASE o_orderkey % 2 WHEN 0 THEN ' (never executed)' ELSE ' (actual time=0.000..2.000 rows=1 loops=1)' END || chr(10)
+  || '              ->  Bitmap Heap Scan on u  (cost=0.00..0.20 rows=1 width=4)' || chr(10) || 'Planning Time: 0.100 ms' || chr(10) || 'Execution Time: 99.5 ms' AS plan_text FROM orders""",
     "live_catalog": """
 SELECT 'ix_' || CAST(p_partkey AS STRING) AS index_name, 't' || CAST(p_partkey % 40 AS STRING) AS table_name,
   CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey * 8192 + p_size END AS size_bytes, CAST(p_size % 4 AS BIGINT) AS idx_scan FROM part""",

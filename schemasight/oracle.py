@@ -224,6 +224,20 @@ add("db_connections", f"WITH {URIS} SELECT service, value, kind, host, port, nam
 add("unused_indexes", "SELECT index_name, table_name, CAST(coalesce(size_bytes, 0) AS BIGINT) AS size_bytes, 'PG_IDX_014' AS rule_id FROM live_catalog WHERE idx_scan = 0")
 add("index_sizes", "SELECT index_name, table_name, size_bytes FROM live_catalog WHERE size_bytes IS NOT NULL")
 add("plan_metrics", f"SELECT query_id, CAST(len({every('plan_text', 'Seq Scan', 0)}) AS BIGINT) AS seq_scans, CAST(len({every('plan_text', 'Index Scan', 0)}) AS BIGINT) AS index_scans, TRY_CAST({part('plan_text', 'rows=([0-9]+)')} AS BIGINT) AS rows, TRY_CAST({part('plan_text', 'Time: ([0-9.]+)')} AS DOUBLE) AS ms FROM plans")
+# nodes from the arrows, parents by a lateral look back, depths and subtrees by the closure of parents
+PLAN_NODES = r"""pl AS (SELECT query_id, i, l[i] AS line FROM (SELECT query_id, string_split(plan_text, chr(10)) AS l, unnest(range(1, len(string_split(plan_text, chr(10))) + 1)) AS i FROM plan_trees)),
+pn AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INT) AS node, CASE WHEN i = 1 THEN -1 ELSE instr(line, '->') END AS ind, trim(replace(split_part(line, '  (cost', 1), '->', '')) AS operation,
+  TRY_CAST(regexp_extract(line, 'cost=\S+ rows=(\d+)', 1) AS BIGINT) AS estimated, TRY_CAST(regexp_extract(line, 'time=\S+ rows=(\d+)', 1) AS BIGINT) AS r,
+  TRY_CAST(regexp_extract(line, 'time=[0-9.]+?[.][.](\S+) ', 1) AS DECIMAL(18, 3)) AS t, TRY_CAST(regexp_extract(line, 'loops=(\d+)', 1) AS BIGINT) AS loops FROM pl WHERE i = 1 OR starts_with(trim(line), '->')),
+pp AS (SELECT a.query_id, a.node, max(b.node) AS parent FROM pn a LEFT JOIN pn b ON a.query_id = b.query_id AND b.node < a.node AND b.ind < a.ind GROUP BY a.query_id, a.node),
+up AS (SELECT query_id, node, node AS over FROM pn UNION ALL SELECT up.query_id, up.node, pp.parent FROM up JOIN pp ON up.query_id = pp.query_id AND up.over = pp.node WHERE pp.parent IS NOT NULL),
+pd AS (SELECT query_id, node, CAST(count(*) - 1 AS INT) AS depth FROM up GROUP BY query_id, node),
+ps AS (SELECT up.query_id, up.over AS node, count(*) AS subtree_nodes, CAST(sum(coalesce(r * loops, 0)) AS BIGINT) AS subtree_rows FROM up JOIN pn ON up.query_id = pn.query_id AND up.node = pn.node GROUP BY up.query_id, up.over),
+pc AS (SELECT pp.query_id, pp.parent AS node, sum(coalesce(t * loops, 0)) AS inner_ms FROM pp JOIN pn ON pp.query_id = pn.query_id AND pp.node = pn.node GROUP BY pp.query_id, pp.parent),
+plan_rows AS (SELECT pn.query_id, pn.node, parent, depth, operation, estimated, r * loops AS rows, CAST(t * loops AS DOUBLE) AS ms, CAST(t * loops - coalesce(inner_ms, 0) AS DOUBLE) AS own_ms, subtree_nodes, subtree_rows
+  FROM pn JOIN pp USING (query_id, node) JOIN pd USING (query_id, node) JOIN ps USING (query_id, node) LEFT JOIN pc USING (query_id, node))"""
+add("plan_nodes", f"WITH {PLAN_NODES} SELECT * FROM plan_rows")
+add("slowest_nodes", f"WITH {PLAN_NODES} SELECT query_id, node, operation, own_ms, CASE WHEN whole > 0 THEN round(own_ms / whole, 6) END AS share FROM (SELECT *, max(CASE WHEN node = 1 THEN ms END) OVER (PARTITION BY query_id) AS whole FROM plan_rows WHERE own_ms IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY own_ms DESC, node) = 1")
 
 KEYED = "keyed AS (SELECT table_name AS collection, cols AS fields, index_name, seq, array_to_string(list_sort(list_distinct(string_split(cols, ','))), ',') AS key FROM index_defs)"
 add("script_compare", f"WITH {KEYED} SELECT collection, key, CASE WHEN bool_or(seq % 3 < 2) AND bool_or(seq % 3 > 0) THEN 'both' WHEN bool_or(seq % 3 < 2) THEN 'script_only' ELSE 'code_only' END AS status FROM keyed GROUP BY collection, key")

@@ -13,6 +13,7 @@ from schemasight.operators import compare as C
 from schemasight.operators import discovery as D
 from schemasight.operators import indexes as I
 from schemasight.operators import lines as L
+from schemasight.operators import plantree as Q
 from schemasight.operators import references as N
 from schemasight.operators import reports as W
 from schemasight.operators import rules as R
@@ -460,6 +461,16 @@ def plan_metrics(view):
     return view("plans").select("query_id", *[c.alias(k) for k, c in M.plan_metrics(F.col("plan_text")).items()])
 
 
+@query
+def plan_nodes(view):
+    return Q.plan_nodes(view("plan_trees"))
+
+
+@query
+def slowest_nodes(view):
+    return Q.slowest_nodes(Q.plan_nodes(view("plan_trees")))
+
+
 # comparisons
 
 
