@@ -6,7 +6,9 @@ import argparse
 import sys
 
 from schemasight import api, sinks
+from schemasight.operators.reports import fitting_widths, table_lines
 from schemasight.session import session
+from schemasight.shared import settle
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,7 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         for r in rows.toLocalIterator():
             print(r["line"])
     else:
-        rows.show(1000, truncate=40)
+        rows = settle(rows)  # read for the widths and again for the lines
+        widths = fitting_widths(rows)
+        print("  ".join(c.ljust(w)[:w] for c, w in widths.items()).rstrip())
+        for r in table_lines(rows, widths).select("table_line").toLocalIterator():
+            print(r["table_line"])
     return 0
 
 

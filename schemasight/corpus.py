@@ -141,6 +141,13 @@ SELECT CAST(n_nationkey AS STRING) || '/' || CASE n_nationkey % 4 WHEN 0 THEN 'x
     "project_files": """
 SELECT 'm' || CAST(p_partkey AS STRING) || CASE p_size % 8 WHEN 0 THEN '/Order.java' WHEN 1 THEN '/OrderTest.java' WHEN 2 THEN '/test/X.java' WHEN 3 THEN '/DataBackupJob.java' WHEN 4 THEN '/x.py'
   WHEN 5 THEN '/y.TS' WHEN 6 THEN '/build/G.kt' ELSE CASE p_partkey % 2 WHEN 0 THEN '/z.yml' ELSE '/readme.md' END END AS path, p_size AS z, p_partkey AS n FROM part""",
+    "yaml_files": """
+SELECT c_custkey AS n, 'git/svc' || CAST(c_custkey AS STRING) || '/values.yaml' AS path, CASE c_custkey % 9 WHEN 7 THEN '- only: a list' WHEN 8 THEN 'broken: {' ELSE
+  'env:' || chr(10) || '  - name: DB_URL' || chr(10) || '    value: jdbc:postgresql://h' || CAST(c_nationkey AS STRING) || '/db' || chr(10) || '  - name: EMPTY' || chr(10) || '  - plain' || chr(10)
+  || 'Db:' || chr(10) || '  Host: "h ' || c_mktsegment || '"' || chr(10) || '  port: ' || CAST(5000 + c_custkey AS STRING) || chr(10) || '  none:' || chr(10)
+  || CASE c_custkey % 3 WHEN 0 THEN 'pools:' || chr(10) || '  - name: Main' || chr(10) || '    value: {Host: inner, size: "7"}' || chr(10) ELSE '' END
+  || CASE c_custkey % 2 WHEN 0 THEN 'db: {host: later}' || chr(10) ELSE '' END END AS content FROM customer""",
+    "mixed_ends": "SELECT doc_id, replace(replace(translate(text, 'qxj', chr(13) || chr(11) || chr(12)), 'the', chr(13) || chr(10)), 'en', chr(10) || chr(10)) AS text FROM documents",
     "values_paths": "SELECT 'svc' || CAST(n_nationkey AS STRING) || CASE n_nationkey % 3 WHEN 0 THEN '/values.yaml' WHEN 1 THEN '/values-prod.yaml' ELSE '/other.yaml' END AS path FROM nation",
     "index_scripts": """
 SELECT s_suppkey AS file_id, 'db.t1.createIndex({a' || CAST(s_suppkey AS STRING) || ': 1, c: "text"});' || chr(10) || 'db["t2"].create_index([("b", DESCENDING), (''h'', HASHED)])' || chr(10)

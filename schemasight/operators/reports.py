@@ -53,6 +53,23 @@ def first_errors(errors: DataFrame, n: int = 5, *by: str) -> DataFrame:
     return found.where(F.col("nth") <= n).withColumn("more", F.greatest(F.lit(0), F.col("_all") - n).cast("long")).drop("_all")
 
 
+#: A cell of a printed table is cut to this many characters.
+WIDEST = 40
+
+
+def table_lines(rows: DataFrame, widths: dict[str, int], mark: str = "") -> DataFrame:
+    """The rows with table_line: the columns of ``widths`` side by side, padded to their widths and cut there; line ends and tabs become blanks, nulls are empty."""
+    flat = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\n\r\t]", " ")
+    cells = [F.rpad(shortened(flat(c), w - len(mark), mark), w, " ") for c, w in widths.items()]
+    return rows.withColumn("table_line", F.rtrim(F.concat_ws("  ", *cells)))
+
+
+def fitting_widths(rows: DataFrame) -> dict[str, int]:
+    """The width of each column: that of its longest cell or name, ``WIDEST`` at most. One pass that gives one row."""
+    longest = rows.select([F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias(c) for c in rows.columns]).first()
+    return {c: min(WIDEST, max(len(c), longest[c])) for c in rows.columns}
+
+
 def shortened(text: Column, most: int, mark: str = "") -> Column:
     """A text cut to ``most`` characters, with a mark if something is lost."""
     return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)

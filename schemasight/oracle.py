@@ -224,6 +224,20 @@ add("db_connections", f"WITH {URIS} SELECT service, value, kind, host, port, nam
 add("unused_indexes", "SELECT index_name, table_name, CAST(coalesce(size_bytes, 0) AS BIGINT) AS size_bytes, 'PG_IDX_014' AS rule_id FROM live_catalog WHERE idx_scan = 0")
 add("index_sizes", "SELECT index_name, table_name, size_bytes FROM live_catalog WHERE size_bytes IS NOT NULL")
 add("plan_metrics", f"SELECT query_id, CAST(len({every('plan_text', 'Seq Scan', 0)}) AS BIGINT) AS seq_scans, CAST(len({every('plan_text', 'Index Scan', 0)}) AS BIGINT) AS index_scans, TRY_CAST({part('plan_text', 'rows=([0-9]+)')} AS BIGINT) AS rows, TRY_CAST({part('plan_text', 'Time: ([0-9.]+)')} AS DOUBLE) AS ms FROM plans")
+YAML = "y AS (SELECT 'svc' || c_custkey AS service, c_custkey AS k, c_nationkey AS nation, c_mktsegment AS seg FROM customer WHERE c_custkey % 9 < 7)"
+add("flattened_settings", f"""WITH {YAML} SELECT service, unnest(['env.db_url', 'db_url', 'db.port', 'port']) AS key, unnest(['jdbc:postgresql://h' || nation || '/db', 'jdbc:postgresql://h' || nation || '/db', CAST(5000 + k AS VARCHAR), CAST(5000 + k AS VARCHAR)]) AS value FROM y
+UNION ALL SELECT service, 'db.host', CASE WHEN k % 2 = 0 THEN 'later' ELSE 'h ' || seg END FROM y UNION ALL SELECT service, 'host', CASE WHEN k % 2 = 0 THEN 'later' WHEN k % 3 = 0 THEN 'inner' ELSE 'h ' || seg END FROM y
+UNION ALL SELECT service, unnest(['pools.main.host', 'pools.main.size', 'size']), unnest(['inner', '7', '7']) FROM y WHERE k % 3 = 0""")
+ENDS = "regexp_replace(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g')"
+add("text_lines", f"WITH te AS (SELECT doc_id, {ENDS} AS t FROM mixed_ends), tl AS (SELECT doc_id, CASE WHEN t = '' THEN '' WHEN t[-1] = chr(10) THEN t[:-2] ELSE t END AS body, t FROM te) "
+    "SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS INT) AS n_lines, md5(replace(body, chr(10), '|')) AS lines FROM tl")
+DIRS = "string_split(path, '/')[:-2]"
+LEFT_OUT = "['.git', 'node_modules', '__pycache__', '.idea', '.vscode', 'target', 'build', 'dist', '.gradle', 'venv', '.env'"
+add("path_parts", f"SELECT path, name, regexp_replace(name, '[.][^.]*$', '') AS stem, lower(coalesce('.' || nullif(split_part(name, '.', 2), ''), '')) AS extension, replace(path, '/', '_') AS safe, "
+    f"list_has_any(dirs, {LEFT_OUT}, 'test', 'tests', 'testFixtures']) AS skipped, list_has_any(dirs, {LEFT_OUT}]) AS skipped_as_project FROM (SELECT path, string_split(path, '/')[-1] AS name, {DIRS} AS dirs FROM project_files)")
+ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+add("escaped_pages", f"SELECT page_id, length({ESCAPED}) AS n, md5({ESCAPED}) AS escaped FROM pages")
+add("table_lines", "SELECT doc_id, rtrim(" + " || '  ' || ".join(f"rpad(left(translate(coalesce(CAST({c} AS VARCHAR), ''), chr(10) || chr(13) || chr(9), '   '), {w}), {w}, ' ')" for c, w in (("doc_id", 8), ("source", 12), ("text", 40))) + ", ' ') AS table_line FROM documents")
 # nodes from the arrows, parents by a lateral look back, depths and subtrees by the closure of parents
 PLAN_NODES = r"""pl AS (SELECT query_id, i, l[i] AS line FROM (SELECT query_id, string_split(plan_text, chr(10)) AS l, unnest(range(1, len(string_split(plan_text, chr(10))) + 1)) AS i FROM plan_trees)),
 pn AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INT) AS node, CASE WHEN i = 1 THEN -1 ELSE instr(line, '->') END AS ind, trim(replace(split_part(line, '  (cost', 1), '->', '')) AS operation,

@@ -24,6 +24,7 @@ from schemasight.oracle import ORACLE  # noqa: F401
 from schemasight.registry import INDEX_LINES, MIGRATION, OLDER_FIELDS, OLDER_OPERATIONS, SCRIPT_FIELDS, SCRIPT_OPERATIONS
 from schemasight.shared import settle
 from schemasight.sources import annotations as A
+from schemasight.sources import configuration as E
 
 QUERIES: dict = {}
 
@@ -471,6 +472,37 @@ def slowest_nodes(view):
     return Q.slowest_nodes(Q.plan_nodes(view("plan_trees")))
 
 
+@query
+def flattened_settings(view):
+    return E.settings(view("yaml_files")).select("service", "key", "value")
+
+
+# texts and reports
+
+
+@query
+def text_lines(view):
+    parts = T.split_lines(F.col("text"))
+    return view("mixed_ends").select("doc_id", F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.md5(F.coalesce(F.array_join(parts, "|"), F.lit(""))).alias("lines"))
+
+
+@query
+def path_parts(view):
+    path = F.col("path")
+    return view("project_files").select("path", T.base_name(path).alias("name"), T.stem(path).alias("stem"), T.extension(path).alias("extension"), T.safe_name(path).alias("safe"), T.in_skipped_dir(path).alias("skipped"), T.in_skipped_dir(path, tests=False).alias("skipped_as_project"))
+
+
+@query
+def escaped_pages(view):
+    escaped = T.escape_html(F.col("html"))
+    return view("pages").select("page_id", F.length(escaped).cast("long").alias("n"), F.md5(escaped).alias("escaped"))
+
+
+@query
+def table_lines(view):
+    return W.table_lines(view("documents"), {"doc_id": 8, "source": 12, "text": W.WIDEST}).select("doc_id", "table_line")
+
+
 # comparisons
 
 

@@ -73,4 +73,5 @@ def test_report(spark, project, tmp_path):  # noqa: F811
 def test_command_line(spark, project, capsys):  # noqa: F811
     assert cli.main(["check", project]) == 1
     assert cli.main(["export", project]) == 0
+    assert cli.main(["scan", project]) == 0
     assert "createIndex" in capsys.readouterr().out
