@@ -154,6 +154,15 @@ def postgres_usage(spark: SparkSession, url: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, query=query, connectTimeout="10", **options).load()
 
 
+def runtime_violations(spark: SparkSession, config: str | None = None) -> DataFrame | None:
+    """Indexes that the server of the configured connection never used (PG_IDX_014), the largest first; None without a connection, nothing if the rule is disabled."""
+    settings = configuration.load_config(config)
+    if settings.connection is None:
+        return None
+    found = M.unused(postgres_usage(spark, **configuration.jdbc_options(settings.connection)))
+    return found.where(~F.col("rule_id").isin(settings.disabled_rules)) if settings.disabled_rules else found
+
+
 def team_services(spark: SparkSession, catalog: str, team: str) -> DataFrame:
     return M.with_kinds(M.of_team(configuration.catalog(spark, catalog), team))
 
