@@ -123,42 +123,61 @@ def pymongo_script(specs: DataFrame, database: str = "mydb") -> DataFrame:
     return body.unionByName(head).unionByName(each.select("collection", "x.part", F.lit(0).cast("long").alias("seq"), "x.line"))
 
 
+def entries(text: Column, cut: str, entry: str) -> Column:
+    """name:direction of the entries of a list: it is cut, and each piece read from its start by an expression with a group for the name and one or
+    two for the direction. The words of pymongo become what they stand for; pieces that can't be read are left out."""
+    words = F.create_map(*[F.lit(x) for number, word in DIRECTIONS.items() for x in (word, number)])
+
+    def read(piece: Column) -> Column:
+        direction = F.concat(F.regexp_extract(piece, entry, 2), F.regexp_extract(piece, entry, 3))
+        return F.when(piece.rlike(entry), F.concat(F.regexp_extract(piece, entry, 1), F.lit(":"), F.coalesce(words[direction], direction)))
+
+    return F.array_join(F.array_compact(F.transform(F.split(text, cut), read)), ",")
+
+
 def shell_keys(text: Column) -> Column:
-    """name:direction of the keys in a shell object: numbers, or text in double quotes."""
-    pair = r"""["']?(\w+)["']?\s*:\s*(?:-?\d+|"[^"]*")"""
-    names = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
-    dirs = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), lambda x: F.btrim(F.regexp_extract(x, r""":\s*(-?\d+|"[^"]*")$""", 1), F.lit('"')))
-    return F.array_join(F.zip_with(names, dirs, lambda n, d: F.concat(n, F.lit(":"), d)), ",")
+    """name:direction of the keys in a shell object, quoted or not: numbers, or text in double quotes. Of names with dots the last part counts."""
+    return entries(text, ",", r"""^[\s{]*["']?(?:[\w$]+\.)*(\w+)["']?\s*:\s*(?:(-?\d+)|"([^"]*)")""")
 
 
 def pymongo_keys(text: Column) -> Column:
-    """name:direction of the tuples of a create_index call."""
-    pair = r"""["'](\w+)["']\s*,\s*(-?\d+|ASCENDING|DESCENDING|TEXT|HASHED)"""
-    words = F.create_map(*[F.lit(x) for number, word in DIRECTIONS.items() for x in (word, number)])
-    names, dirs = (F.regexp_extract_all(text, F.lit(pair), F.lit(k)) for k in (1, 2))
-    return F.array_join(F.zip_with(names, dirs, lambda n, d: F.concat(n, F.lit(":"), F.coalesce(words[d], d))), ",")
+    """name:direction of the tuples of a create_index call: numbers or pymongo's words."""
+    return entries(text, r"\)", rf"""^[\s,\[(]*["'](\w+)["']\s*,\s*(?:(-?\d+)|({'|'.join(DIRECTIONS.values())}))\b""")
+
+
+def calls(content: Column, method: str, brackets: str) -> Column:
+    """Array of (receiver, body, raw) of the calls of a method whose first argument is a bracketed list: the text is cut at the method's name, so a
+    call is what one piece ends with and the next begins with."""
+    pieces = F.split(content, rf"\.{method}\b")
+    body = rf"^\s*\(\s*(\{brackets[0]}[^\{brackets[1]}]+\{brackets[1]})"
 
+    def at(k: Column) -> Column:
+        receiver = F.regexp_extract(F.get(pieces, k), r"""(?:db\.)?\w+$|db\[(?:"\w+"|'\w+')\]$""", 0)
+        behind = F.get(pieces, k + 1)
+        return F.struct(receiver.alias("receiver"), F.regexp_extract(behind, body, 1).alias("body"), F.concat(receiver, F.lit(f".{method}"), F.regexp_extract(behind, body, 0)).alias("raw"))
 
-#: Calls that create an index in a script, in the order in which they are looked for; the last finds those of the first again, without their db.
-CALLS = [
-    ("shell", r"db\.(\w+)\.createIndex\s*\(\s*(\{[^}]+\})"),
-    ("pymongo", r"""db\[["'](\w+)["']\]\.create_index\s*\(\s*(\[[^\]]+\])"""),
-    ("generic", r"(\w+)\.createIndex\s*\(\s*(\{[^}]+\})"),
-]
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), at)
+    return F.filter(every, lambda c: (c["receiver"] != "") & (c["body"] != ""))
 
 
 def script_calls(scripts: DataFrame) -> DataFrame:
-    """(file_id, ord, nth, collection, fields, raw) of all calls in scripts (file_id, content) with keys; generic ones on db, collection and coll
-    are left out. A call with db is found as generic, too, and counts twice; comparisons, which are by collection and keys, see it once."""
-    def calls(k: int, kind: str, p: str) -> Column:
-        of = lambda g: F.regexp_extract_all("content", F.lit(p), F.lit(g))
-        zipped = F.arrays_zip(of(1).alias("collection"), of(2).alias("body"), of(0).alias("raw"))
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("ord"), i.alias("nth"), F.lit(kind).alias("kind"), x["collection"].alias("collection"), x["body"].alias("body"), F.btrim(x["raw"]).alias("raw")))
-
-    parts = [calls(k, kind, p) for k, (kind, p) in enumerate(CALLS)]
-    found = scripts.select("file_id", F.explode(F.concat(*parts)).alias("c")).select("file_id", "c.*")
-    found = found.where((F.col("kind") != "generic") | ~F.col("collection").isin("db", "collection", "coll"))
-    fields = F.when(F.col("kind") == "pymongo", pymongo_keys(F.col("body"))).otherwise(shell_keys(F.col("body")))
+    """(file_id, ord, nth, collection, fields, raw) of all calls in scripts (file_id, content) with keys: 0 shell calls on db, 1 Python calls on db, 2
+    shell calls on anything; those on variables called db, collection and coll are left out. A shell call with db is of both kinds and
+    counts twice; comparisons, which are by collection and keys, see it once."""
+    shell, python = calls(F.col("content"), "createIndex", "{}"), calls(F.col("content"), "create_index", "[]")
+    kinds = [
+        F.filter(shell, lambda c: c["receiver"].startswith("db.")),
+        F.filter(python, lambda c: c["receiver"].startswith("db[")),
+        F.transform(F.filter(shell, lambda c: ~c["receiver"].endswith("]")), lambda c: F.struct(F.regexp_replace(c["receiver"], r"^db\.", "").alias("receiver"), c["body"].alias("body"), F.regexp_replace(c["raw"], r"^db\.", "").alias("raw"))),
+    ]
+
+    def numbered(k: int, found: Column) -> Column:
+        name = lambda c: F.regexp_extract(c["receiver"], r"(\w+)\W*$", 1).alias("collection")
+        return F.transform(found, lambda c, n: F.struct(F.lit(k).alias("ord"), n.alias("nth"), name(c), c["body"].alias("body"), c["raw"].alias("raw")))
+
+    found = scripts.select("file_id", F.explode(F.concat(*[numbered(k, found) for k, found in enumerate(kinds)])).alias("c")).select("file_id", "c.*")
+    found = found.where((F.col("ord") < 2) | ~F.col("collection").isin("db", "collection", "coll"))
+    fields = F.when(F.col("ord") == 1, pymongo_keys(F.col("body"))).otherwise(shell_keys(F.col("body")))
     return found.withColumn("fields", fields).where("fields <> ''").select("file_id", "ord", "nth", "collection", "fields", "raw")
 
 
