@@ -333,7 +333,8 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     Learns n-grams up to ``order`` words from the rows where ``train`` holds (null counts as not). Scores are log10 probabilities of
     the whole text; base_score adds one to the counts of single words. A null text counts as empty: the end
     alone. Every row is scored for itself, so equal rows teach once each and get equal scores, and ids may be null or repeat. With nothing to
-    learn from, every token has the probability of an unseen word. Other columns do not matter; an empty table gives an empty one.
+    learn from, every token has the probability of an unseen word. Other columns do not matter; an empty table gives an empty one. A very
+    long text is one chunk however long it is, so a task's memory grows with its tokens.
     """
     text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))

@@ -134,7 +134,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the least id of the component, root its least fingerprint. Equal fingerprints
     are one class throughout, so copies are never compared with each other. Texts without words
     (null, empty, blank) have fingerprint 0 and are near-duplicates of each other. Null ids keep a row and count
-    only where a component has no other. An empty table gives an empty one.
+    only where a component has no other. An empty table gives an empty one. Very long texts are hashed whole, 32,768 shingles of them at
+    a time, and all shingles weigh alike. Other columns are not returned and may have any names.
 
     For links by the similarity of shingles instead of by bits see ``shingles.near_copies``: of two texts that share
     four fifths of their shingles, fingerprints of 64 bits differ in 10 or more, which no filter on segments can tell from chance.

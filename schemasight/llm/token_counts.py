@@ -78,6 +78,7 @@ def count_tokens(df: DataFrame, text_col: str, widths_col: str, rule: str = "fir
     that lies in several sections counts by ``rule``: for the one with its ``first`` or ``last`` byte, for the
     one with ``most`` of its bytes (the earlier of equals), or for all, ``split`` by bytes; so the numbers
     always add up to n_tokens. A null text has no tokens and no sections, null and negative widths are 0 and a null list is empty; equal rows get equal counts.
+    Very long texts are encoded whole, each in one task, with memory for their token ends and bytes; an empty table gives an empty one.
     The vocabulary's path must hold on all machines. Columns of these names are replaced.
     """
     if rule not in RULES:

@@ -94,6 +94,13 @@ def test_edges(spark, rows, order):
     same(K.score_texts(df, F.col("doc_id") > 0, order=order).collect(), brute(rows, lambda i: i is not None and i > 0, order))
 
 
+def test_a_text_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.5, n) % 500)) for k, n in enumerate([30_000, 5, 40, 12_000])]
+    got = K.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 3, order=3, chunk=1_000, bucket=500).collect()
+    same(got, brute(rows, lambda i: i != 3, 3))
+
+
 def test_numbers_survive_packing():
     rng = np.random.default_rng(0)
     x, y, z = rng.integers(0, 1 << 63, 1000).astype("uint64"), rng.integers(0, 300, 1000).astype("uint64"), np.zeros(1000, "uint64")

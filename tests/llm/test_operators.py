@@ -210,6 +210,16 @@ def test_token_edges(spark):
     assert all(sum(r.section_tokens) == r.n_tokens for r in got)
     with pytest.raises(ValueError):
         K.count_tokens(df, "text", "w", "none")
+    empty = K.count_tokens(df.limit(0), "text", "w")
+    assert empty.columns == ["text", "w", "n_tokens", "n_crossing", "section_tokens"] and empty.count() == 0
+
+
+def test_tokens_of_a_very_long_text(spark):
+    text = "A line of words, 12 of them. And ünïcode!\n" * 60_000  # 2.6 million bytes
+    df = spark.createDataFrame([(text, [len(text) // 2])], "text string, w array<int>")
+    got = K.count_tokens(df, "text", "w").first()
+    one = K.count_tokens(spark.createDataFrame([(text[: len(text) // 60_000], None)], "text string, w array<int>"), "text", "w").first()
+    assert got.n_tokens == 60_000 * one.n_tokens and list(got.section_tokens) == [got.n_tokens / 2] * 2
 
 
 def embeddings_by_force(rows, least=0.9):

@@ -51,6 +51,22 @@ def test_queues_on_disk_give_the_same_order(monkeypatch):
     assert (S.suffix_order(text, 50) == want).all()
 
 
+@pytest.mark.parametrize("stretch", [1, 137, 1000])
+def test_long_texts_are_scanned_in_stretches(monkeypatch, stretch):
+    """Every window keeps its group and its anchor's place wherever the seams lie, and none is lost or doubled."""
+    rng = np.random.default_rng(5)
+    text = bytes(rng.integers(97, 100, 5_000, "u1")) + b"x" * 900 + bytes(rng.integers(97, 123, 300, "u1")) * 4
+
+    def windows():
+        found = zip(*(x.tolist() for x in S.runs_of(text, 200)), strict=True)
+        return [(first + k, group, first + anchor) for group, _, first, n, anchor in found for k in range(n)]
+
+    whole = windows()
+    assert [w[0] for w in whole] == list(range(len(text) - 199))
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    assert windows() == whole
+
+
 @pytest.mark.parametrize("most", [S.MOST, 3_000, 0])
 def test_edges(spark, most):
     """Nulls, short and empty texts, repeated rows, a text that repeats itself, hot passages with many ends, clashing columns; groups split by content once, often or never."""
