@@ -90,13 +90,14 @@ def mix(df: DataFrame, key: str = "key", size: str = "size", **options) -> DataF
     light = settle(df.select(F.col(row).alias("at"), "source", F.col(size).alias("size"), F.col(key).alias("key")))
     places = settle(plan_mix(light, **options).select(F.col("at").alias(row), F.explode("positions").alias("position")))
     discard(light)
-    return in_training_order(df.join(places, row).drop(row), "position")
+    return in_training_order(df.join(places, row).drop(row), "position", key)
 
 
-def in_training_order(df: DataFrame, position: str) -> DataFrame:
-    """Rows sorted by position over ranges; those without one come last."""
-    order = F.col(position).asc_nulls_last()
-    return df.repartitionByRange(order).sortWithinPartitions(order)
+def in_training_order(df: DataFrame, position: str, key: str) -> DataFrame:
+    """Rows sorted by position over ranges, those of one position by key; rows without one come last. However many rows have no position,
+    or that of texts without words, the key deals them out over ranges, too."""
+    order = [F.col(position).asc_nulls_last(), F.col(key).asc_nulls_last()]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixing_key(doc_id: Column, text: Column) -> Column:
@@ -108,7 +109,7 @@ def op9_mixing(spark, sf_dir):
     """All documents, mixed to weights 3, 1, 2 over 150 % of their words, sorted by their first position in training."""
     docs = table(spark, sf_dir, "documents")
     docs = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing_key(F.col("doc_id"), F.col("text")).alias("key")))
-    out = in_training_order(settle(plan_mix(docs).withColumn("first_position", F.get("positions", F.lit(0)))), "first_position")
+    out = in_training_order(settle(plan_mix(docs).withColumn("first_position", F.get("positions", F.lit(0)))), "first_position", "key")
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
 
 

@@ -118,6 +118,22 @@ def test_order_of_the_curriculum_survives_sharding(spark, tmp_path):
     assert S.shard_in_order(empty, "doc_id", 4).count() == 0
 
 
+def test_rows_of_one_position_are_dealt_out(spark):
+    """Most rows have no words, or no position: no range holds them all, and the order is whole."""
+    rows = [(k, "a" if k % 2 else "b", "w" if k % 50 == 0 else "") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text")))
+    placed = M.mix(df).select("position", "key").union(df.select(F.lit(None).cast("double"), "key")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = M.in_training_order(placed, "position", "key").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == placed.count() > 4000
+    assert max(Counter(r.part for r in got).values()) < len(got) / 3
+    order = [(r.position is None, r.position or 0, r.key) for r in sorted(got, key=lambda r: r.part)]
+    assert order == sorted(order)
+
+
 def test_long_texts_are_sized_and_sharded(spark):
     df = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, None, None)], "doc_id long, text string, source string")
     sized = df.withColumn("size", M.word_count(F.col("text"))).withColumn("key", M.mixing_key(F.col("doc_id"), F.col("text")))
