@@ -36,3 +36,12 @@ def test_coverage_judges_every_index(spark, sf):
         got = QUERIES[name](spark, sf).collect()
         assert len(got) == len(want) and {r.id: r.status for r in got} == want
         assert set(want.values()) == {"exists", "missing"}
+
+
+def test_prefix_has_every_pair(spark, sf):
+    """Each pair of indexes by name, not classes with counts."""
+    named = {}
+    for k, t, c in index_defs(spark, sf):
+        named.setdefault(t, []).append((f"ix_{k}", c))
+    want = sorted((t, a, b) for t, all_of in named.items() for a, c in all_of for b, d in all_of if len(c) < len(d) and d[: len(c)] == c)
+    assert sorted(map(tuple, QUERIES["idx_prefix"](spark, sf).select("table_name", "index_name", "longer").collect())) == want and want
