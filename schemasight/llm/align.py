@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,8 @@ WIDTH = 1 << 20
 FREQUENT = 1 << 18
 #: Characters that are encoded and aligned at a time, at least: memory goes with it.
 STRETCH = 1 << 17
+#: Units of text (words, mostly) that a worker remembers aligned, and the most characters of one; others are aligned whenever they come.
+REMEMBERED, SHORT = 1 << 17, 64
 
 
 @lru_cache(maxsize=2)
@@ -56,23 +59,32 @@ def pieces(path: str):
     return coder, out
 
 
-def byte_level_ids(coder, text: str) -> list[int]:
-    """Long texts are encoded in stretches that start at a blank or line end behind other characters, where no token goes across."""
-    ids, start = [], 0
+def stretches(text: str) -> Iterator[str]:
+    """A text in stretches that start at a blank or line end behind other characters, where no token goes across."""
+    start = 0
     while start < len(text):
         cut = _EDGE.search(text, start + STRETCH)
         end = cut.start() + 1 if cut else len(text)
-        ids += coder.encode_batch_fast([text[start:end]], add_special_tokens=False)[0].ids
+        yield text[start:end]
         start = end
-    return ids
+
+
+def byte_level_ids(coder, text: str) -> list[int]:
+    return [k for part in stretches(text) for k in coder.encode_batch_fast([part], add_special_tokens=False)[0].ids]
 
 
 #: A blank or line end behind what is no white space by any definition.
 _EDGE = re.compile(r"\S(?=[ \n])")
+#: What lies between such edges.
+_UNITS = re.compile(r"\s*+\S++(?:[^\S \n]\s*+(?:\S++|\Z))*+|\s+")
 
 
 class Aligner:
-    """Encodes texts by both tokenizers and aligns their tokens by bytes."""
+    """Encodes texts by both tokenizers and aligns their tokens by bytes.
+
+    No token of either side goes across the edges of a text, nor do the tokens between two edges depend on others, so what lies between edges is
+    aligned by itself, once as long as it is remembered. Where B's vocabulary can't promise this, texts are aligned as one.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.a, a_bytes = byte_level(a_path)
@@ -82,15 +94,22 @@ class Aligner:
         most = max(map(len, self.bytes))
         #: Each id as text with what may follow it: nothing, a comma, a bar, a semicolon.
         self.shown = [f"{k}{end}" for k in range(most) for end in ("", ",", "|", ";")]
-
-    def align(self, text: str):
-        """(A's ids, B's ids, groups, A's and B's ids of each link, digest of the groups); no tokens where either doesn't give the bytes of the text."""
-        none = np.zeros(0, "int64")
-        whole = " " + text
-        ids = byte_level_ids(self.a, whole), self.b.encode(text)
+        self.long = np.array(list(map(len, self.shown)), "int64")
+        #: Units remembered, and those of the time before; the latter make room when there are ``REMEMBERED`` new ones.
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        probe = self.b.encode("\n \n  x")
+        self.local = b"".join(map(b_bytes.__getitem__, probe)) == b" \n \n  x" and not any(b"\n" in x and x != b"\n" or b" " in x.lstrip(b" ") for x in b_bytes)
+
+    def aligned(self, units: list[str]) -> list[tuple] | None:
+        """(numbers of A's tokens, B's tokens and groups, pairs of ids of each link as bytes, groups as text) of each unit; units follow each other
+        as in a text. None where either side doesn't give their bytes."""
+        whole = "".join(units)
+        # B puts a blank before what it gets: a line end keeps it apart from the text, or it is the text's own.
+        ids = byte_level_ids(self.a, whole), self.b.encode("\n" + whole)[2:] if self.local else self.b.encode(whole[1:])
         data = whole.encode()
-        if not text or any(b"".join(map(side.__getitem__, own)) != data for side, own in zip(self.bytes, ids, strict=True)):
-            return none, none, 0, none, none, ""
+        if any(b"".join(map(side.__getitem__, own)) != data for side, own in zip(self.bytes, ids, strict=True)):
+            return None
         a, b = (np.asarray(own, "int64") for own in ids)
         a_ends, b_ends = (np.cumsum(w[own]) for w, own in zip(self.widths, (a, b), strict=True))
         ends = np.concatenate([a_ends, b_ends])
@@ -98,15 +117,57 @@ class Aligner:
         again = ends[1:] == ends[:-1]
         common, cuts = ends[1:][again], ends[np.append(~again, True)]
         # Each stretch between two cuts lies in one token of each side, and each pair that overlaps shares one stretch.
-        link_a, link_b = a[np.searchsorted(a_ends, cuts)], b[np.searchsorted(b_ends, cuts)]
+        links = a[np.searchsorted(a_ends, cuts)] * WIDTH + b[np.searchsorted(b_ends, cuts)]
         a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         a_until, b_until = (np.cumsum(np.bincount(g, minlength=len(common))) for g in (a_group, b_group))
         order = np.empty(len(a) + len(b), "int64")
         order[np.arange(len(a)) + np.concatenate([[0], b_until])[a_group]] = a * 4 + 1 + (np.diff(a_group, append=-1) != 0)
         order[np.arange(len(b)) + a_until[b_group]] = b * 4 + 1 + 2 * (np.diff(b_group, append=-1) != 0)
-        order[-1] -= 3
         shown = "".join(map(self.shown.__getitem__, order.tolist()))
-        return a, b, len(common), link_a, link_b, hashlib.sha256(shown.encode()).hexdigest()
+        until = np.cumsum(list(map(len, map(str.encode, units))))
+        n_a, n_b, n_groups, n_links = (np.searchsorted(x, until, "right") for x in (a_ends, b_ends, common, cuts))
+        texts = np.cumsum(self.long[order])[n_a + n_b - 1].tolist()
+        data, n_links = links.tobytes(), (8 * n_links).tolist()
+        numbers = (np.diff(x, prepend=0).tolist() for x in (n_a, n_b, n_groups))
+        parts = [data[i:k] for i, k in zip([0, *n_links], n_links, strict=False)]
+        return list(zip(*numbers, parts, [shown[i : k - 1] for i, k in zip([0, *texts], texts, strict=False)], strict=True))
+
+    def recalled(self, units: list[str]) -> list[tuple] | None:
+        """What ``aligned`` gives for the units of a text, with only those aligned that are not remembered."""
+        found = list(map(self.known.get, units))
+        if all(found):
+            return found
+        own = {u: self.older.get(u) for u in dict.fromkeys(u for u, x in zip(units, found, strict=True) if x is None)}
+        new = [u for u, x in own.items() if x is None]
+        got = self.aligned(new) if new else []
+        if got is None:
+            return None
+        own.update(zip(new, got, strict=True))
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update(x for x in own.items() if len(x[0]) <= SHORT)
+        return [x or own[u] for u, x in zip(units, found, strict=True)]
+
+    def align(self, text: str):
+        """(numbers of A's tokens, B's tokens, groups and links, digest of the groups, pairs of ids that are linked, links of each); no tokens where
+        either side doesn't give the bytes of the text."""
+        counts, links, digest = [], [], hashlib.sha256()
+        for part in stretches(" " + text) if self.local else [" " + text]:
+            found = self.recalled(_UNITS.findall(part) if self.local else [part]) if text else None
+            if found is None:
+                return 0, 0, 0, 0, "", np.zeros(0, "int64"), np.zeros(0, "int64")
+            n_a, n_b, n_groups, parts, shown = zip(*found, strict=True)
+            digest.update((";" * bool(links) + ";".join(shown)).encode())
+            counts.append((sum(n_a), sum(n_b), sum(n_groups)))
+            links.append(b"".join(parts))
+        links = np.frombuffer(b"".join(links), "int64")
+        return *map(sum, zip(*counts, strict=True)), len(links), digest.hexdigest(), *np.unique(links, return_counts=True)
+
+
+@lru_cache(maxsize=2)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """One for each worker, so that what it remembers serves all its tasks."""
+    return Aligner(a_path, b_path)
 
 
 ALIGNED = "h long, g long, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<int>"
@@ -114,7 +175,7 @@ ALIGNED = "h long, g long, copies long, n_a long, n_b long, n_groups long, n_lin
 
 def _aligned(a_path: str, b_path: str):
     def of(batches):
-        both = Aligner(a_path, b_path)
+        both = aligner(a_path, b_path)
         kinds = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in ALIGNED.split(", ")]
 
@@ -124,9 +185,8 @@ def _aligned(a_path: str, b_path: str):
         for given in batches:
             rows, held = [], 0
             for h, g, copies, text in zip(*(given.column(c) for c in ("h", "g", "copies", "text")), strict=True):
-                a, b, groups, link_a, link_b, digest = both.align(text.as_py())
-                pairs, links = np.unique(link_a * WIDTH + link_b, return_counts=True)
-                rows.append((h.as_py(), g.as_py(), copies.as_py(), len(a), len(b), groups, len(link_a), digest, pairs, links))
+                *numbers, pairs, links = both.align(text.as_py())
+                rows.append((h.as_py(), g.as_py(), copies.as_py(), *numbers, pairs, links))
                 held += len(pairs)
                 if held > 1 << 19:
                     yield batch(rows)

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against a plain loop over tokens."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -120,3 +121,35 @@ def test_a_hot_text_is_dealt_out(spark, coders):
     out = A.align_documents(df)
     assert out.count() == 30_000
     assert out.groupBy(*COLUMNS).count().where("count = 15000").count() == 1
+
+
+@pytest.mark.parametrize("stretch", [1, 9, 1 << 17])
+@pytest.mark.parametrize("remembered, short", [(0, 64), (20, 3), (1 << 17, 64)])
+def test_units_give_the_alignment_of_the_whole(coders, monkeypatch, stretch, remembered, short):
+    """Texts of all kinds of white space, contractions and control strings, by units that are remembered, forgotten or too long, against the plain loop."""
+    r = random.Random(stretch)
+    parts = [" ", "\n", "\t", "\r", "\xa0", "\x1c", "\x85", "　", "  ", "ab", "'s", "12", ".", "é", "你", "\x00", "word", "</s>"]
+    texts = [t or "" for t in TEXTS] + ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(600)]
+    for name, value in (("STRETCH", stretch), ("REMEMBERED", remembered), ("SHORT", short)):
+        monkeypatch.setattr(A, name, value)
+    both = A.Aligner(A.BYTE_LEVEL, A.PIECES)
+    assert both.local
+    for text, (n_a, n_b, groups, n_links, *_, digest) in zip(texts, brute(coders, texts), strict=True):
+        got = both.align(text)
+        assert got[:5] == (n_a, n_b, groups, n_links, digest) and sum(got[6]) == n_links, text
+
+
+def test_words_are_encoded_once(monkeypatch):
+    sent, ids = [], A.byte_level_ids
+    monkeypatch.setattr(A, "byte_level_ids", lambda coder, text: sent.append(text) or ids(coder, text))
+    both = A.Aligner(A.BYTE_LEVEL, A.PIECES)
+    for _ in range(3):
+        both.align("the house and the garden\nof the house " * 100)
+    assert sum(map(len, sent)) < 100
+
+
+def test_whole_texts_where_units_can_not_be_cut(coders):
+    both = A.Aligner(A.BYTE_LEVEL, A.PIECES)
+    both.local = False
+    for text, want in zip(TEXTS, brute(coders, [t or "" for t in TEXTS]), strict=True):
+        assert both.align(text or "")[:5] == (*want[:4], want[6])
