@@ -35,8 +35,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id, rows without an id last.
 
-    Groups are links of texts whose five-word shingles are similar to 0.8 or more (see ``shingles``); texts without words, null
-    ones too, are copies of each other. Rows are told apart by their place, so different texts may share an id
+    Groups are links of texts whose five-word shingles are similar to 0.8 or more: first those whose SimHash fingerprints pigeonring finds
+    close, then, between the groups so found, those that differ in more bits (see ``shingles``); texts without words, null ones too, are copies of each other. Rows are told apart by their place, so different texts may share an id
     and of equal rows one stays; among equal ids the least hash of the row decides. The choice is made
     on ids and places alone, and texts are joined to it once.
     """

@@ -30,7 +30,11 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     if not found:
         return 0
     grams = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in map(b" ".join, grams)), "<u8")
+    return folded(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in map(b" ".join, grams)), "<u8"))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (little-endian)."""
     ones = np.zeros(64, "int64")
     for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
