@@ -45,3 +45,12 @@ def test_pairs_are_not_shuffled(spark):
         pairs, moved = shuffled(spark, lambda n=block: I.prefixes(defs, n).count())
         assert pairs == 90_000
         assert moved < 10_000
+
+
+def test_pairs_query_does_not_shuffle_pairs(spark, tmp_path):
+    lines = [(50 * n, line, line) for n in range(600) for line in range(1 + n % 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found, moved = shuffled(spark, lambda: QUERIES["idx_prefix_pairs"](spark, str(tmp_path)).collect())
+    assert {tuple(r) for r in found} == {("t0", f"ix_{50 * a}", f"ix_{50 * b}") for a in range(0, 600, 2) for b in range(1, 600, 2)}
+    assert len(found) == 90_000
+    assert moved < 20_000
