@@ -182,14 +182,18 @@ def with_constants(indexes: DataFrame, constants: DataFrame) -> DataFrame:
     """``indexes`` (as ``declared`` gives them) with the values of ``constants`` (name, value) for fields that bear a constant's name.
 
     Names that come twice in an index by that stand where the first stood, with the direction of the last.
+    Every row is put together again from its own parts. Indexes are read once and stand left of the only join, so they are never sent to the driver,
+    however small Spark takes texts and lists to be that it has not seen yet.
     """
-    parts = indexes.select("seq", F.posexplode(F.split("fields", ",")).alias("pos", "part"))
-    named = parts.select("seq", "pos", F.regexp_extract("part", "^([^:]*)", 1).alias("name"), F.regexp_extract("part", ":(.*)$", 1).alias("direction"))
-    hits = named.join(constants.select("name", "value"), "name")
-    touched = hits.select("seq").distinct()
-    fields = named.join(touched, "seq", "left_semi").join(hits.select("seq", "pos", "value"), ["seq", "pos"], "left")
-    fields = fields.select("seq", "pos", F.coalesce("value", "name").alias("name"), "direction")
-    once = fields.groupBy("seq", "name").agg(F.min("pos").alias("pos"), F.max_by("direction", "pos").alias("direction"))
-    shown = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "name", "direction").alias("part")))), lambda x: x["part"])
-    new = once.groupBy("seq").agg(F.array_join(shown, ",").alias("_fields"))
-    return indexes.join(new, "seq", "left").withColumn("fields", F.coalesce("_fields", "fields")).select(indexes.columns)
+    parts = indexes.select("*", F.posexplode_outer(F.split("fields", ",")).alias("_pos", "_part"))
+    named = parts.select(*indexes.columns, "_pos", F.regexp_extract("_part", "^([^:]*)", 1).alias("_name"), F.regexp_extract("_part", ":(.*)$", 1).alias("_direction"))
+    known = constants.select(F.col("name").alias("_name"), F.col("value").alias("_value"), F.lit(True).alias("_known"))
+    part = F.struct("_pos", F.coalesce("_value", "_name").alias("name"), F.col("_direction").alias("direction"))
+    rows = named.join(known, "_name", "left").groupBy(indexes.columns).agg(F.count("_known").alias("_hits"), F.count("*").alias("_n"), F.array_sort(F.collect_set(part)).alias("_parts"))
+    last = lambda name: F.element_at(F.filter("_parts", lambda p: p["name"] == name), -1)["direction"]
+    names = F.array_distinct(F.transform("_parts", lambda p: p["name"]))
+    shown = F.array_join(F.transform(names, lambda n: F.concat_ws(":", n, last(n))), ",")
+    # rows that are alike in every column were counted as one
+    alike = F.sequence(F.lit(1), (F.col("_n") / F.size("_parts")).cast("int"))
+    rows = rows.withColumn("fields", F.when(F.col("_hits") > 0, shown).otherwise(F.col("fields")))
+    return rows.select(*indexes.columns, F.explode(alike).alias("_nth")).select(indexes.columns)

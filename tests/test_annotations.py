@@ -5,6 +5,7 @@ import time
 import pytest
 
 from schemasight.operators import lines as L
+from schemasight.queries import QUERIES
 from schemasight.sources import annotations as A
 
 
@@ -60,3 +61,27 @@ def test_constants_and_errors(spark):
     assert found.columns == A.declared(df).columns
     assert [tuple(r) for r in A.misdeclared(df).collect()] == [("p/Order.java", "p/Order.java:3: @CompoundIndex: direction 3 of field F")]
     assert A.with_constants(A.declared(df.where("false")), constants).count() == 0
+
+
+def test_constants_row_by_row(spark):
+    """Rows that are alike stay as many as they are; two files of one path don't mix; lists without a constant stay as they are."""
+    constants = spark.createDataFrame([("F", "x"), ("G", "x"), ("N", None)], "name string, value string")
+    given = [("a:1,F:1,b:-1,G:-1", 0), ("a:1,F:1,b:-1,G:-1", 0), ("F:1", 0), ("c:1,c:-1", 1), ("c:1,c:-1,N:1", 2), (None, 3), ("", 4), ("p:text", 5), ("x:1,F:text", 6)]
+    df = spark.createDataFrame([("name", f, ("path", n)) for f, n in given], "name string, fields string, seq struct<path: string, pos: int>")
+    found = A.with_constants(df, constants)
+    assert found.columns == df.columns
+    got = sorted((r.seq.pos, "null" if r.fields is None else r.fields) for r in found.collect())
+    assert got == [(0, "a:1,x:-1,b:-1"), (0, "a:1,x:-1,b:-1"), (0, "x:1"), (1, "c:1,c:-1"), (2, "c:-1,N:1"), (3, "null"), (4, ""), (5, "p:text"), (6, "x:text")]
+
+
+def test_constants_are_looked_up_without_sending_indexes_to_the_driver(spark, sf):
+    """Of the two sides only constants may be broadcast, and classes are read once."""
+    for most in ("10m", "1g"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            plan = QUERIES["resolved_compounds"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert plan.count("+- BroadcastExchange") == 1
+        assert plan.count("ArrowEvalPython [") == 1
