@@ -54,3 +54,7 @@ def test_pairs_query_does_not_shuffle_pairs(spark, tmp_path):
     assert {tuple(r) for r in found} == {("t0", f"ix_{50 * a}", f"ix_{50 * b}") for a in range(0, 600, 2) for b in range(1, 600, 2)}
     assert len(found) == 90_000
     assert moved < 20_000
+
+
+def test_names_are_not_broadcast(spark, sf):
+    assert "BroadcastExchange" not in QUERIES["idx_prefix"](spark, sf)._jdf.queryExecution().executedPlan().toString()
